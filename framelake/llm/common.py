@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; inside lambdas an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)

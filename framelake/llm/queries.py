@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from framelake.llm import exact_dedup
+from framelake.llm import exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op6_quality_rules": quality_rules.op6,
+    "op7_mixing": mixing.op7,
     "op8_exact_dedup": exact_dedup.op8,
 }
 
