@@ -7,7 +7,8 @@ a pseudorandom permutation of slot numbers, so a shard's counts by source are a
 multinomial draw, conditioned on the sources' totals: these then meet their
 targets, which independent draws would miss by their square root. A source's
 j-th slot takes, in pass j div blocks, the block at the permuted index of j mod
-blocks; the last slot takes only the words that are still missing. Blocks are
+blocks; a short last block ends its pass, and the last slot takes only the words
+that are still missing, so that each source meets its target to the word. Blocks are
 joined to slots by their index. Permutations are swap-or-not shuffles, exact for
 any length and computed from the index alone.
 
@@ -69,7 +70,9 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: int
     left = F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(up), F.lit(0.0))
     heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))
     s = s.withColumn("level", left / heavy)
-    s = s.withColumn("level", F.min(F.when(F.col("limit") / F.col("weight") > F.col("level"), F.col("level"))).over(every))
+    fill = F.col("limit") / F.col("weight")
+    first = F.min(F.when(fill > F.col("level"), F.struct(fill, F.col("source_no"), F.col("level").alias("level")))).over(every)
+    s = s.withColumn("level", first["level"])
     s = s.withColumn("target", F.when(F.col("level").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.col("level"))))
     return s.select("source_no", "source", "source_size", "weight", "target")
 
@@ -104,7 +107,9 @@ class Mix:
         """A row a slot: shard, slot, source_no, pass, block, and words (of a cut last slot: fewer)."""
         size = F.lit(self.block_words)
         s = self.sources.where("target >= 1").withColumn("want", F.floor("target"))
-        s = s.withColumn("n_slots", F.ceil(F.col("want") / size)).withColumn("n_blocks", F.ceil(F.col("source_size") / size))
+        s = s.withColumns({"n_full": F.floor(F.col("source_size") / size), "n_blocks": F.ceil(F.col("source_size") / size)})
+        s = s.withColumns({"passes": F.floor(F.col("want") / F.col("source_size")), "rest": F.col("want") % F.col("source_size")})
+        s = s.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.ceil(F.col("rest") / size))
         before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
         s = s.withColumn("first", F.coalesce(F.sum("n_slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy()))
         span = F.lit(CHUNK_ROWS)
@@ -112,8 +117,11 @@ class Mix:
         j = parts.withColumn("j", F.explode(F.sequence(F.col("part") * span, F.least((F.col("part") + 1) * span, F.col("n_slots")) - 1)))
         place = shuffled(F.col("first") + F.col("j"), F.col("all_slots"), F.lit(self.seed))
         j = j.withColumns({"place": place, "pass": F.floor(F.col("j") / F.col("n_blocks"))})
-        block = shuffled(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(self.seed), F.col("source_no"), F.col("pass"))
-        cut = F.when(F.col("j") == F.col("n_slots") - 1, F.col("want") - F.col("j") * size).otherwise(size)
+        j = j.withColumn("k", F.col("j") % F.col("n_blocks"))
+        # Full blocks are permuted; the short last block, if any, ends each pass.
+        block = F.when(F.col("k") < F.col("n_full"), shuffled(F.col("k"), F.col("n_full"), F.lit(self.seed), F.col("source_no"), F.col("pass"))).otherwise(F.col("k"))
+        end = F.when(F.col("pass") < F.col("passes"), F.col("source_size")).otherwise(F.col("rest"))
+        cut = F.least(size, end - F.col("k") * size)
         return j.select(
             F.floor(F.col("place") / self.shard_slots).alias("shard"), (F.col("place") % self.shard_slots).alias("slot"),
             "source_no", "pass", block.alias("block"), cut.cast("long").alias("words"),
@@ -133,10 +141,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """rows with `taken`, the words of theirs that the mix takes, repeats counted."""
-        uses = self.slots.groupBy("source_no", "block").agg(
-            F.count_if(F.col("words") == self.block_words).alias("full"), F.max(F.when(F.col("words") < self.block_words, F.col("words"))).alias("cut")
-        )
-        own = F.col("full") * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "cut") - F.col("lo"), F.lit(0)) * F.col("cut").isNotNull().cast("long")
+        uses = self.slots.groupBy("source_no", "block").agg(F.collect_list("words").alias("ends"))  # one a pass
+        own = F.aggregate("ends", F.lit(0).cast("long"), lambda a, end: a + F.greatest(F.least(F.col("hi"), end) - F.col("lo"), F.lit(0)))
         joined = self.overlaps().join(uses, ["source_no", "block"], "left")
         keys = ["doc_id", "source", "size", "source_size", "target", "start", "text_hash"]
         # Rows without words repeat their keys and have 0 each; `copies` brings repeats back.
