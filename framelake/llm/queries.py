@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from framelake.llm import exact_dedup, mixing, quality_rules
+from framelake.llm import bpe, exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op6_quality_rules": quality_rules.op6,
     "op7_mixing": mixing.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op9_bpe": bpe.op9,
 }
 
 SQL = {
