@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framelake.llm import bpe, exact_dedup, mixing, quality_rules
+from framelake.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4,
     "op6_quality_rules": quality_rules.op6,
     "op7_mixing": mixing.op7,
     "op8_exact_dedup": exact_dedup.op8,
