@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import checked, documents, let, text_or_empty, words
+from framelake.llm.common import Scratch, checked, documents, let, text_or_empty, words
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2)
@@ -29,8 +29,8 @@ ORDERS = (1, 2)
 SCALE = 1 << 16
 #: Mean log-likelihood ratio below which a text is rejected.
 MIN_RATIO = -0.15
-#: Additive smoothing: this many pseudo-counts a bucket, dealt as the raw corpus is.
-SMOOTHING = 0.1
+#: Smoothing: this many n-grams, dealt as the raw corpus is, are added to the trusted ones.
+PSEUDO_COUNTS = 65.536
 WINDOW = 5
 
 
@@ -66,14 +66,15 @@ def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, orders:
     w = words(F.col("text"))
     rows = docs.where("text is not null").select("doc_id", w.alias("w")).join(checked(ids, 24), "doc_id", "left")
     grams = rows.select("is_trusted", F.explode(F.concat(*[ngrams(F.col("w"), n, buckets) for n in orders])).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("good"))
-    total = counts.agg(F.sum("raw").alias("raw_all"), F.sum("good").alias("good_all"))
-    p_raw = F.col("raw") / F.col("raw_all")
-    p_good = (F.col("good") + SMOOTHING * buckets * p_raw / F.lit(100)) / (F.col("good_all") + SMOOTHING * buckets / 100)
-    weight = F.when(F.col("good_all") > 0, F.round(F.log(p_good / p_raw) * SCALE)).otherwise(0).cast("int")
+    counts = Scratch(docs.sparkSession, "ratio").save(grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("good")))
+    raw_all, good_all = counts.agg(F.sum("raw"), F.sum("good")).first()
     weights = [0] * buckets
-    for b, x in counts.join(F.broadcast(total)).select("b", weight).collect():  # at most `buckets` rows, against one row of totals
-        weights[b] = x
+    if good_all:
+        p_raw = F.col("raw") / raw_all
+        p_good = (F.col("good") + PSEUDO_COUNTS * p_raw) / (good_all + PSEUDO_COUNTS)
+        weight = F.round(F.log(p_good / p_raw) * SCALE).cast("int")
+        for b, x in counts.select("b", weight).collect():  # at most `buckets` rows
+            weights[b] = x
     return RatioModel(weights, orders)
 
 

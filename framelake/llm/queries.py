@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from framelake.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
+from framelake.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op3_secret_scan": secret_scan.op3,
     "op4_near_dedup": near_dedup.op4,
+    "op5_sharding": sharding.op5,
     "op6_quality_rules": quality_rules.op6,
     "op7_mixing": mixing.op7,
     "op8_exact_dedup": exact_dedup.op8,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_sharding": sharding.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
