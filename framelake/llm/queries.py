@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from framelake.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding
+from framelake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, ranking, secret_scan, sharding
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1,
+    "op2_pairwise_ranking": ranking.op2,
     "op3_secret_scan": secret_scan.op3,
     "op4_near_dedup": near_dedup.op4,
     "op5_sharding": sharding.op5,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
