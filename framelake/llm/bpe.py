@@ -26,6 +26,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -232,16 +233,20 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, spec: str) -> DataFrame:
-    """doc_id and token_ids (array of ints) of each row."""
+    """doc_id, token_ids (array of ints), n_tokens and the digests of ids and decoded text, for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(shared.value)
         for batch in batches:
-            ids = [memoryview(x).cast("I").tolist() for x in own.encode_batch(batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "token_ids": ids})
+            rows = []
+            for ids in own.encode_batch(batch["text"]):
+                rows.append((np.frombuffer(ids, "<i4"), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+            out = pd.DataFrame(rows, columns=["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
+            out.insert(0, "doc_id", batch["doc_id"])
+            yield out
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, token_ids array<int>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(encoded_docs: DataFrame, spec: str) -> DataFrame:

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from framelake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, ranking, secret_scan, sharding
 
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_line_dedup": line_dedup.op1,
     "op2_pairwise_ranking": ranking.op2,
     "op3_secret_scan": secret_scan.op3,
