@@ -1,7 +1,10 @@
 """Quality rules: repetition counts, and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word n-grams are estimated, one from trusted rows
-and one from all rows (each n-gram of each text counts). A text's verdict is the
+and one from all rows (each n-gram of each text counts). Words enter an n-gram by
+their shape (runs of small letters, capitals and digits become one sign each) and
+by whether they repeat the word before, so that clean texts whose words no trusted
+text holds aren't taken for junk. A text's verdict is the
 mean over its n-grams of log(p_trusted / p_raw): length-normalised, and compared
 with a fixed threshold. Weights are rounded to integers, so that sums do not
 depend on the order of rows and reruns give the same verdict for every text.
@@ -24,13 +27,13 @@ from pyspark.sql import functions as F
 from framelake.llm.common import Scratch, checked, documents, let, text_or_empty, words
 
 BUCKETS = 1 << 16
-ORDERS = (1, 2)
+ORDER = 2
 #: Weights are whole multiples of 1 / SCALE.
 SCALE = 1 << 16
 #: Mean log-likelihood ratio below which a text is rejected.
-MIN_RATIO = -0.15
-#: Smoothing: this many n-grams, dealt as the raw corpus is, are added to the trusted ones.
-PSEUDO_COUNTS = 65.536
+MIN_RATIO = -0.35
+#: Smoothing: n-grams dealt as the raw corpus is are added to the trusted ones, this share of their number.
+PSEUDO_SHARE = 0.05
 WINDOW = 5
 
 
@@ -39,43 +42,48 @@ class RatioModel:
     """Integer weights by bucket."""
 
     weights: list[int]
-    orders: tuple[int, ...] = ORDERS
 
-    def total(self, w: Column) -> Column:
-        """Sum of the weights of the n-grams of an array of words."""
+    def total(self, w: Column, shapes: Column) -> Column:
+        """Sum of the weights of the n-grams of a text, from its words and their shapes."""
         # A text literal that the optimizer folds into one constant array.
         table = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<int>")
-        grams = F.concat(*[ngrams(w, n, len(self.weights)) for n in self.orders])
+        grams = ngrams(w, shapes, len(self.weights))
         return let(table, lambda t: F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(t, b)))
 
 
-def ngrams(w: Column, n: int, buckets: int = BUCKETS) -> Column:
-    """The buckets of a text's word n-grams, in order."""
-    if n == 1:
-        return F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
+def shape(text: Column) -> Column:
+    """text with its runs of small letters, capitals and digits as one sign each; white space stays."""
+    for run, sign in ((r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
+        text = F.regexp_replace(text, run, sign)
+    return text
+
+
+def ngrams(w: Column, shapes: Column, buckets: int = BUCKETS, n: int = ORDER) -> Column:
+    """The buckets of a text's n-grams, in order."""
     at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.pmod(F.xxhash64(*[F.get(w, i + k) for k in range(n)]), F.lit(buckets)).cast("int"))
+    again = lambda i: F.get(w, i) == F.get(w, i + 1)
+    return F.transform(at, lambda i: F.pmod(F.xxhash64(*[F.get(shapes, i + k) for k in range(n)], again(i)), F.lit(buckets)).cast("int"))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> RatioModel:
+def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS) -> RatioModel:
     """Weights from all texts of docs against those whose doc_id is in trusted (doc_id).
 
     Map-side aggregation leaves at most `buckets` rows a task to shuffle.
     """
     ids = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("is_trusted", F.lit(1))
-    w = words(F.col("text"))
-    rows = docs.where("text is not null").select("doc_id", w.alias("w")).join(checked(ids, 24), "doc_id", "left")
-    grams = rows.select("is_trusted", F.explode(F.concat(*[ngrams(F.col("w"), n, buckets) for n in orders])).alias("b"))
-    counts = Scratch(docs.sparkSession, "ratio").save(grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("good")))
+    text = F.col("text")
+    grams = let(words(text), lambda w: let(words(shape(text)), lambda s: ngrams(w, s, buckets)))
+    rows = docs.where("text is not null").select("doc_id", "text").join(checked(ids, 24), "doc_id", "left")
+    counts = rows.select("is_trusted", F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("good"))
+    counts = Scratch(docs.sparkSession, "ratio").save(counts)
     raw_all, good_all = counts.agg(F.sum("raw"), F.sum("good")).first()
     weights = [0] * buckets
     if good_all:
-        p_raw = F.col("raw") / raw_all
-        p_good = (F.col("good") + PSEUDO_COUNTS * p_raw) / (good_all + PSEUDO_COUNTS)
-        weight = F.round(F.log(p_good / p_raw) * SCALE).cast("int")
-        for b, x in counts.select("b", weight).collect():  # at most `buckets` rows
+        p_raw, pseudo = F.col("raw") / raw_all, PSEUDO_SHARE * good_all
+        p_good = (F.col("good") + pseudo * p_raw) / (good_all + pseudo)
+        for b, x in counts.select("b", F.round(F.log(p_good / p_raw) * SCALE).cast("int")).collect():  # at most `buckets` rows
             weights[b] = x
-    return RatioModel(weights, orders)
+    return RatioModel(weights)
 
 
 def base_counts(w: Column, text: Column) -> dict[str, Column]:
@@ -109,29 +117,41 @@ def covered(hashes: Column, n: int) -> Column:
     )
 
 
+def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
+    """A struct of n_words, the base counts, base_failed, ratio_sum, n_grams and kept.
+
+    One expression, with the words bound once: a filter on a field of it can be
+    pushed down without the words being split anew for each of them.
+    """
+    zero = F.lit(0).cast("long")
+
+    def counted(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        ratio = let(words(shape(text)), lambda s: model.total(w, s))
+        named = {"n_words": n} | base_counts(w, text) | {"ratio_sum": ratio, "n_grams": F.greatest(n - (ORDER - 1), zero)}
+        return F.struct(*[c.alias(k) for k, c in named.items()])
+
+    def judge(c: Column) -> Column:
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        kept = ~failed & (c["ratio_sum"] >= c["n_grams"] * F.lit(round(min_ratio * SCALE)))
+        fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio_sum", "n_grams")
+        return F.struct(*[c[k].alias(k) for k in fields], failed.alias("base_failed"), kept.alias("kept"))
+
+    return let(let(words(text), counted), judge)
+
+
 def judged(docs: DataFrame, model: RatioModel, *, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """docs with n_words, the base counts, base_failed, ratio_sum, n_grams and kept."""
-    text = text_or_empty()
-    w = F.col("_w")
-    out = docs.withColumn("_w", words(text))
-    n = F.size(w).cast("long")
-    grams = sum((F.greatest(n - (k - 1), F.lit(0).cast("long")) for k in model.orders[1:]), F.greatest(n - (model.orders[0] - 1), F.lit(0).cast("long")))
-    out = out.withColumns({"n_words": n} | base_counts(w, text) | {"ratio_sum": model.total(w), "n_grams": grams}).drop("_w")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    least = round(min_ratio * SCALE)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio_sum") >= F.col("n_grams") * F.lit(least)))
+    """docs (doc_id, text) and the fields of its verdict."""
+    return docs.withColumn("_verdict", verdict(text_or_empty(), model, min_ratio)).select(*docs.columns, "_verdict.*")
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select("doc_id")
 
 
-def keep(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, trusted: DataFrame, *, min_ratio: float = MIN_RATIO) -> DataFrame:
     """The rows of docs that pass; all columns of docs, no others."""
-    columns = docs.columns
-    model = fit(docs, trusted)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "text")
-    return judged(inner, model, **options).where("kept").select("_row.*")
+    return docs.where(verdict(text_or_empty(), fit(docs, trusted), min_ratio)["kept"])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
