@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, ranking, secret_scan, sharding
+from framelake.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, ranking, secret_scan, sharding, suffix_dedup
 
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_mixing": mixing.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_bpe": bpe.op9,
+    "op10_suffix_dedup": suffix_dedup.op10,
 }
 
 SQL = {
