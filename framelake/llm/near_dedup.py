@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree less than this are not verified; over four standard errors below SIMILARITY.
 MIN_AGREEMENT = 0.65
 #: Pivots of a bucket in the first round and in later ones.
-PIVOTS = (1, 16)
+PIVOTS = (1, 256)
 #: Words whose hashes a worker remembers.
 MAX_WORDS = 1_000_000
 _BLOCK = 4096
@@ -179,7 +179,8 @@ def near_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> DataF
         rest = labelled.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
         members = scratch.save(rest)
         scratch.drop(labelled)
-        links = scratch.save(links.union(found))
+        # What is known to belong together is a star for each component: new links are added to these.
+        links = scratch.save(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(found))
         groups, turn = components(scratch, links), turn + 1
     copies = same.where("n > 1").select("set_digest", "id")
     rows = sketch.select("doc_id", "n_shingles", "set_digest").join(copies, "set_digest", "left").withColumn("node", F.coalesce("id", "doc_id"))
