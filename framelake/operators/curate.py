@@ -11,6 +11,16 @@ def passes_thresholds(sharpness: float = 100.0, motion: float = 0.5, brightness:
     return (F.col("sharpness") >= sharpness) & (F.col("motion") >= motion) & (F.col("brightness") >= brightness)
 
 
+def in_date_range(day: Column, start: str | None, end: str | None) -> Column:
+    """FIL-02: inclusive; a bound that is None doesn't count."""
+    out = F.lit(True)
+    if start is not None:
+        out = out & (day >= F.lit(start).cast("date"))
+    if end is not None:
+        out = out & (day <= F.lit(end).cast("date"))
+    return out
+
+
 def diverse_top_n(scored: DataFrame, *, group: str, score: str, tie: str, n: int) -> DataFrame:
     """WIN-01/02: the best row of each group, then the n best of those, ranked from 1.
 
@@ -27,3 +37,105 @@ def diverse_top_n(scored: DataFrame, *, group: str, score: str, tie: str, n: int
     )
     top = best.orderBy(F.col(score).desc(), tie).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(tie))))
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """WIN-02 for any number of rows: rank from 1, without sending all rows to one task.
+
+    Rows are range partitioned by the order; a task numbers its own rows, and the
+    rows of the partitions before it are added.
+    """
+    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    return offset_rank(parted, "_part", *order)
+
+
+def offset_rank(rows: DataFrame, part: str, *order: Column, name: str = "rank") -> DataFrame:
+    """Numbers from 1 in (part, order), by counts of the parts before: parts are in order already."""
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return rows.withColumn("_rn", inner).join(sizes, part).withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_rn", "_before", part)
+
+
+def last_n(rows: DataFrame, *, by: str, order: str, n: int) -> DataFrame:
+    """WIN-05: the last n rows of each group in order; 0 keeps all."""
+    if n == 0:
+        return rows
+    w = Window.partitionBy(by).orderBy(F.col(order).desc())
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def first_then_backfill(rows: DataFrame, *, keys: list[str], order: Column, n: int) -> DataFrame:
+    """WIN-06: the first row of each key, then the others, both in order, up to n."""
+    firsts = Window.partitionBy(*keys).orderBy(order)
+    marked = rows.withColumn("is_first", F.row_number().over(firsts) == 1)
+    return marked.orderBy(F.col("is_first").desc(), order).limit(n)
+
+
+def interleaved(times: DataFrame, *, by: list[str], time: str, k: int, seed: str) -> DataFrame:
+    """WIN-04: distinct sorted times in k floor buckets, shuffled inside, taken in turn: `bucket`, `turn`, `place`.
+
+    The shuffle is an order by MD5 of seed, keys and time.
+    """
+    distinct = times.select(*by, time).distinct()
+    keys = Window.partitionBy(*by)
+    j, n = F.row_number().over(keys.orderBy(time)) - 1, F.count(F.lit(1)).over(keys)
+    text = F.md5(F.concat_ws("|", F.lit(seed), *by, F.col(time).cast("string")).cast("binary"))
+    out = distinct.withColumns({"_j": j, "_n": n, "_h": text})
+    plain = (F.col("_n") <= 1) | F.lit(k <= 1)
+    out = out.withColumn("bucket", F.when(plain, 0).otherwise(F.floor(((F.col("_j") + 1) * k - 1) / F.col("_n"))).cast("int"))
+    out = out.withColumn("turn", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("_h")))
+    return out.withColumn("place", F.row_number().over(keys.orderBy("turn", "bucket"))).drop("_j", "_n", "_h")
+
+
+def miss_streak(rows: DataFrame, *, by: str, order: list[str], ok: Column, limit: int) -> DataFrame:
+    """WIN-10: rows up to the one at which `limit` misses in a row are reached (0: all rows), with `streak`."""
+    w = Window.partitionBy(by).orderBy(*order)
+    runs = rows.withColumn("_ok", ok.cast("int")).withColumn("_run", F.sum("_ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("streak", F.when(F.col("_ok") == 1, 0).otherwise(F.sum(1 - F.col("_ok")).over(Window.partitionBy(by, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))))
+    if limit:
+        hit = F.sum((F.col("streak") == limit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        runs = runs.withColumn("_hit", F.coalesce(hit, F.lit(0))).where("_hit = 0").drop("_hit")
+    return runs.drop("_ok", "_run")
+
+
+def capped_successes(rows: DataFrame, *, by: str, order: list[str], ok: Column, cap: int) -> DataFrame:
+    """WIN-10: rows of each group until `cap` successes are reached (0: no cap)."""
+    if not cap:
+        return rows
+    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_done", F.coalesce(F.sum(ok.cast("int")).over(before), F.lit(0))).where(F.col("_done") < cap).drop("_done")
+
+
+def hash_order(seed: str, *keys: str) -> Column:
+    """SRT-01/06: a seeded order that does not depend on partitions."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *keys).cast("binary"))
+
+
+def sampled(rows: DataFrame, *, seed: str, keys: list[str], n: int) -> DataFrame:
+    """SRT-06: n rows without replacement."""
+    return rows.orderBy(hash_order(seed, *keys), *keys).limit(n)
+
+
+def pick_one(items: Column, seed: Column) -> Column:
+    """SRT-08: one element of an array, by hash."""
+    return F.when(F.size(items) > 0, F.element_at(items, (F.pmod(F.xxhash64(seed), F.size(items)) + 1).cast("int")))
+
+
+def enough(rows: DataFrame, n: int, strict: bool) -> DataFrame:
+    """SRT-09: an error if strict and fewer than n rows are there, checked as the query runs."""
+    if not strict:
+        return rows
+    total = rows.agg(F.assert_true(F.count(F.lit(1)) >= n, f"fewer than {n} rows").alias("ok"))
+    return rows.join(F.broadcast(total.select(F.lit(1).alias("_k"), F.isnull("ok").alias("_ok"))), F.lit(1) == F.col("_k")).where("_ok").drop("_k", "_ok")
+
+
+def last_write_wins(records: DataFrame, *, keys: list[str], value: str, order: str) -> DataFrame:
+    """WIN-08, SRC-09: the latest value of each key."""
+    return records.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+
+
+def pending(listed: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """FIL-12, JOIN-07, SET-03: listed rows without a terminal record."""
+    return listed.join(done.select(*keys).distinct(), keys, "left_anti")

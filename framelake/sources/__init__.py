@@ -1 +1,102 @@
+"""Readers: files by convention, tolerant records, nested annotation documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.functions.names import FRAME_NAME, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, base_name, stem
+
+STATUSES = ("downloaded", "unavailable", "failed")
+MANIFEST = "status string, hive string, day string, time string, path string, reason string, _corrupt_record string"
+COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int,license:int,date_captured:string>>,
+ annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,segmentation:string,iscrowd:int>>,
+ categories array<struct<id:int,name:string,supercategory:string>>"""
+
+
+def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
+    """path, folder, name, size_bytes, mtime of files; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+    files = files.withColumns({"name": base_name(F.col("path")), "folder": F.regexp_replace("path", "/[^/]*$", "")})
+    return files.where(F.lower("name").rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")) if extensions else files
+
+
+def videos(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-03/04, FIL-03."""
+    return listing(spark, root, VIDEO_EXTENSIONS, recursive=False)
+
+
+def video_list(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-05: paths of a text list, without blanks and `#` lines; order is kept in `line`."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "path"))
+    return lines.withColumn("path", F.trim("path")).where("path <> '' and not startswith(path, '#')")
+
+
+def missing_from(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """SRC-05: listed paths that aren't there; must be empty."""
+    return listed.join(files.select("path").distinct(), "path", "left_anti")
+
+
+def samples(files: DataFrame) -> DataFrame:
+    """SRC-01, JOIN-01: frames whose mask `<stem>_mask.png` lies beside them: video_id, frame_id and both paths."""
+    named = files.withColumn("stem", stem(F.col("path")))
+    ext = "(" + "|".join(e.replace(".", r"\.") for e in IMAGE_EXTENSIONS) + ")$"
+    masks = named.where(F.lower("name").endswith("_mask.png")).select("folder", F.regexp_replace("stem", "_mask$", "").alias("stem"), F.col("path").alias("mask_path"))
+    frames = named.where(F.lower("name").rlike(ext) & ~F.col("stem").endswith("_mask"))
+    return frames.join(masks, ["folder", "stem"]).select(base_name(F.col("folder")).alias("video_id"), F.col("stem").alias("frame_id"), F.col("path").alias("frame_path"), "mask_path")
+
+
+def backgrounds(files: DataFrame) -> DataFrame:
+    """SRC-02."""
+    return files.where("name = 'background.png'").select(base_name(F.col("folder")).alias("video_id"), "path")
+
+
+def frame_index(files: DataFrame) -> DataFrame:
+    """SRC-15, FIL-04, SRT-04: frames by name pattern, with their number."""
+    return files.where(F.col("name").rlike(FRAME_NAME)).select(base_name(F.col("folder")).alias("video"), F.col("path").alias("frame_path"), F.regexp_extract("name", FRAME_NAME, 1).cast("long").alias("frame_idx"), "size_bytes", F.col("mtime").cast("double").alias("mtime"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-09, FIL-14: valid records in file order (`seq`); bad lines, unknown statuses and missing keys are skipped."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("seq", "value"))
+    rows = raw.select("seq", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("seq", "r.*")
+    return rows.where(F.col("_corrupt_record").isNull() & F.col("status").isin(*STATUSES)).where("hive is not null and day is not null and time is not null").drop("_corrupt_record")
+
+
+def next_day_index(spark: SparkSession, path: str, signature: str) -> int:
+    """SRC-10: the saved position, 0 if there is none for this signature."""
+    try:
+        row = spark.read.schema("signature string, next_day_index int").json(path).where(F.col("signature") == signature).first()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        row = None
+    return max(0, row.next_day_index or 0) if row else 0
+
+
+def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC-11: images, annotations and categories of annotation documents."""
+    doc = spark.read.schema(COCO).option("multiLine", True).json(path)
+    return tuple(doc.select(F.inline(c)) for c in ("images", "annotations", "categories"))
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-12: a YAML list of workspace, project, version, note."""
+    import yaml
+
+    text = "\n".join(r[0] for r in spark.read.text(path).collect())  # a hand-written list
+    items = yaml.safe_load(text)
+    if not isinstance(items, list):
+        raise ValueError("the registry must be a list")
+    rows = [(i["workspace"], i["project"], None if i.get("version") is None else str(i["version"]), i.get("note")) for i in items]
+    return spark.createDataFrame(rows, "workspace string, project string, version string, note string")
+
+
+def pairs(lines: DataFrame) -> DataFrame:
+    """SRC-20: workspace and project of `workspace/project` lines (value)."""
+    return lines.where(F.instr("value", "/") > 0).select(F.split_part("value", F.lit("/"), F.lit(1)).alias("workspace"), F.split_part("value", F.lit("/"), F.lit(2)).alias("project"))
+
+
+def checkpoint(files: DataFrame, named: str | None = None) -> DataFrame:
+    """SRC-22: the named path, or the last by path."""
+    return files.where(F.col("path") == named).select("path") if named else files.agg(F.max("path").alias("path"))
