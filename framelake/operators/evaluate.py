@@ -75,7 +75,7 @@ def average_precision(matches: DataFrame) -> DataFrame:
     """ML-11, second half: ap by (category_id, threshold); null for classes without positives."""
     keys = ["category_id", "threshold"]
     positives = matches.groupBy(*keys).agg(F.sum("positives").alias("positives"))
-    d = matches.where("rank >= 0 and not ignored")
+    d = matches.where("rank >= 0 and not ignored").drop("positives")
     by = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "image_id", "rank")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("tps", F.sum(F.col("tp").cast("int")).over(upto)).withColumn("seen", F.count(F.lit(1)).over(upto)).join(positives, keys)

@@ -65,7 +65,7 @@ def background_model(frames: DataFrame, *, by: str, schema: str, rate: float = 0
     """
     import pandas as pd
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         group = group.sort_values("idx")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from framelake.plans import curation
+from framelake.plans import analytics, curation, keyframes, text, warehouse
 
-QUERIES = {**curation.QUERIES}
-SQL = {**curation.SQL}
+MODULES = (curation, keyframes, warehouse, text, analytics)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
