@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,49 +28,60 @@ def overlapping(truth: DataFrame, found: DataFrame, *, on: list[str], least: flo
     return t.join(d, on).withColumn("iou", iou(*box("t"), *box("d"))).where(F.col("iou") >= least)
 
 
+def _match_image(g: np.ndarray, ignore: np.ndarray, crowd: np.ndarray, d: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+    """(matched, ignored) by threshold and detection; truths come with the ignored ones last, detections by score."""
+    hit, skip = np.zeros((len(THRESHOLDS), len(d)), bool), np.zeros((len(THRESHOLDS), len(d)), bool)
+    outside = (d[:, 2] * d[:, 3] < lo) | (d[:, 2] * d[:, 3] > hi)
+    if not len(g):
+        skip[:] = outside
+        return hit, skip
+    w = np.clip(np.minimum((d[:, 0] + d[:, 2])[:, None], g[:, 0] + g[:, 2]) - np.maximum(d[:, 0][:, None], g[:, 0]), 0, None)
+    h = np.clip(np.minimum((d[:, 1] + d[:, 3])[:, None], g[:, 1] + g[:, 3]) - np.maximum(d[:, 1][:, None], g[:, 1]), 0, None)
+    own, other = (d[:, 2] * d[:, 3])[:, None], g[:, 2] * g[:, 3]
+    over = w * h / np.where(crowd, own, own + other - w * h)
+    places = np.arange(len(g))
+    for k, t in enumerate(THRESHOLDS):
+        used = np.zeros(len(g), bool)
+        for i in range(len(d)):
+            fits = (over[i] >= t) & (~used | crowd)
+            # A truth that counts goes before one that is ignored; among equals the last best overlap.
+            of = fits & ~ignore if (fits & ~ignore).any() else fits
+            if not of.any():
+                skip[k, i] = outside[i]
+                continue
+            j = places[of][len(places[of]) - 1 - int(np.argmax(over[i][of][::-1]))]
+            used[j], hit[k, i], skip[k, i] = True, True, ignore[j]
+    return hit, skip
+
+
 def matched(truth: DataFrame, found: DataFrame, *, area: str = "all", max_dets: int = 100) -> DataFrame:
-    """ML-11, first half: (category_id, image_id, threshold, score, rank, tp, ignored) of each detection, and a row a class of positives.
+    """ML-11, first half: (image_id, category_id, threshold, score, rank, tp, ignored, positives) of each detection, and a row of rank -1 with the positives of each image and class.
 
-    truth: image_id, category_id, bbox, area, iscrowd; found: image_id, category_id, bbox, score. Greedy matching by image and class.
+    truth: image_id, category_id, bbox, area, iscrowd; found: image_id, category_id, bbox, score.
+    Boxes of an image and class are gathered, which one picture bounds, and matched in Arrow batches.
     """
     lo, hi = AREAS[area]
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        gt = left.assign(ign=(left["iscrowd"] == 1) | (left["area"] < lo) | (left["area"] > hi)).sort_values("ign", kind="stable")
-        dt = right.sort_values("score", ascending=False, kind="stable").head(max_dets)
-        g, d = np.array(gt["bbox"].tolist()).reshape(-1, 4), np.array(dt["bbox"].tolist()).reshape(-1, 4)
-        ign, crowd = gt["ign"].to_numpy(bool), (gt["iscrowd"] == 1).to_numpy(bool)
-        over = np.zeros((len(d), len(g)))
-        if len(d) and len(g):
-            w = np.clip(np.minimum((d[:, 0] + d[:, 2])[:, None], g[:, 0] + g[:, 2]) - np.maximum(d[:, 0][:, None], g[:, 0]), 0, None)
-            h = np.clip(np.minimum((d[:, 1] + d[:, 3])[:, None], g[:, 1] + g[:, 3]) - np.maximum(d[:, 1][:, None], g[:, 1]), 0, None)
-            own, other = (d[:, 2] * d[:, 3])[:, None], g[:, 2] * g[:, 3]
-            over = w * h / np.where(crowd, own, own + other - w * h)
-        rows = []
-        for t in THRESHOLDS:
-            used = np.zeros(len(g), bool)
-            for i in range(len(d)):
-                best, pick = min(t, 1 - 1e-10), -1
-                for j in range(len(g)):
-                    if used[j] and not crowd[j]:
-                        continue
-                    if pick >= 0 and not ign[pick] and ign[j]:
-                        break
-                    if over[i, j] >= best:
-                        best, pick = over[i, j], j
-                size = d[i, 2] * d[i, 3]
-                ignored = bool(ign[pick]) if pick >= 0 else bool(size < lo or size > hi)
-                if pick >= 0:
-                    used[pick] = True
-                rows.append((t, float(dt["score"].iloc[i]), i, pick >= 0, ignored, 0))
-            rows.append((t, None, -1, False, True, int((~ign).sum())))
-        out = pd.DataFrame(rows, columns=["threshold", "score", "rank", "tp", "ignored", "positives"])
-        out.insert(0, "image_id", key[0])
-        out.insert(0, "category_id", key[1])
-        return out
-
-    kind = "category_id int, image_id long, threshold double, score double, rank int, tp boolean, ignored boolean, positives long"
-    return truth.groupBy("image_id", "category_id").cogroup(found.groupBy("image_id", "category_id")).applyInPandas(run, kind)
+    keys = ["image_id", "category_id"]
+    ignore = (F.col("iscrowd") == 1) | (F.col("area") < lo) | (F.col("area") > hi)
+    t = truth.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ignore.alias("ignore"), F.col("bbox").cast("array<double>").alias("bbox"), (F.col("iscrowd") == 1).alias("crowd")))).alias("truths"))
+    d = found.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("bbox").cast("array<double>").alias("bbox")))), 1, max_dets).alias("dets"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts: list[tuple] = []
+            for image, category, truths, dets in zip(batch["image_id"], batch["category_id"], batch["truths"], batch["dets"]):
+                truths, dets = ([] if x is None else list(x) for x in (truths, dets))
+                g, b = (np.array([list(x["bbox"]) for x in xs], np.float64).reshape(-1, 4) for xs in (truths, dets))
+                skip_truth, crowd = (np.array([bool(x[c]) for x in truths], bool) for c in ("ignore", "crowd"))
+                hit, skip = _match_image(g, skip_truth, crowd, b, lo, hi)
+                positives = int((~skip_truth).sum())
+                for k, t_ in enumerate(THRESHOLDS):
+                    parts += [(image, category, t_, -x["s"], i, bool(hit[k, i]), bool(skip[k, i]), 0) for i, x in enumerate(dets)]
+                    parts.append((image, category, t_, None, -1, False, True, positives))
+            yield pd.DataFrame(parts, columns=["image_id", "category_id", "threshold", "score", "rank", "tp", "ignored", "positives"])
+
+    kind = "image_id long, category_id int, threshold double, score double, rank int, tp boolean, ignored boolean, positives long"
+    return t.join(d, keys, "full").select(*keys, "truths", "dets").mapInPandas(run, kind)
 
 
 def average_precision(matches: DataFrame) -> DataFrame:
