@@ -75,6 +75,16 @@ class Scratch:
                     at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """`names` beside the whole row as a struct `_row`, so that other columns can't clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of `_row`, those named in `new` replaced."""
+    return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def checked(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Broadcast a side if its counted rows fit BROADCAST_BYTES; else leave the join to shuffle."""
     rows = df.count() if rows is None else rows

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import SPACE, documents, let
+from framelake.llm.common import SPACE, documents, let, packed, unpacked
 
 MIN_WORDS = 5
 #: What ends a unit.
@@ -81,8 +81,8 @@ def repeats(docs: DataFrame, *, end: str = LINE, min_words: int = MIN_WORDS) ->
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with repeated units taken out of their texts; all columns stay. Rows are joined by doc_id and text."""
     done = repeats(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "kept_text").dropDuplicates(["_id", "_text"])
-    joined = docs.join(done, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
-    return joined.withColumn("text", F.col("kept_text")).select(*docs.columns)
+    joined = packed(docs, "doc_id", "text").join(done, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
+    return unpacked(joined, docs.columns, text=F.col("kept_text"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

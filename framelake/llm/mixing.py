@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, documents, text_or_empty, word_count, words
+from framelake.llm.common import Scratch, checked, documents, packed, text_or_empty, unpacked, word_count, words
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 2048
@@ -164,17 +164,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A document that a pass takes whole keeps its text as it is. Rows that are
     equal in doc_id, source and text count as one here. All columns stay.
     """
-    once = docs.withColumn("_rank", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_rank"]).drop("_rank")
+    once = packed(docs, "doc_id", "source", "text", F.xxhash64("text").alias("_hash")).dropDuplicates(["doc_id", "source", "_hash"])
     once = Scratch(docs.sparkSession, "mixed").save(once)
-    pieces = Mix(once, **options).pieces()
-    pieces = pieces.withColumnRenamed("doc_id", "_doc_id")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("text_hash"))
+    pieces = Mix(once.select("doc_id", "source", "text"), **options).pieces().withColumnRenamed("doc_id", "_doc_id")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("text_hash"))
+    out = once.join(pieces, same).withColumn("_words", F.when(~F.col("whole"), words(text_or_empty())))
     part = F.flatten(F.transform("parts", lambda p: F.slice("_words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int"))))
-    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(part, " "))
-    out = once.join(pieces, same).withColumn("_words", words(text_or_empty())).withColumn("text", text)
+    out = out.withColumn("_text", F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(part, " ")))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **new)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

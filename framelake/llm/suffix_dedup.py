@@ -43,7 +43,9 @@ from framelake.llm.common import Scratch, checked, documents, text_or_empty
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes of context on either side of an anchor
-HOT = 20_000
+HOT = 8_000
+#: Contexts that are sorted together, besides the group of an anchor that is begun.
+TOGETHER = 4_000
 _CHUNK = 1 << 20
 _FIRST = -(1 << 63)
 _U = np.uint64
@@ -222,7 +224,7 @@ def sorted_repeats(groups: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             rows += len(batch)
-            if rows >= HOT:
+            if rows >= TOGETHER:
                 whole = pd.concat(held, ignore_index=True)
                 last = whole["anchor"] == whole["anchor"].iloc[-1]  # its group may go on
                 if not last.all():
@@ -260,10 +262,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     twice = all_anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     places = scratch.save(all_anchors.join(twice, "h").groupBy("doc", "tie").agg(F.collect_list("place").alias("places")))  # no more than the text has anchors
     scratch.drop(all_anchors)
-    n_docs, n_places = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    bytes_each = 48 + 4 * n_places // max(1, n_docs)
 
-    contexts = context_rows(own.join(checked(places, bytes_each, n_docs), ["doc", "tie"]))
+    contexts = context_rows(own.join(places.hint("merge"), ["doc", "tie"]))
     contexts = contexts.groupBy("context", "lead").agg(F.min(F.struct("doc", "tie", "place")).alias("f")).select("context", "lead", "f.*")
     contexts = contexts.withColumn("anchor", F.xxhash64(F.substring(F.col("context"), F.col("lead") + 1, F.lit(GRAM))))
     contexts = scratch.save(contexts)
@@ -287,8 +287,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     marks = marks.select("doc", "tie", ranges.alias("ranges")).where(F.size("ranges") > 0)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("stop")))
     marks = scratch.save(marks.unionByName(copies.where(F.col("size") >= LENGTH).select("doc", "tie", whole.alias("ranges"))))
-    n_marks, n_ranges = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    return rows.join(checked(marks, 48 + 24 * n_ranges // max(1, n_marks), n_marks), ["doc", "tie"], "left").select("doc_id", "text", "ranges")
+    return rows.join(marks.hint("merge"), ["doc", "tie"], "left").select("doc_id", "text", "ranges")
 
 
 def merged(ranges: np.ndarray, size: int) -> list[tuple[int, int]]:
