@@ -36,8 +36,8 @@ SIMILARITY = 80  # of 100
 BANDS, ROWS = 32, 5
 #: Pairs whose signatures agree less than this are not verified; over four standard errors below SIMILARITY.
 MIN_AGREEMENT = 0.65
-#: Pivots of a bucket in the first round and in later ones.
-PIVOTS = (1, 256)
+#: Most pivots of a bucket in the first rounds; the last number holds for all later ones.
+PIVOTS = (1, 64, 4096)
 #: Words whose hashes a worker remembers.
 MAX_WORDS = 1_000_000
 _BLOCK = 4096
@@ -162,26 +162,28 @@ def near_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> DataF
     odd = known.groupBy("doc_id").agg(F.min("set_digest").alias("lo"), F.max("set_digest").alias("hi")).where("lo <> hi").select("doc_id")
     links = known.join(odd, "doc_id", "left_semi").join(same.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v").distinct()
     links = scratch.save(links)
-    sets, groups, turn = None, components(scratch, links), 0
+    groups, turn = components(scratch, links), 0
     while True:
         labelled = members.join(groups, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         labelled = scratch.save(labelled.join(split, "bucket"))
         if labelled.isEmpty():
             break
-        pairs, pivots = paired(labelled, PIVOTS[min(turn, 1)])
+        pairs, pivots = paired(labelled, PIVOTS[min(turn, len(PIVOTS) - 1)])
         near = scratch.save(agreeing(pairs, reps))
+        rest = labelled.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
+        members, turn = scratch.save(rest), turn + 1
+        if near.isEmpty():
+            continue
         wanted = near.select(F.col("u").alias("doc_id")).union(near.select(F.col("v").alias("doc_id"))).distinct()
-        known_ids = docs.where("text is not null").join(checked(wanted, 16), "doc_id", "left_semi")
-        sets = scratch.save(full_sets(known_ids, shingle_words))
+        sets = scratch.save(full_sets(docs.where("text is not null").join(checked(wanted, 16), "doc_id", "left_semi"), shingle_words))
         found = scratch.save(confirmed(near, sets).distinct())
         scratch.drop(sets)
-        rest = labelled.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        members = scratch.save(rest)
-        scratch.drop(labelled)
+        if found.isEmpty():
+            continue
         # What is known to belong together is a star for each component: new links are added to these.
         links = scratch.save(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(found))
-        groups, turn = components(scratch, links), turn + 1
+        groups = components(scratch, links)
     copies = same.where("n > 1").select("set_digest", "id")
     rows = sketch.select("doc_id", "n_shingles", "set_digest").join(copies, "set_digest", "left").withColumn("node", F.coalesce("id", "doc_id"))
     out = rows.join(groups, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
