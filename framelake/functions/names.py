@@ -115,7 +115,7 @@ def threshold_name(stem_: Column, threshold: Column) -> Column:
 
 def float_list(text: Column) -> Column:
     """STR-11: an array of doubles from comma-separated text; blanks are left out."""
-    return F.transform(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), lambda x: x.cast("double"))
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("double"))
 
 
 def parse_date(text: Column) -> Column:

@@ -77,7 +77,7 @@ def crop_center(mask: np.ndarray, size: int, rng: np.random.Generator, jitter: i
     if not (mask == FOREGROUND).any():
         raise ValueError("no foreground")
     py, px = divmod(int(distance(mask).argmax()), w)
-    dx, dy = (int(v) for v in rng.integers(-jitter, jitter + 1, 2)) if jitter else (0, 0)
+    dx, dy = (int(rng.integers(-jitter, jitter + 1)) if jitter else 0 for _ in range(2))  # x is drawn first
     half = size // 2
     return max(half, min(px + dx, w - half - 1)), max(half, min(py + dy, h - half - 1)), px, py
 

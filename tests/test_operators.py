@@ -201,3 +201,19 @@ def test_even_indices(spark):
     for n in (1, 2, 6, 7, 23):
         got = spark.range(1).select(numbers.even_indices(F.lit(n), 6).alias("i")).first().i
         assert got == (list(range(n)) if n <= 6 else [round(i * (n - 1) / 5) for i in range(6)])
+
+
+def test_crops(spark):
+    from framelake.operators.crops import CropRule, crops
+
+    image, mask = np.full((64, 64, 3), 200, np.uint8), np.zeros((64, 64), np.uint8)
+    mask[24:40, 24:40] = 255
+    rows = [(0, "v1", "a", bytearray(image.tobytes()), bytearray(mask.tobytes()), 64, 64), (1, "v1", "b", bytearray(image.tobytes()), bytearray(64 * 64), 64, 64), (2, "v1", "c", None, None, 64, 64)]
+    items = spark.createDataFrame(rows, "idx long, video_id string, frame_id string, frame binary, mask binary, h int, w int")
+    pool = spark.createDataFrame([("v2", bytearray(b"\x32" * (32 * 32 * 3)), 32, 32)], "video_id string, frame binary, h int, w int")
+    run = lambda **k: {r.idx: r for r in crops(items, pool, CropRule(size=32, **k)).collect()}
+    one = run(swap_probability=1.0)
+    assert one[0].swapped and set(bytes(one[0].image)) == {200, 50} and set(bytes(one[0].classes)) == {0, 2} and one[0].peak == [16, 16]
+    assert one[1].error == "no component" and one[2].error
+    assert not run(swap_probability=0.0)[0].swapped and one == run(swap_probability=1.0)
+    assert len({tuple(run(epoch=e)[0].bbox) for e in range(6)}) > 1
