@@ -169,3 +169,16 @@ def test_stages_keep_other_columns(spark, extra):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0
+
+
+def test_stages_take_nulls_and_repeats(spark):
+    t = "some words that go on and on for a while and are not repeated in here at all so that rules pass"
+    rows = [(None, t, None, None, None), (None, None, None, None, None), (1, t, "en", "a", 5), (1, t, "en", "a", 5), (1, t + " more", "en", None, 5), (2, "", "en", "a", 0), (3, "x " * 30_000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        kept = out.collect()
+        if name != "bpe":
+            assert out.columns == docs.columns and {r.doc_id for r in kept} <= {None, 1, 2, 3}, name
+        else:
+            assert len(kept) == len(rows)
