@@ -73,9 +73,9 @@ def test_mask_rows(spark):
 
 
 def test_names(spark):
-    rows = [("R_4-22@2025-06-01@12-30-00.mp4",), ("bad",), (None,), ("a@2025-13-01@00-00-00",)]
+    rows = [("h-1@2025-06-01@12-30-00.mp4",), ("bad",), (None,), ("a@2025-13-01@00-00-00",)]
     r = spark.createDataFrame(rows, "n string").select(names.parse_video_name(F.col("n")).alias("p")).collect()
-    assert (r[0].p.hive, str(r[0].p.day), r[0].p.time) == ("R_4-22", "2025-06-01", "12:30:00") and r[1].p is None and r[2].p is None and r[3].p.day is None
+    assert (r[0].p.hive, str(r[0].p.day), r[0].p.time) == ("h-1", "2025-06-01", "12:30:00") and r[1].p is None and r[2].p is None and r[3].p.day is None
     one = spark.range(1).select(
         names.url_of_source(F.lit("/x/media//a.h264"), "http://h/", "media/").alias("url"), names.url_of_source(F.lit("none"), "b", "media/").alias("no"), names.percent_encoded(F.lit("a b~*+")).alias("enc"),
         names.frame_name(F.lit(3), F.lit(12.25)).alias("frame"), names.stem(F.lit("/a/b.c.jpg")).alias("stem"), names.parse_time(F.lit("3:04:05 pm")).alias("t"), names.parse_date(F.lit("6/1/2025")).alias("d"),
