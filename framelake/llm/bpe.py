@@ -35,8 +35,10 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from framelake.llm.common import documents, text_or_empty
 
-MAX_NODES = 4_000_000
-MAX_WORDS = 1_000_000
+MAX_NODES = 600_000
+MAX_WORDS = 200_000
+#: Rows that a worker gives back at a time.
+ROWS_BACK = 500
 #: Fixed value: how byte-level BPE splits text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -239,12 +241,14 @@ def encoded(docs: DataFrame, spec: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(shared.value)
         for batch in batches:
-            rows = []
-            for ids in own.encode_batch(batch["text"]):
-                rows.append((np.frombuffer(ids, "<i4"), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
+            for at in range(0, len(batch), ROWS_BACK):
+                part = batch.iloc[at : at + ROWS_BACK]
+                rows = []
+                for ids in own.encode_batch(part["text"]):
+                    rows.append((np.frombuffer(ids, "<i4"), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+                out = pd.DataFrame(rows, columns=["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"], index=part.index)
+                out.insert(0, "doc_id", part["doc_id"])
+                yield out
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

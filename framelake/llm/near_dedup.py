@@ -39,7 +39,7 @@ MIN_AGREEMENT = 0.65
 #: Most pivots of a bucket in the first rounds; the last number holds for all later ones.
 PIVOTS = (1, 64, 4096)
 #: Words whose hashes a worker remembers.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 200_000
 _BLOCK = 4096
 
 
