@@ -1,7 +1,7 @@
 """Repeated lines, found by hashing units of text over all documents.
 
 A unit is a line (or a paragraph) of at least `min_words` words; shorter ones are
-left alone. Units are normalised (ASCII letters lowered, white space runs to one
+left alone. `op1` sets no floor: each line that holds a word is a unit. Units are normalised (ASCII letters lowered, white space runs to one
 space, ends trimmed) and hashed to 128 bits. Of equal units the first by
 (doc_id, place in the text) stays, all others are removed with their line end;
 spans of what is removed are offsets in the original text.
@@ -86,7 +86,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    done = repeats(documents(spark, sf_dir))
+    done = repeats(documents(spark, sf_dir), min_words=1)
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
     return done.select(

@@ -347,6 +347,24 @@ def test_lines(docs, odd, empty):
     assert line_dedup.repeats(docs, end=line_dedup.PARAGRAPH).count() == len(rows())
 
 
+def test_op1_takes_short_lines(spark, tmp_path):
+    texts = {1: "All rights reserved.\n\n保留所有权利。\none two", 2: "x\nall  rights RESERVED.\n \n保留所有权利。", 3: "One two\n\nx", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, want = set(), {}
+    for i, t in texts.items():
+        spans, at = [], 0
+        for u in (t or "").split("\n"):
+            norm = " ".join(u.lower().split())
+            if norm in seen:
+                spans.append(f"{at}:{min(at + len(u) + 1, len(t))}")
+            seen |= {norm} - {""}
+            at += len(u) + 1
+        want[i] = (len(spans), ",".join(spans))
+    found = got(line_dedup.op1(spark, str(tmp_path)))
+    assert {i: (r.n_removed, r.spans) for i, r in found.items()} == want
+    assert [want[i][0] for i in texts] == [0, 2, 2, 0] and found[2].kept_sha256 == sha("x\n \n") and found[3].kept_sha256 == sha("\n")
+
+
 @pytest.mark.parametrize("limit", [1, 500, 5_000, 10**9])
 def test_shards(docs, odd, empty, limit):
     found = got(sharding.assign(docs, limit=limit))
