@@ -61,7 +61,7 @@ def value_spread(spark, sf_dir):
 
 def background_share(spark, sf_dir):
     """STM-01 on short runs of numbers."""
-    f = frames(spark, sf_dir).where("user_id < 20").select(F.col("user_id").alias("video"), F.col("event_id").alias("idx"), F.array(F.col("value"), F.col("value") * 2).alias("pixels"))
+    f = frames(spark, sf_dir).select(F.col("user_id").alias("video"), F.col("event_id").alias("idx"), F.array(F.col("value"), F.col("value") * 2).alias("pixels"))
     return ops.background_model(f, by="video", schema="video long, idx long, foreground double, error string").select("video", "idx", "foreground")
 
 

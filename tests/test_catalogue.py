@@ -44,3 +44,23 @@ def test_query_without_sql(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_background_share_of_every_user(spark, tmp_path):
+    """Against a plain running mean and variance; most ids are above those that the tables begin with."""
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("user_id") * 37)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    runs = {}
+    for r in events.orderBy("event_id").collect():
+        runs.setdefault(r.user_id, []).append((r.event_id, [r.value, r.value * 2]))
+    want = {}
+    for user, rows in runs.items():
+        mean, var = list(rows[0][1]), [225.0, 225.0]
+        for event, px in rows:
+            want[user, event] = sum((x - m) ** 2 > 6.25 * v for x, m, v in zip(px, mean, var)) / 2
+            mean = [m + 0.05 * (x - m) for x, m in zip(px, mean)]
+            var = [max(4.0, v + 0.05 * ((x - m) ** 2 - v)) for x, m, v in zip(px, mean, var)]
+    found = {(r.video, r.idx): r.foreground for r in catalogue.QUERIES["background_share"](spark, str(tmp_path)).collect()}
+    assert found == want and max(runs) > 20 and len(set(want.values())) > 1
