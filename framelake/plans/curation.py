@@ -38,7 +38,7 @@ def last_n_days(spark, sf_dir):
 
 
 def first_per_key_backfill(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).where("day < date'2024-01-09'")
+    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     picked = curate.first_then_backfill(ev, keys=["event_type", "day"], order=F.struct("ts", "event_id"), n=60)
     return picked.select("event_id", "event_type", "day", "is_first")
 

@@ -64,3 +64,20 @@ def test_background_share_of_every_user(spark, tmp_path):
             var = [max(4.0, v + 0.05 * ((x - m) ** 2 - v)) for x, m, v in zip(px, mean, var)]
     found = {(r.video, r.idx): r.foreground for r in catalogue.QUERIES["background_share"](spark, str(tmp_path)).collect()}
     assert found == want and max(runs) > 20 and len(set(want.values())) > 1
+
+
+@pytest.mark.parametrize("types", [None, ["click"]])  # more keys than rows wanted, and fewer: the rest is backfill
+def test_first_per_key_of_all_days(spark, tmp_path, types):
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events = events.where(F.col("event_type").isin(types)) if types else events
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    seen, first, rest = set(), [], []
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        key = r.event_type, r.ts.date()
+        (rest if key in seen else first).append((r.event_id, *key, key not in seen))
+        seen.add(key)
+    found = catalogue.QUERIES["first_per_key_backfill"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted((first + rest)[:60])
+    assert max(r.day for r in found).isoformat() > "2024-01-09" and (types is None) == all(r.is_first for r in found)
