@@ -93,7 +93,8 @@ def average_precision(matches: DataFrame) -> DataFrame:
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("tps", F.sum(F.col("tp").cast("int")).over(upto)).withColumn("seen", F.count(F.lit(1)).over(upto)).join(positives, keys)
     d = d.withColumn("precision", F.col("tps") / F.col("seen")).withColumn("place", F.row_number().over(by))
-    d = d.withColumn("envelope", F.max("precision").over(Window.partitionBy(*keys).orderBy("place").rowsBetween(0, Window.unboundedFollowing)))
+    d = d.withColumn("envelope", F.max("precision").over(Window.partitionBy(*keys).orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    # (The envelope runs from the last place up: a frame that ends at the last row costs the square of the rows.)
     # A recall point r takes the precision at the first place whose recall reaches it.
     firsts = d.where("tp and positives > 0").withColumn("reach", F.floor(F.col("tps") * (RECALLS - 1) / F.col("positives") + 1e-9))
     before = F.floor((F.col("tps") - 1) * (RECALLS - 1) / F.col("positives") + 1e-9)

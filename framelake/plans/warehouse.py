@@ -102,10 +102,13 @@ def iou_join(spark, sf_dir):
 
 
 def coco_ap(spark, sf_dir):
+    """Every line is a truth and a detection; some detections are shifted, of another class, or of a low score."""
     b = _boxes(spark, sf_dir).withColumn("category_id", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
-    box = F.array(*[F.col(c).cast("double") for c in "xywh"]).alias("bbox")
-    truth = b.where("key % 3 > 0").select("image_id", "category_id", box, (F.col("w") * F.col("h")).cast("double").alias("area"), F.lit(0).alias("iscrowd"))
-    found = b.where("key % 4 > 0").select("image_id", "category_id", box, (F.col("l_discount") + F.col("key") % 1000 / 100000).alias("score"))
+    box = lambda *cs: F.array(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in cs]).alias("bbox")
+    truth = b.select("image_id", "category_id", box(*"xywh"), (F.col("w") * F.col("h")).cast("double").alias("area"), F.lit(0).alias("iscrowd"))
+    other = F.when(F.col("key") % 11 == 0, (F.col("category_id") + 1) % 3).otherwise(F.col("category_id")).cast("int")
+    score = F.col("l_discount") + F.col("key") % 1000 / 100000
+    found = b.select("image_id", other.alias("category_id"), box(F.col("x") + F.col("key") % 5, "y", "w", "h"), score.alias("score"))
     return evaluate.average_precision(evaluate.matched(truth, found)).select("category_id", "threshold", "positives", F.round("ap", 9).alias("ap"))
 
 

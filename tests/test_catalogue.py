@@ -81,3 +81,40 @@ def test_first_per_key_of_all_days(spark, tmp_path, types):
     found = catalogue.QUERIES["first_per_key_backfill"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted((first + rest)[:60])
     assert max(r.day for r in found).isoformat() > "2024-01-09" and (types is None) == all(r.is_first for r in found)
+
+
+def test_coco_ap_of_all_lines(spark):
+    """All lines on both sides, against a plain version of the protocol."""
+    truth, found, lines = {}, {}, 0
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        key, c, lines = r.l_partkey * 100_000 + r.l_suppkey, {"A": 0, "N": 1}.get(r.l_returnflag, 2), lines + 1
+        x, y, w, h = r.l_partkey % 100, r.l_suppkey % 100, int(10 + r.l_quantity), 10 + r.l_linenumber
+        truth.setdefault((r.l_orderkey, c), []).append((x, y, w, h))
+        found.setdefault((r.l_orderkey, (c + 1) % 3 if key % 11 == 0 else c), []).append((-(float(r.l_discount) + key % 1000 / 100_000), (x + key % 5, y, w, h)))
+
+    def iou(a, b):
+        w, h = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+        return w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
+
+    want = {}
+    for c in range(3):
+        positives = sum(len(v) for k, v in truth.items() if k[1] == c)
+        for t in (round(0.5 + 0.05 * i, 2) for i in range(10)):
+            ranked = []
+            for (image, category), dets in found.items():
+                left = sorted(truth.get((image, category), [])) if category == c else []
+                for rank, (score, box) in enumerate(sorted(dets)[:100] if category == c else []):
+                    over, i = max(((iou(box, g), i) for i, g in enumerate(left)), default=(0, 0))
+                    ranked.append((score, image, rank, over >= t))
+                    if over >= t:
+                        del left[i]
+            tps, curve = 0, []
+            for n, (*_, hit) in enumerate(sorted(ranked), 1):
+                tps += hit
+                curve.append((tps, tps / n))
+            for i in range(len(curve) - 2, -1, -1):
+                curve[i] = curve[i][0], max(curve[i][1], curve[i + 1][1])
+            ap = sum(next((p for k, p in curve if 100 * k >= r * positives), 0) for r in range(101)) / 101
+            want[c, t] = positives, pytest.approx(ap, abs=1e-8)
+    got = {(r.category_id, r.threshold): (r.positives, r.ap) for r in catalogue.QUERIES["coco_ap"](spark, SF).collect()}
+    assert got == want and sum(got[c, 0.5][0] for c in range(3)) == lines and len({ap for _, ap in got.values()}) > 10
