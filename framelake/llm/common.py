@@ -75,7 +75,7 @@ class Scratch:
                     at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def packed(docs: DataFrame, *names: str) -> DataFrame:
+def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
     """`names` beside the whole row as a struct `_row`, so that other columns can't clash with an operator's own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
 
@@ -94,3 +94,20 @@ def checked(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame
 def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key isn't in dropped; rows with a null key stay."""
     return docs.join(checked(dropped.select(key).distinct(), 16), key, "left_anti").select(*docs.columns)
+
+
+def without_rows(docs: DataFrame, digest: Column, found: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id and digest are kept in found (doc_id, digest, kept; a row for each of docs); one of those equal in both.
+
+    Nulls equal each other. Of equal rows the first by its JSON form stays; only such rows are grouped.
+    """
+    keys = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept")
+    keys = Scratch(docs.sparkSession, "rows").save(keys.select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d"), "kept"))
+    rows = packed(docs, F.col("doc_id").alias("_id"), digest.alias("_digest"))
+    same = F.col("_id").eqNullSafe(F.col("_k")) & F.col("_digest").eqNullSafe(F.col("_d"))
+    stay = rows.join(checked(keys, 112), same, "left_anti")
+    twice = keys.where("kept")
+    if not twice.isEmpty():
+        ones = rows.join(checked(twice, 112), same, "left_semi").groupBy("_id", "_digest").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        stay = stay.unionByName(ones.select(*stay.columns))
+    return unpacked(stay, docs.columns)

@@ -11,8 +11,8 @@ its texts are told apart by their bytes.
 
 Defined results: a null text is an empty text; empty texts equal each other. A
 null doc_id never names a group that has another id, and only a group of null
-ids has a null keep_id (and keeps its rows). Rows that repeat a doc_id and its
-text have the same answer. An empty table gives an empty result. Other columns
+ids has a null keep_id. Rows that repeat a doc_id and its text have the same
+answer; `dedup` keeps one of them, so each text stays once. An empty table gives an empty result. Other columns
 of the input pass `dedup` unchanged and aren't read by `classes`.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, text_or_empty, without_ids
+from framelake.llm.common import Scratch, checked, text_or_empty, without_rows
 
 MEMTABLE_ROWS = 65_536
 
@@ -77,9 +77,9 @@ def classes(docs: DataFrame, *, memtable_rows: int = MEMTABLE_ROWS, digest: Call
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose text equals that of a smaller doc_id; all columns stay."""
-    found = classes(docs, **options)
-    return without_ids(docs, found.where("not kept").select("doc_id"))
+    """docs with one row for each text, of its smallest doc_id; all columns stay. Rows are told apart by doc_id and text."""
+    found = classes(docs, **options).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return without_rows(docs, F.sha2(normalised(text_or_empty()), 256), found)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ Defined results: a text with fewer words than a shingle is one shingle; a text
 without words, or null, has an empty set and is linked with nothing. Rows with
 one doc_id are one node. A null doc_id is linked with nothing, has a null
 component and stays. An empty table gives an empty result. Other columns are
-not read; `dedup` returns them unchanged.
+not read; `dedup` returns them unchanged. Where ids are null or repeat, `dedup`
+takes each (doc_id, text) as a node, null ids last, and keeps one row of a node.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, documents, without_ids
+from framelake.llm.common import Scratch, checked, documents, without_ids, without_rows
 from framelake.llm.components import components
+from framelake.operators.curate import offset_rank
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # of 100
@@ -192,7 +194,17 @@ def near_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> DataF
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows of a near-duplicate group but its smallest doc_id; all columns stay."""
-    return without_ids(docs, near_groups(docs, **options).where("not kept").select("doc_id"))
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return without_ids(docs, near_groups(docs, **options).where("not kept").select("doc_id"))
+    scratch = Scratch(docs.sparkSession, "nodes")
+    digest, order = F.coalesce(F.sha2("text", 256), F.lit("")), (F.col("doc_id").asc_nulls_last(), F.col("digest"))
+    keys = docs.select("doc_id", digest.alias("digest")).distinct().repartitionByRange(*order)
+    keys = scratch.save(keys.withColumn("part", F.spark_partition_id()))
+    nodes = scratch.save(offset_rank(keys, "part", *order, name="node").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "node"))
+    rows = docs.select("doc_id", "text", digest.alias("digest")).join(nodes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+    rows = scratch.save(rows.select(F.col("node").alias("doc_id"), "text"))
+    found = near_groups(rows, **options).select(F.col("doc_id").alias("node"), "kept").join(nodes, "node")
+    return without_rows(docs, digest, found.select(F.col("id").alias("doc_id"), F.col("of").alias("digest"), "kept"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

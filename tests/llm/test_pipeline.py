@@ -182,3 +182,18 @@ def test_stages_take_nulls_and_repeats(spark):
             assert out.columns == docs.columns and {r.doc_id for r in kept} <= {None, 1, 2, 3}, name
         else:
             assert len(kept) == len(rows)
+
+
+def test_dedup_tells_rows_apart_by_id_and_text(spark):
+    from framelake.llm import exact_dedup, near_dedup
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a, 0), (5, a, 1), (5, b, 2), (None, b, 3), (None, c, 4), (None, c, 4), (7, "d  e", 5), (7, "d  e", 5), (8, "d e", 6), (9, None, 7), (9, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    once = [(3, a, 0), (5, b, 2), (7, "d  e", 5), (9, None, 7), (None, c, 4)]
+    sort = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert sort(exact_dedup.dedup(docs)) == sorted(once, key=str)
+    near = [(a + " x", 4), (b + " x", None)]
+    more = docs.unionByName(spark.createDataFrame([(i, t, 9) for t, i in near], docs.schema))
+    assert sort(near_dedup.dedup(more)) == sorted([*(x for x in once if x[0] != 7), (7, "d  e", 5)], key=str)
+    assert exact_dedup.dedup(docs.limit(0)).count() == near_dedup.dedup(docs.limit(0)).count() == 0
