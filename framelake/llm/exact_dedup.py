@@ -1,9 +1,11 @@
 """Exact deduplication over a log-structured merge index of text digests.
 
 Rows are dealt into memtables of about `memtable_rows`; each is flushed as a
-run that is sorted by digest, keeps the smallest doc_id of a digest, and carries
-Parquet Bloom filters, so that `lookup` skips runs and row groups without a hit.
-Compaction merges the runs to one entry a digest with its smallest doc_id.
+run that keeps the smallest doc_id of a digest, spread over the shuffle's
+partitions, each sorted by run and digest. Compaction merges the runs to one
+entry a digest with its smallest doc_id, and hits come from it alone: `classes`
+reads every entry and consults no run by itself. The tables carry Parquet Bloom
+filters, which neither `classes` nor `lookup` uses to skip anything.
 Digests that occur twice or more are hits: the bytes of their texts are compared
 (smallest against largest text of the digest, which map-side aggregation does
 without bringing a group together), and should bytes differ under one digest,
@@ -52,7 +54,7 @@ def build_index(scratch: Scratch, entries: DataFrame, memtable_rows: int = MEMTA
 
 
 def lookup(index: DataFrame, batch: DataFrame, rows: int | None = None) -> DataFrame:
-    """Entries of the index that a later batch (digest) hits; the runs' filters prune the scan."""
+    """Entries of the index that a later batch (digest) hits, by a semi-join that reads the whole index."""
     return index.join(checked(batch.select("digest").distinct(), 48, rows), "digest", "left_semi")
 
 
