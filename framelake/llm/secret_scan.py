@@ -39,7 +39,12 @@ SSH_MAGIC = b"openssh-key-v1\x00"
 _ASSIGN_HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 #: Lines of base64 under a PEM header belong together; other runs stand alone.
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END [A-Z0-9 ]+-----")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+?)-----END [A-Z0-9 ]+-----")
+#: Line breaks in JSON or .env text are the two characters \n.
+_ESCAPED = re.compile(r"\\+[nr]")
+#: Base64 that is wrapped over lines without a header.
+_LINES64 = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n))[A-Za-z0-9+/]{40,}(?:(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n)[A-Za-z0-9+/]+={0,2})+")
+_LINE64 = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/\\]))[A-Za-z0-9+/]+={0,2}")
 _RUN64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _RUN16 = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 _TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
@@ -66,7 +71,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that is laid out as a PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo key."""
+    """One SEQUENCE that is laid out as a PKCS#1, PKCS#8 (also encrypted), DSA, SEC1 or SubjectPublicKeyInfo key."""
     outer = der_items(data)
     if outer is None or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -76,6 +81,11 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in parts]
     if tags == [0x02] * 9 and parts[0][1] in (b"\0", b"\1"):  # version and eight numbers of an RSA key
         return True
+    if tags == [0x02] * 6 and parts[0][1] == b"\0":  # version, three parameters and two numbers of a DSA key
+        return len(parts[1][1]) >= 64
+    if tags == [0x30, 0x04]:  # algorithm and encrypted key
+        inner = der_items(parts[0][1])
+        return bool(inner) and inner[0][0] == 0x06 and len(parts[1][1]) >= 16
     if tags == [0x02, 0x02]:  # modulus and exponent
         return len(parts[0][1]) >= 64 and 1 <= len(parts[1][1]) <= 8
     if tags[:3] == [0x02, 0x30, 0x04] and parts[0][1] in (b"\0", b"\1"):  # version, algorithm, key
@@ -144,13 +154,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def der_size(data: bytes) -> int:
+    """Bytes of the element that data begins with, by its header; 0 if it has none."""
+    if len(data) < 2 or data[1] & 0x80 and not 1 <= data[1] & 0x7F <= 4:
+        return 0
+    k = data[1] & 0x7F if data[1] & 0x80 else 0
+    return 2 + k + (int.from_bytes(data[2 : 2 + k]) if k else data[1])
+
+
+def wrapped_spans(text: str, at: int, stop: int) -> list[tuple[str, int, int]]:
+    """Keys over two lines or more of a block: lines of one width, the last of them shorter or not."""
+    lines, out, i = [m.span() for m in _LINE64.finditer(text, at, stop)], [], 0
+    while i < len(lines) - 1:
+        a, b = lines[i]
+        head = decoded64(text[a : a + 12]) or b""
+        end = i + 1
+        while end < len(lines) and lines[end][1] - lines[end][0] == b - a:
+            end += 1
+        full = end
+        if end < len(lines) and lines[end][1] - lines[end][0] < b - a:
+            end += 1
+        ends = [end, full]
+        if head[:1] == b"\x30":
+            ends = [i + -(-(-(-der_size(head) // 3) * 4) // (b - a))]
+        elif head[:3] != b"\0\0\0" and not SSH_MAGIC.startswith(head):
+            ends = []
+        for j in ends:
+            if i + 1 < j <= end and (kind := structure(decoded64("".join(text[x:y] for x, y in lines[i:j])))):
+                out.append((kind, a, lines[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out, blocks = [], []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
             blocks.append(m.span())
-            if kind := structure(decoded64(m[1])):
+            if kind := structure(decoded64(_ESCAPED.sub("", m[1]))):
                 out.append((kind, *m.span()))
+    if _RUN64.search(text):
+        for m in _LINES64.finditer(text):
+            if not any(a <= m.start() < b for a, b in blocks):
+                found = wrapped_spans(text, *m.span())
+                out += found
+                blocks += [(a, b) for _, a, b in found]
     for m in _RUN64.finditer(text):
         if not any(a <= m.start() < b for a, b in blocks) and (kind := structure(decoded64(m[0]))):
             out.append((kind, *m.span()))

@@ -318,6 +318,28 @@ def test_secrets(spark, docs, odd, empty):
     assert secret_scan.written([]) == ""
 
 
+def der(tag, *parts):
+    body = b"".join(parts)
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2)) + body
+
+
+def test_secrets_in_other_forms():
+    number = lambda n, k: der(2, b"\0" + bytes([k]) * n)
+    rsa = der(0x30, b"\x02\x01\0", *[number(64, k) for k in range(1, 9)])
+    dsa = der(0x30, b"\x02\x01\0", *[number(n, 0x70) for n in (128, 20, 128, 128, 20)])
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30)), der(4, bytes(range(160))))
+    assert all(map(secret_scan.is_der_key, (rsa, dsa, locked)))
+    wrap = lambda key, w=64: "\n".join(re.findall(f".{{1,{w}}}", base64.b64encode(key).decode()))
+    ssh = b"".join(len(x).to_bytes(4) + x for x in (b"ssh-rsa", b"\1\0\1", b"k" * 257))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(rsa)}\n-----END RSA PRIVATE KEY-----".replace("\n", "\\n")
+    assert secret_scan.confirmed_spans(f'{{"key": "{pem}\\n"}}') == [("der_key", 9, 9 + len(pem))]
+    for key, kind in ((rsa, "der_key"), (dsa, "der_key"), (locked, "der_key"), (ssh, "ssh_key")):
+        for block in (wrap(key), wrap(key, 76).replace("\n", "\r\n"), wrap(key).replace("\n", "\\n")):
+            assert secret_scan.confirmed_spans(f"see\n{block}\n") == [(kind, 4, 4 + len(block))]
+        assert [s[0] for s in secret_scan.confirmed_spans(f"{wrap(key)}\n{wrap(rsa)}\nwords")] == [kind, "der_key"]
+    assert not secret_scan.confirmed_spans(wrap(rsa[:-9])) and not secret_scan.confirmed_spans(wrap(b"hello " * 99))
+
+
 def test_lines(docs, odd, empty):
     seen, want = set(), {}
     for i, t, _ in sorted(rows(), key=lambda r: r[0]):
