@@ -17,6 +17,11 @@ RECALLS = 101
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
+def in_classes(found: DataFrame, n: int, column: str = "category_id") -> DataFrame:
+    """FIL-08: detections whose class id is in [0, n)."""
+    return found.where(F.col(column).between(0, n - 1))
+
+
 def overlapping(truth: DataFrame, found: DataFrame, *, on: list[str], least: float) -> DataFrame:
     """JOIN-09: pairs of boxes (x, y, w, h; key) with equal keys `on` that overlap by `least` at least.
 

@@ -52,6 +52,11 @@ def keyframes(frames: DataFrame, *, by: str, seconds: Column, value: Column, key
     return groups.select(by, F.posexplode(kept).alias("_n", "_f")).select(by, F.col("_f.k").alias(key), (F.col("_n") + 1).alias("ordinal"))
 
 
+def frame_time(idx: Column, fps: Column) -> Column:
+    """DAT-04: seconds of a frame."""
+    return idx / fps
+
+
 def seek_candidates(videos: DataFrame, *, every: float, skip: float = 0.0) -> DataFrame:
     """STM-03: a row for each seek time of videos (duration)."""
     n = F.floor(F.col("duration") / every).cast("int")

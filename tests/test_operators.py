@@ -217,3 +217,9 @@ def test_crops(spark):
     assert one[1].error == "no component" and one[2].error
     assert not run(swap_probability=0.0)[0].swapped and one == run(swap_probability=1.0)
     assert len({tuple(run(epoch=e)[0].bbox) for e in range(6)}) > 1
+
+
+def test_frame_time_and_class_range(spark):
+    d = spark.createDataFrame([(0, 25.0, -1), (10, 25.0, 0), (45, 30.0, 2), (50, 25.0, 3)], "idx long, fps double, category_id int")
+    kept = evaluate.in_classes(d, 3).select("idx", frames.frame_time(F.col("idx"), F.col("fps")).alias("t")).collect()
+    assert sorted((r.idx, r.t) for r in kept) == [(10, 0.4), (45, 1.5)]
