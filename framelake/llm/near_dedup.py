@@ -1,15 +1,25 @@
-"""Near-duplicate documents: MinHash bands, verified links, connected components.
+"""Near-duplicate documents: MinHash bands, compared signatures, verified links, connected components.
 
 A text's set holds the hashes (64 bits) of its distinct word shingles. `BANDS` x
 `ROWS` universal hash minima are cut into bands; texts that agree on a band share
-a bucket. Texts with equal sets are one node first. In each bucket a few pivots
-are paired with the other members, never all with all; pairs are confirmed on
-full sets and the links' components found. Then members that are still in another
-component than some member of their bucket go on, without the pivots they have
-already been paired with, until no bucket has members of two components that were
-not compared. So no link between bucket mates is lost, and a group of near copies
-costs a few pairs a member. At a similarity of 0.8 the chance that two texts
-share no bucket is (1 - 0.8 ** ROWS) ** BANDS, about 3e-6.
+a bucket. Texts with equal sets are one node first. Then two rounds:
+
+1. Stars. Each bucket pairs its members with one pivot: the member whose buckets
+   are largest, which in a group of near copies is the text that most of them
+   resemble. A member meets the same pivot in most buckets, so pairs grow with
+   the members. Pairs are confirmed on full sets; the links' components are found.
+2. The rest. Buckets that still hold members of two components are compared for
+   good, inside the task that holds them: signatures of `LONG` minima (8 bits
+   each) of two members of different components. A bucket's largest component
+   is dealt over tasks and meets only the members outside it, which are dealt
+   too, so no task holds a large bucket. Only pairs whose signatures come near
+   the similarity leave the task, and of those that surely reach it only as many
+   as join components. These are confirmed on full sets as well. Should a sure
+   pair fail, the round is repeated without leaving any pair out.
+
+At a similarity of 0.8 two texts share no bucket with a chance of
+(1 - 0.8 ** ROWS) ** BANDS, about 3e-6, and their long signatures agree less than
+`NEAR` with a chance of about 3e-6.
 
 Defined results: a text with fewer words than a shingle is one shingle; a text
 without words, or null, has an empty set and is linked with nothing. Rows with
@@ -24,129 +34,234 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, documents, without_ids, without_rows
+from framelake.llm.common import Scratch, checked, documents, sliced, without_ids, without_rows
 from framelake.llm.components import components
+from framelake.llm.shingles import Signer, mixed, shingle_sets
 from framelake.operators.curate import offset_rank
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # of 100
 BANDS, ROWS = 32, 5
-#: Pairs whose signatures agree less than this are not verified; over four standard errors below SIMILARITY.
-MIN_AGREEMENT = 0.65
-#: Most pivots of a bucket in the first rounds; the last number holds for all later ones.
-PIVOTS = (1, 64, 4096)
-#: Words whose hashes a worker remembers.
-MAX_WORDS = 200_000
-_BLOCK = 4096
-
-
-class Shingler:
-    """Turns texts into sorted arrays of distinct shingle hashes."""
-
-    def __init__(self, words: int):
-        self.words = words
-        self.hashes: dict[bytes, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z and splits at the six spaces only
-        if not found:
-            return np.empty(0, np.uint64)
-        known = self.hashes
-        if len(known) > MAX_WORDS:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        k = min(self.words, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
-
-
-class Signer:
-    """Minima of universal hashes a * x + b modulo 2 ** 64, of which the upper 32 bits count."""
-
-    def __init__(self, size: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, size, np.uint64)
-
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), _BLOCK):
-            x = shingles[at : at + _BLOCK]
-            for i in range(len(self.a)):
-                v = (x * self.a[i] + self.b[i]).min()
-                if v < low[i]:
-                    low[i] = v
-        return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+#: Minima of a long signature; of each 8 bits are kept, so unequal ones agree once in 256.
+LONG = 1024
+#: Agreement of long signatures: 4.5 standard errors below and 5.6 above what the similarity gives.
+NEAR, SURE = 762, 891
+#: Members of a bucket that a task holds of either side.
+SIDE = 4096
+#: Bytes of sets and number of pairs that are confirmed together, about.
+CELL_BYTES, CELL_PAIRS = 32 << 20, 200_000
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, n_shingles, set_digest and signature of each row; the last two are null without shingles."""
+    """doc_id, n_shingles, set_digest, tie (its first 8 bytes) and bands (hashes of the bands' minima) of each row; the last three are null without shingles."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, sign = Shingler(shingle_words), Signer(BANDS * ROWS)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                s = shingles(text)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), sign(s)) if len(s) else (0, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_digest", "signature"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(BANDS * ROWS)
+        for batch in sliced(batches):
+            sets = shingle_sets(batch.column("text").to_pylist(), shingle_words)
+            digests = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
+            bands = [band_hashes(sign(s)) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([d and tie(d) for d in digests], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_digest", "tie", "bands"],
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_digest binary, signature array<int>")
+    return as_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, tie long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """id and its whole set, of rows (doc_id, text)."""
+def tie(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], signed=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(shingle_words)
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingles(t).view(np.int64) for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, shingles array<long>")
+def band_hashes(minima: np.ndarray) -> np.ndarray:
+    """A number for each band, which holds the band's place: equal numbers are equal bands."""
+    rows = minima.reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        h = mixed((h ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15))
+    return h.view(np.int64)
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, id) of reps (id, signature): a row for each band whose bucket has two members or more."""
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * ROWS + 1, ROWS)))
-    rows = reps.select("id", F.explode(band).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return rows.join(shared, "bucket")
+def long_signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, tie, signature): `LONG` minima, 8 bits of each, of rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(LONG, seed=2)
+        for batch in sliced(batches):
+            sets = shingle_sets(batch.column("text").to_pylist(), shingle_words)
+            # The upper bits of minima are alike in large sets; a product's upper bits depend on all of them.
+            slots = [(sign(s) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes() for s in sets]
+            ties = [tie(xxhash.xxh3_128_digest(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ties, pa.int64()), pa.array(slots, pa.binary())], names=["id", "tie", "signature"])
 
+    return as_bytes(docs).mapInArrow(run, "id long, tie long, signature binary").dropDuplicates(["id", "tie"])
 
-def paired(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, pivots) of members (bucket, id, component); a pair is of two components."""
-    mine = F.pmod(F.xxhash64("id"), F.lit(pivots))
-    first = members.groupBy("bucket", mine.alias("part")).agg(F.min(F.struct("id", "component")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component"))
-    met = members.join(first, "bucket").where("component <> pivot_component")
-    return met.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct(), first
 
+def as_bytes(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select("doc_id", *names, F.col("text").cast("binary").alias("text"))
 
-def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose sizes allow the similarity and whose signatures come near it."""
-    side = lambda c: signatures.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    sizes = 100 * F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv")
-    same = F.size(F.filter(F.zip_with("su", "sv", lambda a, b: a == b), lambda x: x))
-    return both.where(sizes).where(same >= int(MIN_AGREEMENT * BANDS * ROWS)).select("u", "v")
 
+def members_of(reps: DataFrame) -> DataFrame:
+    """(bucket, id, tie, n, mates) of reps (id, tie, n, bands): a row for each band whose bucket has two members or more."""
+    rows = reps.select("id", "tie", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1")
+    return rows.join(shared, "bucket")
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose whole sets reach the similarity."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
-    return both.where(100 * F.col("common") >= SIMILARITY * (F.size("su") + F.size("sv") - F.col("common"))).select("u", "v")
+
+def alike_in_size(a: Column | str, b: Column | str) -> Column:
+    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (u, v, nu, nv), u < v, of members with their buckets' pivots."""
+    weight = members.groupBy("id").agg(F.sum(F.length(F.bin("mates"))).alias("weight"))  # of the logarithms of its buckets' sizes
+    heavy = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id", "n")).alias("p"))
+    met = members.join(heavy, "bucket").where((F.col("id") != F.col("p.id")) & alike_in_size("n", F.col("p.n")))
+    me, other = F.struct("id", "n"), F.struct("p.id", "p.n")
+    both = met.select(F.least(me, other).alias("a"), F.greatest(me, other).alias("b"))
+    return both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")).distinct()
+
+
+def confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, shingle_words: int) -> DataFrame:
+    """Pairs (u, v) of pairs (u, v, nu, nv, a saved table) whose whole sets reach the similarity.
+
+    Ids are dealt into blocks, pairs into cells of two blocks, and each text goes
+    once to a cell that has a pair of it: as often as it has pairs at most, and
+    no oftener than there are blocks.
+    """
+    ids = pairs.select(F.col("u").alias("id"), F.col("nu").alias("n")).union(pairs.select("v", "nv")).distinct()
+    n_ids, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-2 * 8 * size // CELL_BYTES), int((2 * pairs.count() / CELL_PAIRS) ** 0.5))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    cells = pairs.select("u", "v", (F.least(block("u"), block("v")) * blocks + F.greatest(block("u"), block("v"))).alias("cell"))
+    wanted = scratch.save(cells.select("cell", F.col("u").alias("id")).union(cells.select("cell", "v")).distinct())
+    texts = docs.where("text is not null").select("doc_id", "text").join(checked(wanted, 24), F.col("doc_id") == F.col("id"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in sliced(right.to_batches()):
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), shingle_words)):
+                sets.setdefault(i, []).append(s)
+        u, v = left.column("u").to_numpy(), left.column("v").to_numpy()
+        good = np.fromiter((any(reach(a, b) for a in sets.get(i, ()) for b in sets.get(j, ())) for i, j in zip(u.tolist(), v.tolist())), bool, len(u))
+        return pa.table({"u": u[good], "v": v[good]})
+
+    return cells.groupBy("cell").cogroup(as_bytes(texts, "cell").groupBy("cell")).applyInArrow(run, "u long, v long")
+
+
+def reach(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) reach the similarity."""
+    small, large = sorted((len(a), len(b)))
+    if not small or 100 * small < SIMILARITY * large:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two runs to merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= SIMILARITY * (small + large - common)
+
+
+def dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets with two components or more, dealt into cells (bucket, kind, a, b), with chunk and is_major.
+
+    The members outside a bucket's largest component form p chunks, those inside
+    it q. Kind 0: minor chunk a meets major chunk b, and with b = 0 itself. Kind
+    1: minor chunk a meets minor chunk b.
+    """
+    labelled = members.join(groups, F.col("id") == F.col("node"), "left").select("bucket", "id", "tie", "n", F.coalesce("component", "id").alias("component"))
+    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    split = sizes.groupBy("bucket").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    chunks = lambda k: F.ceil(k / SIDE)
+    split = split.select("bucket", F.col("top.component").alias("top"), chunks(F.col("all") - F.col("top.k")).alias("p"), chunks(F.col("top.k")).alias("q"))
+    rows = labelled.join(split, "bucket").withColumn("is_major", F.col("component") == F.col("top"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("is_major"), F.col("q")).otherwise(F.col("p"))))
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
+    cell = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    me = F.col("chunk")
+    others = F.transform(F.filter(upto(F.col("p")), lambda i: i != me), lambda i: cell(1, F.least(i, me), F.greatest(i, me)))
+    cells = F.when(F.col("is_major"), F.transform(upto(F.col("p")), lambda i: cell(0, i, me))).otherwise(F.concat(F.transform(upto(F.col("q")), lambda j: cell(0, me, j)), others))
+    return rows.withColumn("cell", F.explode(cells)).select("bucket", "cell.*", "chunk", "is_major", "id", "tie", "n", "component")
+
+
+def resembling(rows: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (u, v, nu, nv, sure) of different components that come near the similarity, of dealt rows with bands and signature.
+
+    A pair is looked at in the first bucket that it shares. Unless `all_pairs`,
+    pairs whose components sure pairs of the same cell join are left out.
+    """
+    key = ["bucket", "kind", "a", "b"]
+    sure_at = LONG + 1 if all_pairs else SURE
+
+    def work(bucket: int, kind: int, a: int, b: int, part: pa.Table) -> Iterator[tuple[int, int, int, int, bool]]:
+        first = ~part.column("is_major").to_numpy(zero_copy_only=False) if kind == 0 else part.column("chunk").to_numpy() == a
+        order = np.argsort(~first, kind="stable")
+        ids, n, component = (part.column(c).to_numpy()[order] for c in ("id", "n", "component"))
+        bands = np.stack(part.column("bands").to_numpy()[order])
+        slots = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, LONG)[order]
+        place = (bands == bucket).argmax(1)
+        label = np.unique(component, return_inverse=True)[1]
+        n_first, among = int(first.sum()), kind == 0 and b == 0
+        for i in range(n_first):
+            at = np.arange(i + 1 if among else n_first, len(ids))
+            at = at[(label[at] != label[i]) & (100 * np.minimum(n[at], n[i]) >= SIMILARITY * np.maximum(n[at], n[i]))]
+            if len(at):
+                at = at[~(bands[at, : place[i]] == bands[i, : place[i]]).any(1)]
+            for block in range(0, len(at), 4096):
+                near = at[block : block + 4096]
+                agree = (slots[near] == slots[i]).sum(1)
+                near, agree = near[agree >= NEAR], agree[agree >= NEAR]
+                for j in near[agree >= sure_at][np.argsort(-agree[agree >= sure_at], kind="stable")].tolist():
+                    if label[i] != label[j]:
+                        yield (*pair(ids, n, i, j), True)
+                        label[label == label[j]] = label[i]
+                for j in near[(agree < sure_at) & (label[near] != label[i])].tolist():
+                    yield (*pair(ids, n, i, j), False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, int, int, bool]] = []
+        for group in runs_of(batches, key):
+            found += work(*(group.column(c)[0].as_py() for c in key), group)
+            if len(found) > 10_000:
+                yield rows_of(found)
+                found = []
+        yield rows_of(found)
+
+    names = ["u", "v", "nu", "nv", "sure"]
+    rows_of = lambda found: pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.bool_() if k == 4 else pa.int64()) for k in range(5)], names=names)
+    return rows.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "u long, v long, nu long, nv long, sure boolean")
+
+
+def pair(ids: np.ndarray, n: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
+    if ids[j] < ids[i]:
+        i, j = j, i
+    return int(ids[i]), int(ids[j]), int(n[i]), int(n[j])
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Each group of equal keys of sorted rows, as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in key]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            now = tuple(c[a] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def near_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -154,39 +269,35 @@ def near_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> DataF
     scratch = Scratch(docs.sparkSession, "near")
     sketch = scratch.save(sketches(docs, shingle_words))
     known = sketch.where("doc_id is not null and n_shingles > 0")
-    # The signature depends on the set alone, so any row of the class will do.
-    same = known.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    same = scratch.save(same)
-    reps = known.select("doc_id", "n_shingles", "signature", "set_digest").join(same.select("set_digest", "id"), "set_digest").where("doc_id = id")
-    reps = scratch.save(reps.select("id", "n_shingles", "signature").dropDuplicates(["id", "n_shingles", "signature"]))
-    members = scratch.save(buckets(reps.select("id", "signature")))
+    # Bands depend on the set alone, so any row of the class will do.
+    same = scratch.save(known.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"), F.min("tie").alias("tie"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")))
+    reps = same.select("id", "tie", "n", "bands")
+    members = scratch.save(members_of(reps))
     # A doc_id with texts of several sets links their classes.
     odd = known.groupBy("doc_id").agg(F.min("set_digest").alias("lo"), F.max("set_digest").alias("hi")).where("lo <> hi").select("doc_id")
-    links = known.join(odd, "doc_id", "left_semi").join(same.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v").distinct()
-    links = scratch.save(links)
-    groups, turn = components(scratch, links), 0
-    while True:
-        labelled = members.join(groups, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        labelled = scratch.save(labelled.join(split, "bucket"))
-        if labelled.isEmpty():
-            break
-        pairs, pivots = paired(labelled, PIVOTS[min(turn, len(PIVOTS) - 1)])
-        near = scratch.save(agreeing(pairs, reps))
-        rest = labelled.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        members, turn = scratch.save(rest), turn + 1
-        if near.isEmpty():
-            continue
-        wanted = near.select(F.col("u").alias("doc_id")).union(near.select(F.col("v").alias("doc_id"))).distinct()
-        sets = scratch.save(full_sets(docs.where("text is not null").join(checked(wanted, 16), "doc_id", "left_semi"), shingle_words))
-        found = scratch.save(confirmed(near, sets).distinct())
-        scratch.drop(sets)
-        if found.isEmpty():
-            continue
-        # What is known to belong together is a star for each component: new links are added to these.
-        links = scratch.save(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(found))
-        groups = components(scratch, links)
-    copies = same.where("n > 1").select("set_digest", "id")
+    links = known.join(odd, "doc_id", "left_semi").join(same.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v")
+
+    pairs = scratch.save(stars(members))
+    links = scratch.save(links.union(confirmed(scratch, docs, pairs, shingle_words)).distinct())
+    groups = components(scratch, links)
+    open_rows = scratch.save(dealt(members, groups))
+    if not open_rows.isEmpty():
+        ids = open_rows.select(F.col("id").alias("doc_id")).distinct()
+        signed = scratch.save(long_signatures(docs.where("text is not null").join(checked(ids, 16), "doc_id", "left_semi"), shingle_words))
+        rows = open_rows.join(reps.select("id", "tie", "bands"), ["id", "tie"]).join(signed, ["id", "tie"])
+        for all_pairs in (False, True):
+            scratch.drop(pairs)
+            pairs = scratch.save(resembling(rows, all_pairs).groupBy("u", "v", "nu", "nv").agg(F.max("sure").alias("sure")))
+            found = scratch.save(confirmed(scratch, docs, pairs, shingle_words))
+            if pairs.where("sure").join(found, ["u", "v"], "left_anti").isEmpty():
+                break
+        scratch.drop(signed, pairs)
+        if not found.isEmpty():
+            # What is known to belong together is a star for each component: new links are added to these.
+            links = scratch.save(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(found))
+            groups = components(scratch, links)
+    scratch.drop(members, open_rows)
+    copies = same.where("rows > 1").select("set_digest", "id")
     rows = sketch.select("doc_id", "n_shingles", "set_digest").join(copies, "set_digest", "left").withColumn("node", F.coalesce("id", "doc_id"))
     out = rows.join(groups, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
