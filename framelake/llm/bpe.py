@@ -3,17 +3,23 @@
 In byte-pair encoding the tokens of a prefix are fixed by its last token alone:
 the encoding of w[:i] is that of w[:i-k] and one token of k bytes, and among the
 tokens that end the prefix exactly one keeps a border with its predecessor that
-no merge would cross. So each trie node needs one number, its last token. Words
-new to a task are sorted, which is the depth-first order of their trie, and are
-inserted below what earlier words built: a shared prefix is encoded once. A
-word's tokens are read back along the last tokens. Tries and word tables are
-dropped when they pass `MAX_NODES` or `MAX_WORDS`; that bounds memory and
-changes no result.
+no merge would cross. So each trie node needs one number, its last token. The
+distinct words of a batch of texts that a task hasn't met are sorted, which is
+the depth-first order of their trie, and the trie is walked along them: only the
+path to the word at hand is held, and a shared prefix is encoded once. A word's
+tokens are read back along the last tokens.
+
+Words that a task has met keep their ids, in two generations of `MAX_WORDS`: when
+the younger is full it becomes the older, whose words are dropped unless they
+were met again. Words over `LONG_WORD` bytes aren't kept. A batch ends at
+`BATCH_CHARS` characters, inside a long text too, so memory is bounded by that,
+by the longest word and by a text's ids.
 
 Defined results: a null text is an empty text with no tokens. The strings of
 special tokens in a text become their ids, as the tokenizers library does. Texts
 of any length are encoded whole. Null ids and repeated rows are answered as they
-come; an empty table gives an empty result; other columns are left alone.
+come; an empty table gives an empty result; other columns are left alone. A
+tokenizers file with settings that are not implemented here is refused.
 """
 
 from __future__ import annotations
@@ -27,16 +33,17 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from framelake.llm.common import documents, text_or_empty
+from framelake.llm.common import documents, sliced, text_or_empty
 
-MAX_NODES = 600_000
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
+LONG_WORD = 256
+BATCH_CHARS = 4 << 20
 #: Rows that a worker gives back at a time.
 ROWS_BACK = 500
 #: Fixed value: how byte-level BPE splits text into words before merging.
@@ -54,19 +61,16 @@ class WordTrie:
     """Encodes words (bytes) with a vocabulary and its merges."""
 
     def __init__(self, tokens: dict[bytes, int], merges: list[tuple[int, int, int]]):
-        self.tokens = tokens
-        self.longest = max(map(len, tokens), default=1)
         self.halves = {made: (a, b) for a, b, made in merges}
         self.rank = {made: r for r, (_, _, made) in enumerate(merges)}
         self.pair = {(a, b): r for r, (a, b, _) in enumerate(merges)}
         self.length = {t: len(b) for b, t in tokens.items()}
+        #: Each end of a token, and the token that it is, if any.
+        self.ends: dict[bytes, int | None] = {t[k:]: None for t in tokens for k in range(1, len(t))} | tokens
+        #: The token that is token a and one byte more, by a << 8 | byte.
+        self.grown = {tokens[t[:-1]] << 8 | t[-1]: i for t, i in tokens.items() if t[:-1] in tokens}
         self.whole: dict[int, bool] = {}
-        self.borders: dict[tuple[int, int], bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last = [-1]
+        self.borders: dict[int, bool] = {}
 
     def reachable(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
@@ -77,11 +81,11 @@ class WordTrie:
 
     def border(self, a: int, b: int) -> bool:
         """Whether a border between tokens a and b lasts."""
-        known = self.borders.get((a, b))
+        known = self.borders.get(a << 32 | b)
         if known is None:
             if len(self.borders) > MAX_WORDS:
                 self.borders.clear()
-            known = self.borders[a, b] = self.border_until(a, b, len(self.pair) + 1)
+            known = self.borders[a << 32 | b] = self.border_until(a, b, len(self.pair) + 1)
         return known
 
     def border_until(self, a: int, b: int, end: int) -> bool:
@@ -107,31 +111,49 @@ class WordTrie:
 
     def encode(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """The token ids of each word; sorted words share the work on their prefixes."""
-        child, last, tokens, length = self.child, self.last, self.tokens, self.length
+        length, grown, ends, border, reachable = self.length, self.grown, self.ends, self.border, self.reachable
+        before, last = b"", [-1]  # last[i]: the last token of the word's first i bytes
         for word in words:
-            path, node = [0], 0
-            for i, byte in enumerate(word, 1):
-                key = node << 8 | byte
-                node = child.get(key, 0)
-                if not node:
-                    found = -1
-                    for k in range(min(i, self.longest), 0, -1):
-                        token = tokens.get(word[i - k : i])
-                        if token is not None and (self.reachable(token) if k == i else self.border(last[path[i - k]], token)):
-                            found = token
-                            break
-                    if found < 0:
-                        raise ValueError(f"no token ends {word[:i]!r}")
-                    node = child[key] = len(last)
-                    last.append(found)
-                path.append(node)
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                # Only one token fits, so the likeliest is tried first: the one before and this byte.
+                token = grown.get(last[-1] << 8 | word[i - 1]) if i > 1 else None
+                if token is not None:
+                    k = length[token]
+                    if not (reachable(token) if k == i else border(last[i - k], token)):
+                        token = None
+                k = 0
+                while token is None:
+                    k += 1
+                    end = word[i - k : i]
+                    if k > i or end not in ends:
+                        raise ValueError(f"no token ends {word[max(0, i - 50) : i]!r}")
+                    token = ends[end]
+                    if token is not None and not (reachable(token) if k == i else border(last[i - k], token)):
+                        token = None
+                last.append(token)
+            before = word
             ids, i = [], len(word)
             while i:
-                ids.append(last[path[i]])
+                ids.append(last[i])
                 i -= length[ids[-1]]
             yield ids[::-1]
 
 
+def latin_split() -> re.Pattern:
+    """`SPLIT` for texts of the first 256 characters, whose classes are written out."""
+    chars = [chr(c) for c in range(256)]
+    letters, numbers = ("".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == kind) for kind in "LN")
+    spaces = "".join(re.escape(c) for c in chars if regex.match(r"\p{White_Space}", c))
+    pattern = SPLIT.replace(r"\P{White_Space}", f"[^{spaces}]").replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+    return re.compile(pattern.replace(r"\p{White_Space}", f"[{spaces}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
+
+
 def young_letters() -> str:
     """Pattern of the characters that the regex library takes for letters or numbers and older Unicode tables don't know."""
     letter = regex.compile(r"[\p{L}\p{N}]").match
@@ -141,11 +163,25 @@ def young_letters() -> str:
     return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends)) + "]"
 
 
+def checked_settings(spec: dict) -> None:
+    """Raise on a tokenizers file that would encode or decode otherwise than `Codec`."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    odd = [k for k in ("normalizer",) if spec.get(k) is not None]
+    odd += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    odd += [k for k in ("fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False or after.get("type", "ByteLevel") != "ByteLevel":
+        odd.append("model, pre_tokenizer or decoder")
+    odd += [t["content"] for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if odd:
+        raise ValueError(f"not implemented in a tokenizers file: {', '.join(odd)}")
+
+
 class Codec:
     """Encodes and decodes texts with a tokenizers file of a byte-level BPE vocabulary."""
 
     def __init__(self, spec: str):
         model = json.loads(spec)
+        checked_settings(model)
         letters = byte_letters()
         raw = lambda t: bytes(map(letters.__getitem__, t))
         vocab = model["model"]["vocab"]
@@ -153,46 +189,110 @@ class Codec:
         tokens = {raw(t): i for t, i in vocab.items() if t not in added}
         split = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
         self.trie = WordTrie(tokens, [(vocab[a], vocab[b], vocab[a + b]) for a, b in split])
-        self.bytes_of = {i: b for b, i in tokens.items()} | {i: t.encode() for t, i in added.items()}
         self.added = {t: struct.pack("<I", i) for t, i in added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(SPLIT).findall
+        self.latin = latin_split().findall
         self.young = re.compile(young_letters()).search
-        self.packed: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # The bytes of all tokens, one after another.
+        bytes_of = {i: b for b, i in tokens.items()} | {i: t.encode() for t, i in added.items()}
+        sizes = np.zeros(max(bytes_of) + 1, np.int64)
+        sizes[list(bytes_of)] = [len(b) for b in bytes_of.values()]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(bytes_of[i] for i in sorted(bytes_of)), np.uint8)
 
     def find(self, text: str) -> list[str]:
         """The words of a text; where Unicode versions could differ, as the tokenizers library splits."""
-        if text.isascii() or not self.young(text):
+        try:
+            text.encode("latin-1")
+            return self.latin(text)
+        except UnicodeEncodeError:
+            pass
+        if not self.young(text):
             return self.split(text)
         return [text[i:j] for _, (i, j) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
-            return self.find(text)
-        return [x for k, part in enumerate(self.special.split(text)) for x in ([part] if k % 2 else self.find(part))]
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The words and special tokens of a text, in lists for about BATCH_CHARS of it."""
+        parts = [text] if self.special is None or not self.special.search(text) else self.special.split(text)
+        for k, part in enumerate(parts):
+            if k % 2:
+                yield [part]
+            else:
+                for a, b in cuts(part):
+                    yield self.find(part[a:b] if b - a < len(part) else part)
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        packed = self.packed
+        held: list[tuple[list[str], bool]] = []  # words, and whether they end their text
+        size, parts = 0, []
         for text in texts:
-            pieces = self.pieces(text)
-            new = {p for p in set(pieces) if p not in packed}
-            if new:
-                if len(packed) > MAX_WORDS or len(self.trie.last) > MAX_NODES:
-                    packed.clear()
-                    packed |= self.added
-                    self.trie.clear()
-                    new = {p for p in set(pieces) if p not in packed}
-                elif not packed:
-                    packed |= self.added
-                    new -= packed.keys()
-                order = sorted((p.encode(), p) for p in new)
-                for (_, p), ids in zip(order, self.trie.encode(b for b, _ in order)):
-                    packed[p] = struct.pack(f"<{len(ids)}I", *ids)
-            yield b"".join([packed[p] for p in pieces])
+            for words in self.pieces(text):
+                held.append((words, False))
+                size += sum(map(len, words)) if len(text) > BATCH_CHARS else 0
+                if size > BATCH_CHARS:
+                    yield from self._encoded(held, parts)
+                    held, size = [], 0
+            held.append(([], True))
+            size += len(text) if len(text) <= BATCH_CHARS else 0
+            if size > BATCH_CHARS:
+                yield from self._encoded(held, parts)
+                held, size = [], 0
+        yield from self._encoded(held, parts)
+
+    def _encoded(self, held: list[tuple[list[str], bool]], parts: list[bytes]) -> Iterator[bytes]:
+        """The ids of the texts that end in held; parts: ids of the text that has begun."""
+        met = set().union(*(words for words, _ in held))
+        if len(self.kept) > MAX_WORDS:
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        ids_of = dict(self.added)
+        new = []
+        for w in met:
+            known = kept.get(w)
+            if known is None:
+                known = older.get(w)
+                if known is None:
+                    if w not in ids_of:
+                        new.append((w.encode(), w))
+                    continue
+                kept[w] = known
+            ids_of[w] = known
+        new.sort()
+        for (raw, w), ids in zip(new, self.trie.encode(b for b, _ in new)):
+            ids_of[w] = packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(raw) <= LONG_WORD:
+                kept[w] = packed
+        for words, ends in held:
+            parts.append(b"".join([ids_of[w] for w in words]))
+            if ends:
+                yield b"".join(parts)
+                parts.clear()
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        at = np.frombuffer(ids, "<u4")
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[at] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        return self.bytes[places].tobytes().decode("utf-8", "replace")
+
+
+_SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
+
+
+def cuts(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about BATCH_CHARS: cut between a letter and a space with a letter behind it, which words never cross."""
+    at = 0
+    while len(text) - at > BATCH_CHARS:
+        found = _SAFE.search(text, at + BATCH_CHARS)
+        if not found:
+            break
+        yield at, found.end()
+        at = found.end()
+    yield at, len(text)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -219,52 +319,48 @@ def vocabulary(path: str | None = None) -> str:
 
 def digests(docs: DataFrame, spec: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of the decoded text, for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file: a few MB
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(shared.value)
-        for batch in batches:
-            rows = []
-            for ids in own.encode_batch(batch["text"]):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _coded(docs, spec, False)
 
 
 def encoded(docs: DataFrame, spec: str) -> DataFrame:
     """doc_id, token_ids (array of ints), n_tokens and the digests of ids and decoded text, for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    return _coded(docs, spec, True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS_BACK):
-                part = batch.iloc[at : at + ROWS_BACK]
-                rows = []
-                for ids in own.encode_batch(part["text"]):
-                    rows.append((np.frombuffer(ids, "<i4"), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-                out = pd.DataFrame(rows, columns=["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"], index=part.index)
-                out.insert(0, "doc_id", part["doc_id"])
-                yield out
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _coded(docs: DataFrame, spec: str, with_ids: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file: a few MB
+    fields = {"doc_id": "long"} | ({"token_ids": "array<int>"} if with_ids else {}) | {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shared.value)
+        for part in sliced(batches, ROWS_BACK):
+            ids = list(own.encode_batch(part.column("text").to_pylist()))
+            columns = {
+                "doc_id": part.column("doc_id"),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            }
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                columns["token_ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([columns[c] for c in fields], names=list(fields))
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items()))
 
 
 def decoded(encoded_docs: DataFrame, spec: str) -> DataFrame:
     """doc_id and text of rows (doc_id, token_ids); null ids are no ids."""
     shared = encoded_docs.sparkSession.sparkContext.broadcast(spec)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value)
-        for batch in batches:
-            texts = [own.decode(struct.pack(f"<{len(ids)}I", *ids)) for ids in batch["token_ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
+        for part in sliced(batches, ROWS_BACK):
+            texts = [own.decode(np.array(ids, "<i4").tobytes()) for ids in part.column("token_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     ids = F.coalesce("token_ids", F.array().cast("array<int>")).alias("token_ids")
-    return encoded_docs.select("doc_id", ids).mapInPandas(run, "doc_id long, text string")
+    return encoded_docs.select("doc_id", ids).mapInArrow(run, "doc_id long, text string")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
