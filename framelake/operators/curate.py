@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.checks import non_negative
+
 
 def passes_thresholds(sharpness: float = 100.0, motion: float = 0.5, brightness: float = 60.0) -> Column:
     """FIL-01: all three metrics reach their inclusive floor."""
@@ -39,18 +41,8 @@ def diverse_top_n(scored: DataFrame, *, group: str, score: str, tie: str, n: int
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(tie))))
 
 
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """WIN-02 for any number of rows: rank from 1, without sending all rows to one task.
-
-    Rows are range partitioned by the order; a task numbers its own rows, and the
-    rows of the partitions before it are added.
-    """
-    parted = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    return offset_rank(parted, "_part", *order)
-
-
 def offset_rank(rows: DataFrame, part: str, *order: Column, name: str = "rank") -> DataFrame:
-    """Numbers from 1 in (part, order), by counts of the parts before: parts are in order already."""
+    """Numbers from 1 in (part, order), by counts of the parts before: parts are in order already, and stay (rows are written)."""
     sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -62,6 +54,7 @@ def last_n(rows: DataFrame, *, by: str, order: str, n: int) -> DataFrame:
     """WIN-05: the last n rows of each group in order; 0 keeps all."""
     if n == 0:
         return rows
+    non_negative(n=n)
     w = Window.partitionBy(by).orderBy(F.col(order).desc())
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
@@ -115,6 +108,7 @@ def hash_order(seed: str, *keys: str) -> Column:
 
 def sampled(rows: DataFrame, *, seed: str, keys: list[str], n: int) -> DataFrame:
     """SRT-06: n rows without replacement."""
+    non_negative(n=n)
     return rows.orderBy(hash_order(seed, *keys), *keys).limit(n)
 
 
@@ -123,6 +117,25 @@ def pick_one(items: Column, seed: Column) -> Column:
     return F.when(F.size(items) > 0, F.element_at(items, (F.pmod(F.xxhash64(seed), F.size(items)) + 1).cast("int")))
 
 
+def allowed(rows: DataFrame, column: str, names: str | None) -> DataFrame:
+    """FIL-07: rows whose column is in a comma-separated list; blanks in it are ignored, without a name all rows stay."""
+    wanted = [x.strip() for x in (names or "").split(",") if x.strip()]
+    return rows.where(F.col(column).isin(wanted)) if wanted else rows
+
+
+def distinct_in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """SET-05: the first row of each key; an aggregate, so a frequent key is combined map-side. The order column stays for the reader."""
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_f"))
+    return first.select(*[c if c in keys else F.col(f"_f.{c}").alias(c) for c in rows.columns])
+
+
+def requested(available: DataFrame, wanted: list[str], column: str) -> DataFrame:
+    """JOIN-06: the wanted names that are available, with their place in the request."""
+    asked = available.sparkSession.createDataFrame([(name, i) for i, name in enumerate(dict.fromkeys(wanted))], f"{column} string, place int")
+    return F.broadcast(asked).join(available.select(column).distinct(), column)
+
+
 def enough(rows: DataFrame, n: int, strict: bool) -> DataFrame:
     """SRT-09: an error if strict and fewer than n rows are there, checked as the query runs."""
     if not strict:
