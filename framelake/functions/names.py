@@ -22,7 +22,7 @@ CLASS_RULES = (
     ("bee", "worker"),
 )
 #: File kinds, the name of a recording, the name of a frame.
-VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".h264")
+VIDEO_EXTENSIONS = (".avi", ".mkv", ".mov", ".mp4", ".webm")
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png")
 VIDEO_NAME = r"^(.+)@(\d{4}-\d{2}-\d{2})@(\d{2}-\d{2}-\d{2})(?:\.[^.]+)?$"
 FRAME_NAME = r"^frame_(\d+)_t[\d.]+s\.jpg$"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.names import FRAME_NAME, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, base_name, stem
 
 STATUSES = ("downloaded", "unavailable", "failed")
-MANIFEST = "status string, hive string, day string, time string, path string, reason string, _corrupt_record string"
+MANIFEST = "status string, hive string, day string, time string, path string, reason string, batch bigint, number bigint, _corrupt_record string"
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int,license:int,date_captured:string>>,
  annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,segmentation:string,iscrowd:int>>,
  categories array<struct<id:int,name:string,supercategory:string>>"""
@@ -22,16 +22,45 @@ def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), re
 
 
 def videos(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-03/04, FIL-03."""
-    return listing(spark, root, VIDEO_EXTENSIONS, recursive=False)
+    """SRC-03, FIL-03, SRT-03: the videos of a folder, by path."""
+    return listing(spark, root, VIDEO_EXTENSIONS, recursive=False).orderBy("path")
+
+
+def find_videos(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-04: a single file as it is, else the videos of a folder; a folder without videos is an error."""
+    if base_of(path) and listing(spark, path, recursive=False).where(F.col("path").endswith("/" + base_of(path))).limit(2).count() == 1:
+        return listing(spark, path, recursive=False)
+    found = videos(spark, path)
+    if found.isEmpty():
+        raise ValueError(f"no videos in {path}")
+    return found
+
+
+def base_of(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
+def images(spark: SparkSession, root: str, n: int | None = None) -> DataFrame:
+    """SRC-19, SRT-03/07: the images of a folder by path, the first n."""
+    found = listing(spark, root, IMAGE_EXTENSIONS, recursive=False).orderBy("path")
+    return found if n is None else found.limit(n)
 
 
 def video_list(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05: paths of a text list, without blanks and `#` lines; order is kept in `line`."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "path"))
+    """SRC-05: paths of a text list, without blanks and `#` lines; order is kept in `line`. The list is hand-written and small."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "path"))
     return lines.withColumn("path", F.trim("path")).where("path <> '' and not startswith(path, '#')")
 
 
+def checked_list(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """SRC-05: the listed paths; one that isn't there, or is no video, is an error as the query runs."""
+    there = files.select(F.col("path").alias("_path")).distinct()
+    joined = listed.join(there, F.col("path") == F.col("_path"), "left")
+    is_video = F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in VIDEO_EXTENSIONS) + ")$")
+    problem = F.when(F.col("_path").isNull(), F.concat(F.lit("listed video not found: "), "path")).when(~is_video, F.concat(F.lit("listed file is no video: "), "path"))
+    return joined.where(F.when(problem.isNotNull(), F.raise_error(problem).isNull()).otherwise(True)).drop("_path")
+
+
 def missing_from(listed: DataFrame, files: DataFrame) -> DataFrame:
     """SRC-05: listed paths that aren't there; must be empty."""
     return listed.join(files.select("path").distinct(), "path", "left_anti")
@@ -56,21 +85,35 @@ def frame_index(files: DataFrame) -> DataFrame:
     return files.where(F.col("name").rlike(FRAME_NAME)).select(base_name(F.col("folder")).alias("video"), F.col("path").alias("frame_path"), F.regexp_extract("name", FRAME_NAME, 1).cast("long").alias("frame_idx"), "size_bytes", F.col("mtime").cast("double").alias("mtime"))
 
 
+def line_order():
+    """The place of a line in files that are read by lines: time and path of its file, its block, its place in it."""
+    m = "_metadata"
+    return F.struct(F.col(f"{m}.file_modification_time").alias("at"), F.col(f"{m}.file_path").alias("file"), F.col(f"{m}.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-09, FIL-14: valid records in file order (`seq`); bad lines, unknown statuses and missing keys are skipped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    rows = raw.select("seq", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("seq", "r.*")
-    return rows.where(F.col("_corrupt_record").isNull() & F.col("status").isin(*STATUSES)).where("hive is not null and day is not null and time is not null").drop("_corrupt_record")
+    """SRC-09, FIL-14: valid records in order (`seq`); bad lines, unknown statuses and missing keys are skipped.
+
+    Records are ordered by the batch and number that `append_manifest` writes, and
+    those without by the place of their line; files are split over tasks.
+    """
+    raw = spark.read.text(path).select("value", line_order().alias("place"))
+    rows = raw.select("place", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("place", "r.*")
+    seq = F.struct(F.coalesce("batch", F.lit(-1)).alias("batch"), F.coalesce("number", F.lit(-1)).alias("number"), "place")
+    good = rows.where(F.col("_corrupt_record").isNull() & F.col("status").isin(*STATUSES)).where("hive is not null and day is not null and time is not null")
+    return good.withColumn("seq", seq).drop("_corrupt_record", "batch", "number", "place")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def next_day_index(spark: SparkSession, path: str, signature: str) -> int:
     """SRC-10: the saved position, 0 if there is none for this signature."""
-    try:
-        row = spark.read.schema("signature string, next_day_index int").json(path).where(F.col("signature") == signature).first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        row = None
+    if not exists(spark, path):
+        return 0
+    row = spark.read.schema("signature string, next_day_index int").json(path).where(F.col("signature") == signature).first()
     return max(0, row.next_day_index or 0) if row else 0
 
 
@@ -97,6 +140,35 @@ def pairs(lines: DataFrame) -> DataFrame:
     return lines.where(F.instr("value", "/") > 0).select(F.split_part("value", F.lit("/"), F.lit(1)).alias("workspace"), F.split_part("value", F.lit("/"), F.lit(2)).alias("project"))
 
 
+def frame_groups(index: DataFrame, root: str) -> DataFrame:
+    """SRC-16, SRT-04: frames (frame_path, frame_idx) by folder: those of root itself if it holds any, else of its children; none is an error."""
+    top = root.rstrip("/")
+    folder = F.regexp_replace("frame_path", "/[^/]*$", "")
+    parent = F.regexp_replace(folder, "/[^/]*$", "")
+    own = index.withColumn("folder", folder)
+    direct = own.where(F.col("folder").endswith(top))
+    found = direct if not direct.isEmpty() else own.where(parent.endswith(top))
+    if found.isEmpty():
+        raise ValueError(f"no frames in {root}")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("frame_idx", "frame_path")))
+
+
+def item(rows: DataFrame, idx: int, order: str) -> DataFrame:
+    """UDF-02: the row at a place in the order, from the end for negative ones."""
+    n = rows.count()
+    at = idx + n if idx < 0 else idx
+    if not 0 <= at < n:
+        raise IndexError(idx)
+    return rows.orderBy(order).offset(at).limit(1)
+
+
+def complete(files: DataFrame, splits: tuple[str, ...] = ("train", "valid", "test"), name: str = "_annotations.coco.json") -> DataFrame:
+    """SRC-21: the folders (slug) of which a split's annotation document is there; others have to be fetched."""
+    parts = F.split("path", "/")
+    here = files.where((F.col("name") == name) & F.element_at(parts, -2).isin(*splits))
+    return here.select(F.element_at(parts, -3).alias("slug")).distinct()
+
+
 def checkpoint(files: DataFrame, named: str | None = None) -> DataFrame:
     """SRC-22: the named path, or the last by path."""
     return files.where(F.col("path") == named).select("path") if named else files.agg(F.max("path").alias("path"))

@@ -2,13 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import os
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_manifest(records: DataFrame, path: str) -> None:
-    """SNK-01: null fields are left out."""
-    records.select(*sorted(records.columns)).write.mode("append").option("ignoreNullFields", True).json(path)
+def append_manifest(records: DataFrame, path: str, batch: int) -> None:
+    """SNK-01: null fields are left out; batch, which grows from call to call, and the record's number in it order the records."""
+    numbered = records.withColumns({"batch": F.lit(batch).cast("long"), "number": F.monotonically_increasing_id()})
+    numbered.select(*sorted(numbered.columns)).write.mode("append").option("ignoreNullFields", True).json(path)
+
+
+def save_state(spark: SparkSession, path: str, signature: str, next_day_index: int) -> None:
+    """SNK-04: the scheduler's position as one small file, written beside and renamed."""
+    jvm = spark.sparkContext._jvm
+    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray((json.dumps({"next_day_index": next_day_index, "signature": signature}) + "\n").encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(part, at):
+        raise OSError(f"{path} can't be replaced")
+
+
+def fetched(wanted: DataFrame, fetch: Callable[[str], bytes], *, key: str = "path") -> DataFrame:
+    """SNK-05: key, size_bytes and status (downloaded or failed, with reason) of files that `fetch` gets and writes beside their path, then renames.
+
+    A file that is there counts as downloaded; a part that fails is deleted. The
+    paths are on a file system that all executors mount.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_fetch_one(p, fetch) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=[key, "size_bytes", "status", "reason"])
+
+    return wanted.select(key).mapInArrow(run, f"{key} string, size_bytes long, status string, reason string")
+
+
+def _fetch_one(path: str, fetch: Callable[[str], bytes]) -> tuple[int | None, str, str | None]:
+    if os.path.exists(path):
+        return os.path.getsize(path), "downloaded", None
+    part = f"{path}.{uuid.uuid4().hex}.part"  # two attempts of a task don't share a part
+    try:
+        data = fetch(path)
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, path)
+        return len(data), "downloaded", None
+    except Exception as e:  # noqa: BLE001  any failure of one file is a row, and leaves no part
+        if os.path.exists(part):
+            os.remove(part)
+        return None, "failed", str(e)
+
+
+def video_variants(frames: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """SNK-12: a row (video, frame_idx, variant, pixels) for each rendered form of a frame."""
+    forms = F.array(*[F.struct(F.lit(name).alias("variant"), pixels.alias("pixels")) for name, pixels in variants.items()])
+    return frames.select("video", "frame_idx", F.inline(forms))
+
+
+def background_rows(frames: DataFrame, *, by: str = "video") -> DataFrame:
+    """SNK-09: a video's background, the model after its last frame: one row a video."""
+    return frames.groupBy(by).agg(F.max_by("background", "idx").alias("background"))
+
+
+def ranked_report(ranked: DataFrame) -> DataFrame:
+    """SNK-15: lines of the ranked table (rank, video, sharpness, motion, brightness, hive_id) in columns."""
+    line = F.format_string("%4d  %-55s  %8.2f  %8.3f  %8.2f  %s", "rank", "video", "sharpness", "motion", "brightness", "hive_id")
+    return ranked.select("rank", line.alias("line"))
+
+
+def probe_report(rows: DataFrame, path: str) -> None:
+    """SNK-14: probe rows as lines, those that failed with their `errors`."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def json_lines(rows: DataFrame, path: str) -> None:
