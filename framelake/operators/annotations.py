@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.names import map_class
-from framelake.operators.curate import offset_rank
+from framelake.operators.order import ranked
 
 
 def bucketed(annotations: DataFrame, name: str, rules=None) -> DataFrame:
@@ -49,9 +49,44 @@ def annotation_record(id_: Column, image: Column, category: Column, box: Column,
 
 
 def reassigned_ids(rows: DataFrame, *, part: str, order: list[str], name: str) -> DataFrame:
-    """WIN-07: numbers from 1 over all parts in (part, order); counts of earlier parts are added, no window holds all rows."""
-    keep = rows.withColumn("_p", F.col(part))
-    return offset_rank(keep, "_p", *[F.col(c) for c in order], name=name)
+    """WIN-07: numbers from 1 over all parts in (part, order); no window holds all rows, or a part's."""
+    return ranked(rows, F.col(part), *[F.col(c) for c in order], name=name)
+
+
+def renumbered(images: DataFrame, annotations: DataFrame, *, part: str, image: str, annotation: str) -> tuple[DataFrame, DataFrame]:
+    """WIN-07 for both: images (image) as `new_image_id`, annotations (image, annotation) as `new_id` in the order of their images."""
+    numbered = reassigned_ids(images, part=part, order=[image], name="new_image_id")
+    joined = annotations.join(numbered.select(image, "new_image_id"), image)
+    return numbered, ranked(joined, F.col("new_image_id"), F.col(annotation), name="new_id")
+
+
+def grand_total(counts: DataFrame, n: str = "n") -> DataFrame:
+    """AGG-11: the sum of the counts, 0 without any."""
+    return counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"))
+
+
+def above(found: DataFrame, threshold: float, column: str = "score") -> DataFrame:
+    """FIL-09: detections whose score reaches the threshold."""
+    return found.where(F.col(column) >= threshold)
+
+
+def with_image(rows: DataFrame, files: DataFrame, *, on: str) -> DataFrame:
+    """FIL-13: rows whose image is there; the others are skipped."""
+    return rows.join(files.select(on).distinct(), on, "left_semi")
+
+
+def zipped(left: Column, right: Column, names: tuple[str, str]) -> Column:
+    """JOIN-12: the elements of two arrays by place, as structs; arrays of different lengths are an error as the query runs."""
+    pairs = F.transform(F.arrays_zip(left.alias("a"), right.alias("b")), lambda p: F.struct(p["a"].alias(names[0]), p["b"].alias(names[1])))
+    return F.when(F.size(left) == F.size(right), pairs).otherwise(F.raise_error(F.lit("arrays of different lengths")))
+
+
+def background_sizes(backgrounds: DataFrame, frames: DataFrame, *, by: str, path: str, width: str, height: str) -> DataFrame:
+    """JOIN-11: each background (by, width, height) beside the first frame by path of its folder, and whether it is smaller in either way."""
+    first = frames.groupBy(by).agg(F.min(F.struct(path, width, height)).alias("_f"))
+    joined = backgrounds.select(by, width, height).join(first, by)
+    small = (F.col(width) < F.col(f"_f.{width}")) | (F.col(height) < F.col(f"_f.{height}"))
+    return joined.select(by, F.col(f"_f.{path}").alias("first_frame"), width, height, F.col(f"_f.{width}").alias("frame_width"), F.col(f"_f.{height}").alias("frame_height"), small.alias("too_small"))
 
 
 def audit(annotations: DataFrame, *, split: str, label: str, source: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.numbers import iou
+from framelake.operators.order import PART, parted, running
+from framelake.scratch import Scratch
 
 #: Fixed values of the public COCO protocol.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -44,18 +46,17 @@ def _match_image(g: np.ndarray, ignore: np.ndarray, crowd: np.ndarray, d: np.nda
     h = np.clip(np.minimum((d[:, 1] + d[:, 3])[:, None], g[:, 1] + g[:, 3]) - np.maximum(d[:, 1][:, None], g[:, 1]), 0, None)
     own, other = (d[:, 2] * d[:, 3])[:, None], g[:, 2] * g[:, 3]
     over = w * h / np.where(crowd, own, own + other - w * h)
-    places = np.arange(len(g))
-    for k, t in enumerate(THRESHOLDS):
-        used = np.zeros(len(g), bool)
-        for i in range(len(d)):
-            fits = (over[i] >= t) & (~used | crowd)
-            # A truth that counts goes before one that is ignored; among equals the last best overlap.
-            of = fits & ~ignore if (fits & ~ignore).any() else fits
-            if not of.any():
-                skip[k, i] = outside[i]
-                continue
-            j = places[of][len(places[of]) - 1 - int(np.argmax(over[i][of][::-1]))]
-            used[j], hit[k, i], skip[k, i] = True, True, ignore[j]
+    at = np.array(THRESHOLDS)[:, None]
+    used = np.zeros((len(THRESHOLDS), len(g)), bool)
+    for i in range(len(d)):
+        fits = (over[i] >= at) & (~used | crowd)
+        # A truth that counts goes before one that is ignored; among equals the last best overlap.
+        real = fits & ~ignore
+        of = np.where(real.any(1)[:, None], real, fits)
+        j = len(g) - 1 - np.where(of, over[i], -1.0)[:, ::-1].argmax(1)
+        found = np.flatnonzero(of.any(1))
+        used[found, j[found]] = hit[found, i] = True
+        skip[:, i] = np.where(hit[:, i], ignore[j], outside[i])
     return hit, skip
 
 
@@ -90,16 +91,23 @@ def matched(truth: DataFrame, found: DataFrame, *, area: str = "all", max_dets:
 
 
 def average_precision(matches: DataFrame) -> DataFrame:
-    """ML-11, second half: ap by (category_id, threshold); null for classes without positives."""
+    """ML-11, second half: ap by (category_id, threshold); null for classes without positives.
+
+    Detections are range partitioned by class, threshold and score: a class with
+    any number of them is spread over tasks, and what parts before and behind hold
+    is added to running counts and to the envelope.
+    """
     keys = ["category_id", "threshold"]
+    matches = Scratch(matches.sparkSession, "matches").save(matches)  # read three times
     positives = matches.groupBy(*keys).agg(F.sum("positives").alias("positives"))
-    d = matches.where("rank >= 0 and not ignored").drop("positives")
-    by = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "image_id", "rank")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("tps", F.sum(F.col("tp").cast("int")).over(upto)).withColumn("seen", F.count(F.lit(1)).over(upto)).join(positives, keys)
-    d = d.withColumn("precision", F.col("tps") / F.col("seen")).withColumn("place", F.row_number().over(by))
-    d = d.withColumn("envelope", F.max("precision").over(Window.partitionBy(*keys).orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0)))
-    # (The envelope runs from the last place up: a frame that ends at the last row costs the square of the rows.)
+    order = [F.col("score").desc(), F.col("image_id"), F.col("rank")]
+    d = parted(matches.where("rank >= 0 and not ignored").select(*keys, "score", "image_id", "rank", "tp"), *[F.col(k) for k in keys], *order)
+    d = running(d, {"tps": F.col("tp").cast("long"), "seen": F.lit(1).cast("long")}, by=keys, order=order).withColumn("precision", F.col("tps") / F.col("seen"))
+    # The envelope is the best precision from a place on: of the own part, and of the parts behind.
+    own = F.max("precision").over(Window.partitionBy(PART, *keys).orderBy(F.col("seen").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    behind = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    best = d.groupBy(PART, *keys).agg(F.max("precision").alias("_best")).select(PART, *keys, F.coalesce(F.max("_best").over(behind), F.lit(0.0)).alias("_behind"))
+    d = d.withColumn("_own", own).join(best, [PART, *keys]).withColumn("envelope", F.greatest("_own", "_behind")).join(positives, keys)
     # A recall point r takes the precision at the first place whose recall reaches it.
     firsts = d.where("tp and positives > 0").withColumn("reach", F.floor(F.col("tps") * (RECALLS - 1) / F.col("positives") + 1e-9))
     before = F.floor((F.col("tps") - 1) * (RECALLS - 1) / F.col("positives") + 1e-9)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from framelake.functions.checks import non_negative, positive
 from framelake.functions.numbers import mean_abs_diff
+from framelake.operators.order import folded
 
 
 def lag_difference(frames: DataFrame, *, by: str, order: list[str], signature: str) -> DataFrame:
@@ -23,6 +27,7 @@ def video_metrics(frames: DataFrame, *, by: str) -> DataFrame:
 
 def sample_clock(frames: DataFrame, *, by: str, seconds: Column, every: float, start: float = 0.0) -> DataFrame:
     """STM-02: the first frame of each clock tick, from `start`."""
+    positive(every=every)
     tick = F.floor((seconds + 1e-9 - start) / every)
     ticked = frames.withColumn("tick", tick).where(seconds + 1e-9 >= start)
     return ticked.withColumn("_rn", F.row_number().over(Window.partitionBy(by, "tick").orderBy(seconds))).where("_rn = 1").drop("_rn")
@@ -31,25 +36,65 @@ def sample_clock(frames: DataFrame, *, by: str, seconds: Column, every: float, s
 def keyframes(frames: DataFrame, *, by: str, seconds: Column, value: Column, key: str, min_gap: float, min_diff: float = 0.0, max_frames: int = 0, usable: Column | None = None) -> DataFrame:
     """WIN-15, STM-03/04, SRT-05: the frames that a greedy gate keeps, with their ordinal.
 
-    A frame is kept if min_gap has passed since the last kept one, its value
-    differs from that one's by min_diff at least, it is usable, and fewer than
-    max_frames are kept (0: no cap); a rejected frame leaves the state alone. One
-    shuffle by group; a fold over the group's sorted frames, which must fit a row.
+    A frame is kept if min_gap has passed since the last kept one, its value (a
+    number or an array) differs from that one's by min_diff at least (arrays: in
+    the mean), it is usable, and fewer than max_frames are kept (0: no cap); a
+    rejected frame leaves the state alone. A frame without a time is not kept. One
+    shuffle by group; its sorted frames are streamed past a state of constant size.
     """
+    non_negative(min_gap=min_gap, min_diff=min_diff, max_frames=max_frames)
     ok = F.lit(True) if usable is None else usable
-    item = F.struct(seconds.cast("double").alias("t"), F.col(key).alias("k"), value.cast("double").alias("v"), ok.alias("ok"))
-    groups = frames.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    kind = frames.schema[key].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("v"), F.array().cast(f"array<struct<k:{kind},t:double>>").alias("kept"))
+    value = value if isinstance(frames.select(value).schema[0].dataType, ArrayType) else value.cast("double")
+    rows = frames.select(F.col(by), seconds.cast("double").alias("_t"), F.col(key).alias("_k"), value.alias("_v"), ok.alias("_ok"))
+    kinds = [frames.schema[c].dataType.simpleString() for c in (by, key)]
 
-    def step(a: Column, x: Column) -> Column:
-        free = F.lit(True) if not max_frames else F.size(a["kept"]) < max_frames
-        gate = a["t"].isNull() | ((x["t"] - a["t"] >= min_gap) & (F.abs(x["v"] - a["v"]) >= min_diff))
-        taken = F.struct(x["t"].alias("t"), x["v"].alias("v"), F.concat(a["kept"], F.array(F.struct(x["k"].alias("k"), x["t"].alias("t")))).alias("kept"))
-        return F.when(x["ok"] & gate & free, taken).otherwise(a)
+    def step(state: list, row: tuple) -> tuple | None:
+        group, t, k, v, fits = row
+        if not fits or t is None or max_frames and state[2] >= max_frames:
+            return None
+        if state[2] and (t - state[0] < min_gap or (change := difference(v, state[1])) is None or change < min_diff):
+            return None
+        state[:] = t, v, state[2] + 1
+        return group, k, state[2]
 
-    kept = F.aggregate("_items", zero, step, lambda a: a["kept"])
-    return groups.select(by, F.posexplode(kept).alias("_n", "_f")).select(by, F.col("_f.k").alias(key), (F.col("_n") + 1).alias("ordinal"))
+    return folded(rows, by=by, order=["_t", "_k"], start=lambda: [None, None, 0], step=step, schema=f"{by} {kinds[0]}, {key} {kinds[1]}, ordinal int")
+
+
+def difference(a: float | list[float] | None, b: float | list[float] | None) -> float | None:
+    if a is None or b is None:
+        return None
+    return sum(abs(x - y) for x, y in zip(a, b, strict=True)) / max(1, len(a)) if isinstance(a, list) else abs(a - b)
+
+
+def frames_at(frames: DataFrame, times: DataFrame, *, by: str, seconds: str, at: str, bucket: float = 60.0) -> DataFrame:
+    """SRC-07: each sample time (by, at) with the frame that is shown then: the last whose time is not later; null before the first.
+
+    An as-of join in time buckets, so that a long recording is spread over tasks:
+    a time looks among the frames of its own bucket, else it takes the last frame
+    of the buckets before, of which a window sees one row each.
+    """
+    others = [c for c in frames.columns if c != by]
+    cell = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    f = frames.select(by, cell(seconds).alias("_cell"), F.struct(F.col(seconds).alias("_s"), *others).alias("_f"))
+    last = f.groupBy(by, "_cell").agg(F.max("_f").alias("_last"))
+    t = times.withColumn("_cell", cell(at))
+    wanted = t.select(by, "_cell").distinct().join(last, [by, "_cell"], "full")
+    before = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.select(F.col(by).alias("_by"), F.col("_cell").alias("_c"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    kind = f.schema["_f"].dataType
+    both = f.select(by, "_cell", F.col("_f._s").alias("_at"), F.lit(0).alias("_q"), "_f", F.lit(None).cast(t.schema[at].dataType).alias("_t")).unionByName(
+        t.select(by, "_cell", F.col(at).cast(kind["_s"].dataType).alias("_at"), F.lit(1).alias("_q"), F.lit(None).cast(kind).alias("_f"), F.col(at).alias("_t"))
+    )
+    inside = Window.partitionBy(by, "_cell").orderBy("_at", "_q", "_f").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_own", F.last("_f", ignorenulls=True).over(inside)).where("_q = 1")
+    found = own.join(carried, (F.col(by) == F.col("_by")) & (F.col("_cell") == F.col("_c")), "left").withColumn("_hit", F.coalesce("_own", "_carried"))
+    return found.select(by, F.col("_t").alias(at), *[F.col(f"_hit.{c}").alias(c) for c in others])
+
+
+def wanted_tokens(frames: DataFrame, wanted: DataFrame, *, idx: str = "frame_idx", tokens: str = "tokens") -> DataFrame:
+    """SRC-08: the tokens of the wanted frames, a row each, with their place."""
+    kept = frames.join(wanted.select(idx).distinct(), idx, "left_semi")
+    return kept.select(*[c for c in frames.columns if c != tokens], F.posexplode(tokens).alias("place", "token"))
 
 
 def frame_time(idx: Column, fps: Column) -> Column:
@@ -59,6 +104,7 @@ def frame_time(idx: Column, fps: Column) -> Column:
 
 def seek_candidates(videos: DataFrame, *, every: float, skip: float = 0.0) -> DataFrame:
     """STM-03: a row for each seek time of videos (duration)."""
+    positive(every=every)
     n = F.floor(F.col("duration") / every).cast("int")
     return videos.withColumn("i", F.explode(F.sequence(F.lit(0), n))).withColumn("seek", skip + F.col("i") * every).where("seek <= duration")
 
@@ -66,30 +112,37 @@ def seek_candidates(videos: DataFrame, *, every: float, skip: float = 0.0) -> Da
 def background_model(frames: DataFrame, *, by: str, schema: str, rate: float = 0.05, distance: float = 2.5) -> DataFrame:
     """STM-01, STM-05, STM-10: per-video running mean and variance of frames (idx, pixels array): foreground share of each.
 
-    A documented stand-in for an adaptive mixture. A video that fails becomes a row with `error`.
+    A documented stand-in for an adaptive mixture. A video's frames are streamed in
+    order past its model. A frame that fails becomes a row with `error`, and ends its
+    video, not the others.
     """
-    import pandas as pd
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        group = group.sort_values("idx")
+    def step(state: dict, row: tuple) -> tuple | None:
+        key, idx, pixels = row
+        if "error" in state:
+            return None
         try:
-            mean = var = None
-            shares = []
-            for px in group["pixels"]:
-                x = np.asarray(px, np.float64)
-                if mean is None:
-                    mean, var = x.copy(), np.full_like(x, 225.0)
-                hit = (x - mean) ** 2 > distance**2 * var
-                shares.append(float(hit.mean()))
-                mean += rate * (x - mean)
-                var = np.maximum(4.0, var + rate * ((x - mean) ** 2 - var))
-            return pd.DataFrame({by: key[0], "idx": group["idx"], "foreground": shares, "error": None})
-        except Exception as e:  # one bad video must not end the others
-            return pd.DataFrame({by: [key[0]], "idx": [None], "foreground": [None], "error": [str(e)]})
-
-    return frames.groupBy(by).applyInPandas(run, schema)
+            x = np.asarray(pixels, np.float64)
+            if not state:
+                state.update(mean=x.copy(), var=np.full_like(x, 225.0))
+            if x.shape != state["mean"].shape:
+                raise ValueError(f"{len(x)} pixels, not {len(state['mean'])}")
+            hit = (x - state["mean"]) ** 2 > distance**2 * state["var"]
+            state["mean"] += rate * (x - state["mean"])
+            state["var"] = np.maximum(4.0, state["var"] + rate * ((x - state["mean"]) ** 2 - state["var"]))
+            return key, idx, float(hit.mean()), None
+        except (ValueError, TypeError) as e:  # pixels that are no numbers, or of another size
+            state["error"] = str(e)
+            return key, idx, None, str(e)
+
+    return folded(frames.select(by, "idx", "pixels"), by=by, order=["idx"], start=dict, step=step, schema=schema)
+
+
+def skipped(videos: DataFrame, done: DataFrame, *, by: str, duration: str, least: float) -> DataFrame:
+    """STM-05: why a video is left out: `present` or `short`; null for those to be worked on."""
+    have = done.select(F.col(by).alias("_by")).distinct()
+    joined = videos.join(have, F.col(by) == F.col("_by"), "left")
+    return joined.withColumn("skip", F.when(F.col("_by").isNotNull(), "present").when(F.col(duration) < least, "short")).drop("_by")
 
 
 def summary(frames: DataFrame, videos: DataFrame | None = None) -> DataFrame:

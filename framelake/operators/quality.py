@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators import raster
+
 #: Floors and bounds of the crop checks.
 COVERAGE, CENTER, SWAP_DIFF, BACKGROUND_STD, LUMINANCE, BACKGROUND_LUMINANCE = (0.02, 0.95), (0.4, 0.6), 5.0, 8.0, 5.0, 30.0
 
@@ -29,6 +35,34 @@ def crop_rules(size: int) -> dict[str, tuple[Column, Column]]:
     }
 
 
+def crop_metrics(crops: DataFrame) -> DataFrame:
+    """DQ-02..06: key, swapped, center_x, center_y, coverage, swap_diff, background_std, luminance, background_luminance.
+
+    crops: key, swapped, size, and as bytes: mask (size x size, classes 0..2),
+    image and original (size x size x 3). Background is where the class is 0;
+    without any, its measures are null. The center is the foreground's pixel
+    farthest from what is none, null without foreground.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, swapped, size, *parts in zip(*(batch[c] for c in ("key", "swapped", "size", "mask", "image", "original"))):
+                mask = np.frombuffer(parts[0], np.uint8).reshape(size, size)
+                image, original = (np.frombuffer(x, np.uint8).reshape(size, size, 3) for x in parts[1:])
+                back = mask == 0
+                y, x = divmod(int(raster.distance(np.where(mask == 2, raster.FOREGROUND, 0)).argmax()), size) if (mask == 2).any() else (None, None)
+                diff = float(np.abs(original[back].astype(np.int32) - image[back].astype(np.int32)).mean()) if back.any() else None
+                std, dark = (float(image[back].std()), float(raster.gray(image)[back].mean())) if back.any() else (None, None)
+                rows.append((key, swapped, x, y, float((mask >= 1).mean()), diff, std, float(raster.gray(image).mean()), dark))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _METRICS.split(", ")])
+
+    return crops.select("key", "swapped", "size", "mask", "image", "original").mapInPandas(run, _METRICS)
+
+
+_METRICS = "key long, swapped boolean, center_x double, center_y double, coverage double, swap_diff double, background_std double, luminance double, background_luminance double"
+
+
 def failures(checks: DataFrame) -> DataFrame:
     """DQ-08: failed rows by rule, of how many."""
     return checks.groupBy("rule").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("ok")).alias("failed"))

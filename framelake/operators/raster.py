@@ -106,13 +106,34 @@ def resized_area(image: np.ndarray, h: int, w: int) -> np.ndarray:
     return np.moveaxis(np.tensordot(weights(image.shape[1], w), out, (1, 1)), 0, 1)
 
 
+def as_bytes(values: np.ndarray) -> np.ndarray:
+    """IMG-18: numbers as bytes, rounded half to even and kept in 0..255."""
+    return np.clip(np.rint(values), 0, 255).astype(np.uint8)
+
+
+def from_unit(values: np.ndarray) -> np.ndarray:
+    """IMG-18: channels first in 0..1 as an image of bytes; fractions are cut off."""
+    return np.moveaxis(np.clip(values * 255.0, 0, 255), 0, -1).astype(np.uint8)
+
+
 def swapped(image: np.ndarray, mask: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """IMG-09: the image where the mask is shadow or foreground, the resized background elsewhere."""
+    """IMG-09: the image where the mask is shadow or foreground, elsewhere the background, resized by area if it differs in size."""
     if background.shape[:2] != image.shape[:2]:
-        background = resized_nearest(background, *image.shape[:2])
+        background = as_bytes(resized_area(background, *image.shape[:2])).astype(image.dtype)
     return np.where((mask >= SHADOW)[..., None] if image.ndim == 3 else mask >= SHADOW, image, background)
 
 
+def swapped_crop(image: np.ndarray, mask: np.ndarray, background: np.ndarray, x1: int, y1: int, size: int, output: int) -> tuple[np.ndarray, np.ndarray]:
+    """IMG-09: a window of the swapped image, resized by area, and of the mask, resized to the nearest."""
+    whole = cropped(swapped(image, mask, background), x1, y1, size)
+    return as_bytes(resized_area(whole, output, output)), resized_nearest(cropped(mask, x1, y1, size), output, output)
+
+
+def reference_crop(image: np.ndarray, x1: int, y1: int, size: int, output: int) -> np.ndarray:
+    """IMG-18: the same window without a swap."""
+    return as_bytes(resized_area(cropped(image, x1, y1, size), output, output))
+
+
 def mask_classes(mask: np.ndarray) -> np.ndarray:
     """IMG-10: 0, 1 for shadow, 2 for foreground."""
     return (mask == SHADOW).astype(np.int64) + 2 * (mask == FOREGROUND)
@@ -144,7 +165,9 @@ def blurred(gray: np.ndarray, size: int = 9) -> np.ndarray:
     out = gray.astype(np.float64)
     for axis in (0, 1):
         pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in range(2)]
-        out = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, np.pad(out, pad, "reflect"))
+        wide = np.pad(out, pad, "reflect")
+        n = out.shape[axis]
+        out = sum(k[i] * wide.take(range(i, i + n), axis) for i in range(size))
     return out
 
 
@@ -157,6 +180,46 @@ def heatmap(similarity: np.ndarray, h: int, w: int) -> np.ndarray:
     return resized_nearest((g - g.min()) / (g.max() - g.min() + 1e-6), h, w)
 
 
+def gray(image: np.ndarray) -> np.ndarray:
+    """IMG-01, IMG-12: the public luma of red, green and blue; gray images stay."""
+    if image.ndim == 2:
+        return image
+    return as_bytes(image.astype(np.float64) @ np.array([0.299, 0.587, 0.114]))
+
+
+def signature(image: np.ndarray, side: int = 64) -> np.ndarray:
+    """IMG-01: the gray image, resized by area to a square."""
+    return resized_area(gray(image), side, side).astype(np.float32)
+
+
+def frame_metrics(frames: DataFrame, *, by: str, motion_size: tuple[int, int] = (120, 160)) -> DataFrame:
+    """IMG-01..03: by, idx, sharpness, brightness, motion (null for a group's first frame) and signature of rows (by, idx, h, w, c, pixels).
+
+    Groups are dealt and sorted by idx and streamed: a worker holds a batch and
+    the small form of one frame.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, small = None, None
+        for batch in batches:
+            rows = []
+            for key, idx, h, w, c, pixels in zip(*(batch[x] for x in (by, "idx", "h", "w", "c", "pixels"))):
+                image = gray(np.frombuffer(pixels, np.uint8).reshape((h, w) if c == 1 else (h, w, c)))
+                now = as_bytes(resized_area(image, *motion_size))
+                rows.append((key, idx, laplacian_variance(image), float(image.mean()), motion(now, small) if last == key else None, resized_area(image, 64, 64).ravel().astype(np.float32)))
+                last, small = key, now
+            yield pd.DataFrame(rows, columns=[by, "idx", "sharpness", "brightness", "motion", "signature"])
+
+    kind = frames.schema[by].dataType.simpleString()
+    sized = frames.select(by, "idx", "h", "w", "c", "pixels").repartition(by).sortWithinPartitions(by, "idx")
+    return sized.mapInPandas(run, f"{by} {kind}, idx long, sharpness double, brightness double, motion double, signature array<float>")
+
+
+def channels_reversed(pixel: Column) -> Column:
+    """IMG-11: blue, green, red as red, green, blue, of an array of channels."""
+    return F.reverse(pixel)
+
+
 def mask_components(masks: DataFrame, *, min_area: int = 0) -> DataFrame:
     """IMG-07, FIL-05: one row for each component of rows (key, mask binary, h, w)."""
 

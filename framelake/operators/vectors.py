@@ -106,6 +106,13 @@ def apply_basis(rows: DataFrame, basis: Basis, *, vector: str) -> DataFrame:
     return out
 
 
+def explained_variance(rows: DataFrame, *, vector: str, projections: list[Column]) -> DataFrame:
+    """AGG-21: one row: for each projection its variance over that of all elements of all vectors, which is no share."""
+    elements = rows.select(F.explode(F.col(vector).cast("array<double>")).alias("_x")).agg(F.var_pop("_x").alias("_all")).withColumn("_k", F.lit(0))
+    own = rows.agg(*[F.var_pop(p).alias(f"axis_{i}") for i, p in enumerate(projections)]).withColumn("_k", F.lit(0))
+    return own.join(F.broadcast(elements), "_k").select(*[(F.col(f"axis_{i}") / F.col("_all")).alias(f"axis_{i}") for i in range(len(projections))])
+
+
 def frame_rgb(rows: DataFrame, *, by: str, key: str, vector: str) -> DataFrame:
     """ML-08: a PCA of each frame's own patches, channels scaled to 0..1; fewer than 3 patches are an error."""
     import pandas as pd

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import numbers
 from framelake.operators import raster, vectors
+from framelake.operators.order import percentiles
 from framelake.plans.tables import table
 
 
@@ -52,7 +53,7 @@ def threshold_sweep(spark, sf_dir):
 def quantile_gate(spark, sf_dir):
     """AGG-15, FIL-11: the gate is one number, joined to the rows by a constant key."""
     li = table(spark, sf_dir, "lineitem").withColumn("_k", F.lit(0))
-    gate = li.agg(F.percentile("l_extendedprice", 0.9).alias("gate")).withColumn("_k", F.lit(0))
+    gate = percentiles(li, "l_extendedprice", 0.9, by=[], name="gate").withColumn("_k", F.lit(0))
     kept = li.join(F.broadcast(gate), "_k").where(F.col("l_extendedprice") >= F.col("gate"))
     return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("l_extendedprice"), 2).alias("least"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framelake.plans import analytics, curation, keyframes, text, warehouse
+from framelake.plans import analytics, curation, keyframes, media, text, warehouse
 
-MODULES = (curation, keyframes, warehouse, text, analytics)
+MODULES = (curation, keyframes, warehouse, text, analytics, media)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import numbers
 from framelake.operators import curate
+from framelake.operators.order import ranked
 from framelake.plans.tables import FRAMES, frames, table
 
 
@@ -37,9 +38,13 @@ def last_n_days(spark, sf_dir):
     return curate.last_n(days, by="event_type", order="day", n=3)
 
 
+#: Above the number of (event_type, day) keys, so that rows are filled in behind the first ones.
+FIRST = 200
+
+
 def first_per_key_backfill(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    picked = curate.first_then_backfill(ev, keys=["event_type", "day"], order=F.struct("ts", "event_id"), n=60)
+    picked = curate.first_then_backfill(ev, keys=["event_type", "day"], order=F.struct("ts", "event_id"), n=FIRST)
     return picked.select("event_id", "event_type", "day", "is_first")
 
 
@@ -93,7 +98,7 @@ def timestamps_middle90(spark, sf_dir):
 
 def percent_rank_table(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    return curate.ranked(parts, F.col("p_retailprice").desc(), F.col("p_partkey")).select("p_partkey", "rank")
+    return ranked(parts, F.col("p_retailprice").desc(), F.col("p_partkey")).select("p_partkey", "rank")
 
 
 def seeded_sample(spark, sf_dir):
@@ -124,10 +129,10 @@ FROM g WHERE rn = 1 ORDER BY score DESC, user_id LIMIT 4""",
     "last_n_days": """
 SELECT event_type, day FROM (SELECT DISTINCT event_type, ts::DATE AS day FROM events)
 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 3""",
-    "first_per_key_backfill": """
-WITH e AS (SELECT *, ts::DATE AS day FROM events WHERE ts::DATE < DATE '2024-01-09'),
+    "first_per_key_backfill": f"""
+WITH e AS (SELECT *, ts::DATE AS day FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type, day ORDER BY ts, event_id) = 1 AS is_first FROM e)
-SELECT event_id, event_type, day, is_first FROM r ORDER BY is_first DESC, ts, event_id LIMIT 60""",
+SELECT event_id, event_type, day, is_first FROM r ORDER BY is_first DESC, ts, event_id LIMIT {FIRST}""",
     "floor_bucket_interleave": """
 WITH d AS (SELECT DISTINCT user_id, strftime(ts, '%H:%M:%S') AS time FROM events),
 j AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n, md5('42|' || user_id || '|' || time) AS h FROM d),

@@ -39,8 +39,9 @@ def dropped_classes(spark, sf_dir):
 
 
 def merge_annotations(spark, sf_dir):
-    images, kept = ops.merged(_images(spark, sf_dir), _annotations(spark, sf_dir))
-    return kept.join(images, "image_id").groupBy("split", "bucket").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("images"))
+    """Counted by image and bucket first, so that images are joined to a few rows each, once."""
+    kept = _annotations(spark, sf_dir).where("bucket is not null").groupBy("image_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return kept.join(_images(spark, sf_dir), "image_id").groupBy("split", "bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("images"))
 
 
 def merge_reassign_ids(spark, sf_dir):
@@ -49,7 +50,7 @@ def merge_reassign_ids(spark, sf_dir):
 
 
 def project_records(spark, sf_dir):
-    """PRJ-01/02 flattened."""
+    """PRJ-01 flattened."""
     o = table(spark, sf_dir, "orders")
     r = o.select(ops.image_record(F.col("o_orderkey"), F.concat(F.col("o_orderpriority"), F.lit("___"), F.col("o_orderkey").cast("string")), F.lit(640), F.lit(None).cast("int")).alias("r"))
     return r.select("r.id", "r.file_name", "r.width", "r.height", "r.license", "r.date_captured")
@@ -148,7 +149,7 @@ def overlay_left_join(spark, sf_dir):
 
 
 def set_ops(spark, sf_dir):
-    """SET-02..05: segments of customers with and without orders, as sets."""
+    """SET-02: segments of customers with and without orders, as sets."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     keys = c.select("c_custkey")
     both, none = keys.intersect(o), keys.subtract(o)
