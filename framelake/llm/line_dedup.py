@@ -1,14 +1,23 @@
 """Repeated lines, found by hashing units of text over all documents.
 
-A unit is a line (or a paragraph) of at least `min_words` words; shorter ones are
-left alone. `op1` sets no floor: each line that holds a word is a unit. Units are normalised (ASCII letters lowered, white space runs to one
-space, ends trimmed) and hashed to 128 bits. Of equal units the first by
-(doc_id, place in the text) stays, all others are removed with their line end;
-spans of what is removed are offsets in the original text.
+A unit is a line, or a part of one that ends with a punctuation mark (`ENDS`)
+before white space: passages are quoted from the middle of lines, and such
+passages share units though no whole line. A unit begins at its first word and
+goes on to the first word of the next, so that units hold all of a text but the
+white space before its first word. Units are normalised (ASCII letters lowered,
+white space runs to one space, ends trimmed) and hashed to 128 bits. Of equal
+units the first by (doc_id, place in the text) is kept always. The others are
+repeats, and a run of neighbouring repeats is removed if it has `min_words` words
+or more: what it holds stands earlier, unit by unit, and short phrases that
+documents share by chance stay where they are. A word counts as such, and eight
+characters count as a word if that is more, for writing without spaces. Spans of
+what is removed are offsets (code points) in the original text. With `ends=""`
+units are lines, with `min_words=1` each repeat is removed.
 
 Digests are grouped with map-side aggregation to the rank of their first unit, so
-a line that stands in every document costs a row a task. What returns to the
-documents is the list of first units by document, never a row for each copy.
+that a line that stands in every document costs a row a task. What returns to the
+documents is the list of their first units, never a row for each copy, and no list
+where all units are first.
 
 Defined results: a null text has no units and stays null. Rows with a null doc_id
 rank first, by the hash of their text. Rows that repeat a doc_id are ranked by the hash of their
@@ -18,99 +27,194 @@ empty table gives an empty result; other columns stay unchanged in `dedup`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from framelake.llm.common import SPACE, documents, let, packed, unpacked
-
-MIN_WORDS = 5
-#: What ends a unit.
-LINE, PARAGRAPH = "\n", "\n\n"
-
-
-def normalised(unit: Column) -> Column:
-    lowered = F.translate(unit, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lowered, SPACE, " "))
-
-
-def digest(unit: Column) -> Column:
-    return F.md5(unit.cast("binary"))
-
-
-def unit_digests(text: Column, end: str, min_words: int) -> Column:
-    """Digests of the units of a text in order; null for those that are too short."""
-    norm = F.transform(F.split(text, end), normalised)
-    n_words = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + F.when(u == "", 0).otherwise(1)
-    return F.transform(norm, lambda u: F.when(n_words(u) >= min_words, digest(u)))
-
-
-def first_units(docs: DataFrame, end: str, min_words: int) -> DataFrame:
-    """doc_id, text_hash and the places of the units that are the first of their digest."""
-    units = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(unit_digests(F.col("text"), end, min_words)).alias("place", "digest"))
-    first = units.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("f"))
-    return first.groupBy("f.doc_id", "f.text_hash").agg(F.collect_list("f.place").alias("stay"))  # no longer than the document's own units
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def repeats(docs: DataFrame, *, end: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, n_units, removed (array of start, stop) and kept_text of each row of docs (doc_id, text)."""
-    first = first_units(docs, end, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stay")
-    rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    rows = rows.withColumn("units", F.split("text", end)).withColumn("digests", unit_digests(F.col("text"), end, min_words))
-    stay = F.coalesce("stay", F.array().cast("array<int>"))
-    goes = let(stay, lambda s: F.transform("digests", lambda d, i: d.isNotNull() & ~F.array_contains(s, i)))
-    rows = rows.withColumn("goes", goes)
-    # Ends of units in the original: lengths added up, with the separator after each but the last.
-    step = len(end)
-    ends = F.aggregate(
-        "units",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, u: F.struct((a["at"] + F.length(u) + step).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(u) + step)).alias("ends")),
-        lambda a: a["ends"],
-    )
-    rows = rows.withColumn("ends", F.when(F.exists("goes", lambda g: g), ends))
-    spans = F.filter(F.transform("ends", lambda e, i: F.when(F.get("goes", i), F.struct((e - step - F.length(F.get("units", i))).alias("start"), F.least(e, F.length("text")).alias("stop")))), lambda x: x.isNotNull())
-    rows = rows.withColumn("removed", F.coalesce(spans, F.array().cast("array<struct<start:int,stop:int>>")))
-    kept = F.array_join(F.filter("units", lambda u, i: ~F.get("goes", i)), end)
-    # A removed unit takes its separator along; a text that loses its last unit keeps the one before it.
-    tail = F.when(F.element_at("goes", -1) & F.exists("goes", lambda g: ~g), F.lit(end)).otherwise("")
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.concat(kept, tail))
-    return rows.select("doc_id", "text", F.coalesce(F.size("units"), F.lit(0)).cast("long").alias("n_units"), "removed", text.alias("kept_text"))
+from framelake.llm.common import Scratch, documents, packed, sliced, unpacked
+from framelake.llm.shingles import mixed, word_spans
+
+#: Marks after which a unit ends, if white space follows.
+ENDS = ".!?,;:"
+MIN_WORDS = 20
+#: Characters of a unit that count as a word if that makes more words.
+WORD_CHARS = 8
+_U = np.uint64
+_SEEDS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
+class Units(NamedTuple):
+    """Units of a batch of texts: `text` (number of the text), `start` and `stop` (bytes in it), `size` (in words), and two hashes."""
+
+    text: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    size: np.ndarray
+    hashes: tuple[np.ndarray, np.ndarray]
+
+
+def units(texts: list[bytes | None], ends: str = ENDS) -> Units:
+    data, starts, stops, hashes, borders = word_spans(texts)
+    if not len(starts):
+        none = np.empty(0, np.int64)
+        return Units(none, none, none, none, (none, none))
+    raw = np.frombuffer(data, np.uint8)
+    mark = np.zeros(256, bool)
+    mark[list(ends.encode())] = True
+    lines = np.cumsum(raw == 10)  # texts are parted by line ends too
+    new = np.ones(len(starts), bool)
+    new[1:] = mark[raw[stops[:-1] - 1]] | (lines[starts[1:]] != lines[starts[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts))
+    text = np.searchsorted(borders, starts[first], "right")
+    begin = np.concatenate([[0], borders])[text]
+    start = starts[first] - begin
+    stop = np.append(start[1:], 0)
+    size = np.diff(np.concatenate([[0], borders])) - 1
+    ending = np.append(text[1:] != text[:-1], True)
+    stop[ending] = size[text[ending]]
+    chars = np.cumsum((raw & 0xC0) != 0x80)  # code points of what is normalised: of words, and a space between two
+    word_chars = np.cumsum(chars[stops - 1] - chars[starts] + 1)
+    before = np.append(0, word_chars)
+    n = last - first
+    chars_in = before[last] - before[first] + n - 1
+    return Units(text, start, stop, np.maximum(n, chars_in // WORD_CHARS), tuple(_digest(hashes ^ _U(s), first, last, s) for s in _SEEDS))
+
+
+def _digest(words: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """A hash of words[first:last] for each unit, from prefix sums."""
+    powers = np.full(len(words), base, _U)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.append(_U(0), np.cumsum(mixed(words) * powers))
+    back = np.full(len(words), pow(base, -1, 1 << 64), _U)
+    back[0] = 1
+    return mixed((sums[last] - sums[first]) * np.multiply.accumulate(back)[first] + (last - first).astype(_U)).view(np.int64)
+
+
+def _tied(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), *more, F.col("text").cast("binary").alias("text"))
+
+
+def unit_rows(docs: DataFrame, ends: str) -> DataFrame:
+    """(d1, d2, doc_id, tie, place, n_units) of each unit of rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = units(batch.column("text").to_pylist(), ends)
+            n = np.bincount(found.text, minlength=batch.num_rows)
+            place = np.arange(len(found.text)) - np.repeat(np.cumsum(n) - n, n)
+            of = pa.array(found.text)
+            columns = [pa.array(found.hashes[0]), pa.array(found.hashes[1]), batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(place, pa.int32()), pa.array(n[found.text], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "doc_id", "tie", "place", "n_units"])
+
+    return _tied(docs).mapInArrow(run, "d1 long, d2 long, doc_id long, tie long, place int, n_units int")
+
+
+def first_units(docs: DataFrame, ends: str) -> DataFrame:
+    """A row for each text with a first unit: doc_id, tie, n_units, and stay, the places of its first units; null if all are."""
+    first = unit_rows(docs, ends).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tie", "place", "n_units")).alias("f"))
+    stay = first.groupBy("f.doc_id", "f.tie", "f.n_units").agg(F.collect_list("f.place").alias("stay"))  # no longer than the text's own units
+    return stay.withColumn("stay", F.when(F.size("stay") < F.col("n_units"), F.col("stay")))
+
+
+def removed_runs(found: Units, goes: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether each unit is in a run of neighbouring repeats of one text with min_words words or more."""
+    if not len(goes):
+        return goes
+    new = np.ones(len(goes), bool)
+    new[1:] = (goes[1:] != goes[:-1]) | (found.text[1:] != found.text[:-1])
+    run = np.cumsum(new) - 1
+    return goes & (np.bincount(run, found.size)[run] >= min_words)
+
+
+def repeats(docs: DataFrame, *, ends: str = ENDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text, n_units, n_removed (units), removed (array of start, stop) and kept_text of each row of docs (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    marks = scratch.save(first_units(docs, ends).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("n_units").alias("known"), "stay"))
+    rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
+    rows = rows.join(marks.hint("merge"), same, "left")  # texts are shuffled at every size alike
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts, stay, known = (batch.column(c).to_pylist() for c in ("text", "stay", "known"))
+            # Without a row no unit is a first one; with no list all are.
+            some = [k for k, t in enumerate(texts) if t is not None and (known[k] is None or stay[k] is not None)]
+            found = units([texts[k] for k in some], ends)
+            n_units = np.bincount(found.text, minlength=len(some))
+            begin = np.cumsum(n_units) - n_units
+            goes = np.ones(len(found.text), bool)
+            for j, k in enumerate(some):
+                if stay[k]:
+                    goes[begin[j] + np.array(stay[k])] = False
+            gone = removed_runs(found, goes, min_words)
+            total, removed, spans, kept = [x or 0 for x in known], [0] * len(texts), [[] for _ in texts], list(texts)
+            for j, k in enumerate(some):
+                at = slice(begin[j], begin[j] + n_units[j])
+                total[k], removed[k] = int(n_units[j]), int(gone[at].sum())
+                if removed[k]:
+                    spans[k], kept[k] = cut(texts[k], found.start[at], found.stop[at], gone[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([t if t is None else t.decode() for t in texts], pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array([t if t is None else t.decode() for t in kept], pa.string())],
+                names=["doc_id", "text", "n_units", "n_removed", "removed", "kept_text"],
+            )
+
+    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "stay", "known")
+    return rows.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:int,stop:int>>, kept_text string")
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def cut(text: bytes, start: np.ndarray, stop: np.ndarray, gone: np.ndarray) -> tuple[list[dict[str, int]], bytes]:
+    """(spans in code points, what is left) of a text whose units in `gone` are removed."""
+    edge = np.diff(gone.view(np.int8), prepend=0, append=0)
+    runs = [(int(start[a]), int(stop[b - 1])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+    points = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+    edges = [0, *(x for r in runs for x in r), len(text)]
+    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return [{"start": int(points[a]), "stop": int(points[b])} for a, b in runs], kept
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with repeated units taken out of their texts; all columns stay. Rows are joined by doc_id and text."""
-    done = repeats(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "kept_text").dropDuplicates(["_id", "_text"])
-    joined = packed(docs, "doc_id", "text").join(done, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
-    return unpacked(joined, docs.columns, text=F.col("kept_text"))
+    done = repeats(docs, **options).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), "kept_text").dropDuplicates(["_id", "_tie"])
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie"))
+    joined = packed(docs, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash")).join(done, same, "left")
+    return unpacked(joined, docs.columns, text=F.when(F.col("_id").isNull() & F.col("_tie").isNull(), F.col("_row.text")).otherwise(F.col("kept_text")))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    done = repeats(documents(spark, sf_dir), min_words=1)
+    done = repeats(documents(spark, sf_dir))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
-    return done.select(
-        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("n_removed_chars"),
-        spans.alias("spans"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    return done.select("doc_id", "n_units", "n_removed", chars.alias("n_removed_chars"), spans.alias("spans"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP1_SQL = rf"""
-WITH d AS (SELECT doc_id, text, length(text) AS size, string_split(text, chr(10)) AS units FROM documents),
-u AS (SELECT doc_id, size, unnest(units) AS u, unnest(range(0, len(units))) AS place FROM d),
-n AS (SELECT *, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM u),
-r AS (SELECT doc_id, size, place, u,
-             CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END >= {MIN_WORDS}
-             AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS goes,
-             sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY place)::BIGINT AS next FROM n),
-p AS (SELECT *, next - length(u) - 1 AS start, least(next, size) AS stop FROM r),
-g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (goes) AS n_removed, sum(stop - start) FILTER (goes) AS chars,
-             string_agg(start || ':' || stop, ',' ORDER BY place) FILTER (goes) AS spans,
-             string_agg(u, chr(10) ORDER BY place) FILTER (NOT goes) AS kept,
-             bool_or(NOT goes) AND arg_max(goes, place) AS cut_end
-      FROM p GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars, 0)::BIGINT AS n_removed_chars,
-       coalesce(spans, '') AS spans,
-       sha256(coalesce(CASE WHEN n_removed = 0 THEN d.text ELSE coalesce(kept, '') || CASE WHEN cut_end THEN chr(10) ELSE '' END END, '')) AS kept_sha256
-FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+WITH d AS (SELECT doc_id, text, length(text) AS size,
+                  string_split(regexp_replace(regexp_replace(text, '([{ENDS}])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), '(\n)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+u AS (SELECT doc_id, size, unnest(parts) AS u, unnest(range(0, len(parts))) AS place FROM d),
+a AS (SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place) - length(u) + length(u) - length(regexp_replace(u, '^[\x20\x09-\x0D]+', '')) AS start,
+             trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM u),
+n AS (SELECT doc_id, size, norm, start, greatest(length(norm) - length(replace(norm, ' ', '')) + 1, length(norm) // {WORD_CHARS}) AS words,
+             row_number() OVER (PARTITION BY doc_id ORDER BY place) AS place,
+             coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY place), size) AS stop FROM a WHERE norm <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS goes FROM n),
+g AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, goes ORDER BY place) AS run FROM r),
+s AS (SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*) AS n FROM g WHERE goes GROUP BY doc_id, run HAVING sum(words) >= {MIN_WORDS}),
+k AS (SELECT doc_id, start, stop, n, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before,
+             lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS after FROM s),
+c AS (SELECT k.doc_id, sum(n)::BIGINT AS n_removed, sum(stop - start)::BIGINT AS chars, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans,
+             string_agg(substr(text, (before + 1)::INT, (start - before)::INT) || CASE WHEN after IS NULL THEN substr(text, (stop + 1)::INT) ELSE '' END, '' ORDER BY start) AS kept
+      FROM k JOIN documents USING (doc_id) GROUP BY k.doc_id),
+t AS (SELECT doc_id, count(*) AS n_units FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars, 0) AS n_removed_chars, coalesce(spans, '') AS spans,
+       sha256(coalesce(kept, d.text, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
 """
