@@ -17,7 +17,7 @@ from framelake.operators import raster
 
 SCHEMA = """idx long, video_id string, frame_id string, image binary, classes binary, bbox array<float>, peak array<int>, swapped boolean, error string"""
 #: Backgrounds are broadcast; a pool over this size is an error, not a silent cut.
-POOL_BYTES = 256 << 20
+POOL_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)

@@ -17,12 +17,19 @@ from framelake.functions.checks import in_range
 from framelake.scratch import Scratch
 
 PART = "_part"
+#: Rows that are numbered by one task.
+SMALL = 20_000
 
 
 def parted(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with PART, the number of their range in the order; written, so that it stays."""
-    found = rows.repartitionByRange(*order).withColumn(PART, F.spark_partition_id())
-    return Scratch(rows.sparkSession, "parts").save(found)
+    """rows with PART, the number of their range in the order; written, so that it stays. Up to SMALL rows are one part."""
+    scratch = Scratch(rows.sparkSession, "parts")
+    once = scratch.save(rows)  # ranges are sampled before rows are dealt
+    if once.count() <= SMALL:
+        return once.withColumn(PART, F.lit(0))
+    found = scratch.save(once.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+    scratch.drop(once)
+    return found
 
 
 def before_parts(sums: DataFrame, names: list[str], by: list[str]) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.sources import next_day_index
+from framelake.sources.sinks import save_state
+
 
 def keyframe_stream(frames: DataFrame, *, min_gap: float, min_diff: float = 0.0, max_frames: int = 0) -> DataFrame:
     """STM-04 on a stream of (video long, key long, t double, v double): kept frames, with state by video.
@@ -46,6 +49,31 @@ def run_scheduler(stream: DataFrame, fetch, manifest_path: str, checkpoint: str)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def walk_schedule(spark: SparkSession, state: str, signature: str, schedule: list[tuple[str, str]], fetch_day: Callable[[str, str, int], int], *, target: int, per_day: int, had: dict[tuple[str, str], int]) -> int:
+    """STM-06: days (hive, day) from the saved position on, until `target` videos are there; how many are.
+
+    fetch_day(hive, day, room) fetches at most room videos and says how many it got;
+    a day that can't be listed (OSError) counts none. had: what each day has already.
+    The position is saved before and after each day, so a run that breaks off takes
+    its day up again; a schedule that is at its end while videos are missing begins anew.
+    """
+    total = sum(had.values())
+    at = next_day_index(spark, state, signature)
+    if at >= len(schedule) and total < target:
+        at = 0
+    while at < len(schedule) and total < target:
+        save_state(spark, state, signature, at)
+        room = min(per_day - had.get(schedule[at], 0), target - total)
+        if room > 0:
+            try:
+                total += fetch_day(*schedule[at], room)
+            except OSError:
+                pass
+        at += 1
+        save_state(spark, state, signature, at)
+    return total
+
+
 def retrying(fetch_one, *, attempts: int = 5, delay: float = 0.0, sleep=None):
     """STM-07: fetch_one with waits of 2 ** attempt up to 60 seconds after passing errors (status 429)."""
     import time
