@@ -1,11 +1,16 @@
 """Secrets in texts: three base patterns, and candidates confirmed by structure.
 
-Base kinds are plain patterns. The other kinds report a base64 or hex run only
-after it has been decoded and its structure parsed to the end: a DER key (nested
-lengths that add up, with the version number and parts of a key), an SSH key
-(length-prefixed fields that fill the blob, the first a known algorithm), or a
-signed token (a JSON header that names its algorithm, a JSON payload and a
-signature). Runs that look random but parse as nothing are not reported.
+Base kinds are plain patterns. The other kinds report base64 or hex only after it
+has been decoded and its structure parsed to the last byte: a private key in DER
+(nested lengths that add up, with the version number and parts of such a key), a
+private key of OpenSSH (fields with their lengths, public and private parts that
+fill the blob), or a signed token (a JSON header that names its algorithm, a JSON
+payload and a signature). Public keys are no secrets and are not reported. Keys
+have at most `MAX_KEY` bytes. A key is found where its first bytes stand, behind
+other characters of the same run too; it may be wrapped over lines, with a PEM
+header or without, and the line ends may be written as \\n. What looks random but
+parses as nothing is not reported. A text is read a constant number of times,
+whatever it holds.
 
 Defined results: a null text is empty and has no spans. Null ids and repeated
 rows are answered as they come; an empty table gives an empty result; other
@@ -16,14 +21,16 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from framelake.llm.common import documents, text_or_empty
+from framelake.llm.common import documents, sliced, text_or_empty
 
 #: Fixed by the contract: kinds in order, their patterns, the group that counts and its least length.
 BASE = (
@@ -32,22 +39,26 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
-#: Fixed value: algorithm names that begin an SSH key's blob (RFC 4253, 5656, 8709).
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Fixed value: what the blob of an OpenSSH private key begins with.
 SSH_MAGIC = b"openssh-key-v1\x00"
+#: Bytes that a key has at most; an RSA key of 16,384 bits has about 9,500.
+MAX_KEY = 1 << 16
 
 _ASSIGN_HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
-#: Lines of base64 under a PEM header belong together; other runs stand alone.
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----((?:[A-Za-z0-9+/=\s]|\\+[nr])+?)-----END [A-Z0-9 ]+-----")
+_PEM_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]{1,64}-----")
+_PEM_TAIL = re.compile(r"-----END [A-Z0-9 ]{1,64}-----")
 #: Line breaks in JSON or .env text are the two characters \n.
 _ESCAPED = re.compile(r"\\+[nr]")
 #: Base64 that is wrapped over lines without a header.
 _LINES64 = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n))[A-Za-z0-9+/]{40,}(?:(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n)[A-Za-z0-9+/]+={0,2})+")
 _LINE64 = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/\\]))[A-Za-z0-9+/]+={0,2}")
-_RUN64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_RUN16 = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+_RUN64 = re.compile(r"[A-Za-z0-9+/]{40,}")
+_RUN16 = re.compile(r"[0-9a-fA-F]{64,}")
+#: Where a key's first bytes can stand: a SEQUENCE, or the magic of OpenSSH.
+_HEAD64 = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXkt")
+_HEAD16 = re.compile(r"30(?=[0-8])|6f70656e7373682d6b65792d")
+_PART = re.compile(r"[A-Za-z0-9_-]{8,}")
 
 
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -71,48 +82,83 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that is laid out as a PKCS#1, PKCS#8 (also encrypted), DSA, SEC1 or SubjectPublicKeyInfo key."""
-    outer = der_items(data)
+    """One SEQUENCE that is laid out as a private key: PKCS#1, PKCS#8 (also encrypted), DSA or SEC1."""
+    outer = der_items(data) if len(data) <= MAX_KEY else None
     if outer is None or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     parts = der_items(outer[0][1])
     if not parts:
         return False
     tags = [t for t, _ in parts]
-    if tags == [0x02] * 9 and parts[0][1] in (b"\0", b"\1"):  # version and eight numbers of an RSA key
-        return True
+    if tags == [0x02] * 9 and parts[0][1] == b"\0":  # version and eight numbers of an RSA key
+        return len(parts[1][1]) >= 32
     if tags == [0x02] * 6 and parts[0][1] == b"\0":  # version, three parameters and two numbers of a DSA key
         return len(parts[1][1]) >= 64
     if tags == [0x30, 0x04]:  # algorithm and encrypted key
         inner = der_items(parts[0][1])
         return bool(inner) and inner[0][0] == 0x06 and len(parts[1][1]) >= 16
-    if tags == [0x02, 0x02]:  # modulus and exponent
-        return len(parts[0][1]) >= 64 and 1 <= len(parts[1][1]) <= 8
-    if tags[:3] == [0x02, 0x30, 0x04] and parts[0][1] in (b"\0", b"\1"):  # version, algorithm, key
+    if tags[:3] == [0x02, 0x30, 0x04] and set(tags[3:]) <= {0xA0, 0xA1, 0x81} and parts[0][1] in (b"\0", b"\1"):  # version, algorithm, key
         inner = der_items(parts[1][1])
-        return bool(inner) and inner[0][0] == 0x06
-    if tags[:2] == [0x02, 0x04] and parts[0][1] == b"\1":  # an elliptic curve's number
+        return bool(inner) and inner[0][0] == 0x06 and len(parts[2][1]) >= 16
+    if tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and parts[0][1] == b"\1":  # an elliptic curve's number
         return len(parts[1][1]) in (20, 24, 28, 32, 48, 66)
-    if tags == [0x30, 0x03]:  # algorithm and public key bits
-        inner = der_items(parts[0][1])
-        return bool(inner) and inner[0][0] == 0x06 and len(parts[1][1]) >= 32
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The openssh-key-v1 layout, or length-prefixed fields that fill the blob behind a known name."""
-    body = data.removeprefix(SSH_MAGIC)
-    fields, at = [], 0
-    private = body is not data and len(body) < len(data)
-    while at + 4 <= len(body):
-        n = int.from_bytes(body[at : at + 4])
-        if at + 4 + n > len(body):
-            break
-        fields.append(body[at + 4 : at + 4 + n])
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key that data begins with, by its lengths; 0 if they don't fit in data or in its layout."""
+    at = len(SSH_MAGIC)
+    if not data.startswith(SSH_MAGIC):
+        return 0
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at : at + 4])
+        if at + 4 + n > len(data):
+            return None
         at += 4 + n
-        if private and len(fields) == 3:  # cipher, key derivation and its options; the number of keys follows
-            return at + 4 <= len(body) and 1 <= int.from_bytes(body[at : at + 4]) <= 16 and fields[0].isascii()
-    return not private and at == len(body) and len(fields) >= 2 and fields[0] in SSH_NAMES
+        return data[at - n : at]
+
+    cipher, derivation, options = field(), field(), field()
+    if not cipher or not derivation or options is None or not cipher.isascii() or not derivation.isascii():
+        return 0
+    keys, at = int.from_bytes(data[at : at + 4]), at + 4
+    if not 1 <= keys <= 16:
+        return 0
+    for _ in range(keys):
+        public = field()
+        if public is None or len(public) < 8 or not public[4 : 4 + int.from_bytes(public[:4])].isascii():
+            return 0
+    private = field()
+    if private is None or len(private) < 16 or len(private) % 8:
+        return 0
+    return 0 if cipher == b"none" and private[:4] != private[4:8] else at  # its check numbers agree
+
+
+def der_size(data: bytes) -> int:
+    """Bytes of the element that data begins with, by its header; 0 if it has none."""
+    if len(data) < 2 or data[1] & 0x80 and not 1 <= data[1] & 0x7F <= 4:
+        return 0
+    k = data[1] & 0x7F if data[1] & 0x80 else 0
+    return 2 + k + (int.from_bytes(data[2 : 2 + k]) if k else data[1])
+
+
+def key_at(data: bytes) -> tuple[str, int] | None:
+    """(kind, bytes) of the private key that data begins with."""
+    if data[:1] == b"\x30":
+        size = der_size(data)
+        return ("der_key", size) if size <= len(data) and is_der_key(data[:size]) else None
+    size = ssh_size(data)
+    return ("ssh_key", size) if size else None
+
+
+def may_begin(head: bytes) -> bool:
+    """Whether a key can begin with these 9 bytes or more."""
+    if head[:1] != b"\x30" or len(head) < 9:
+        return len(head) >= 9 and head[:9] == SSH_MAGIC[:9]
+    size = der_size(head)
+    at = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    return 16 <= size <= MAX_KEY and (head[at : at + 2] == b"\x02\x01" or head[at : at + 1] == b"\x30")
 
 
 def decoded64(run: str) -> bytes | None:
@@ -135,16 +181,6 @@ def is_signed_token(run: str) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict) and decoded64(signature) is not None
 
 
-def structure(data: bytes | None) -> str | None:
-    if not data:
-        return None
-    if data[0] == 0x30 and is_der_key(data):
-        return "der_key"
-    if data[:3] == b"\0\0\0" or data.startswith(SSH_MAGIC):
-        return "ssh_key" if is_ssh_key(data) else None
-    return None
-
-
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     for kind, pattern, group, least in BASE:
@@ -154,64 +190,124 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def der_size(data: bytes) -> int:
-    """Bytes of the element that data begins with, by its header; 0 if it has none."""
-    if len(data) < 2 or data[1] & 0x80 and not 1 <= data[1] & 0x7F <= 4:
-        return 0
-    k = data[1] & 0x7F if data[1] & 0x80 else 0
-    return 2 + k + (int.from_bytes(data[2 : 2 + k]) if k else data[1])
+def base64_size(size: int) -> int:
+    """Characters that so many bytes take in base64, without padding."""
+    return -(-size * 4 // 3)
+
+
+def pem_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of the PEM blocks of a text."""
+    tail, at = None, 0
+    while head := _PEM_HEAD.search(text, at):
+        at = head.end()
+        if tail is None or tail.start() < at:
+            tail = _PEM_TAIL.search(text, at)
+            if not tail:
+                return
+        after = _PEM_HEAD.search(text, at, tail.start())
+        if not after:
+            yield head.start(), tail.end(), text[at : tail.start()]
+            at = tail.end()
 
 
 def wrapped_spans(text: str, at: int, stop: int) -> list[tuple[str, int, int]]:
     """Keys over two lines or more of a block: lines of one width, the last of them shorter or not."""
     lines, out, i = [m.span() for m in _LINE64.finditer(text, at, stop)], [], 0
+    width = [b - a for a, b in lines]
+    same = list(range(1, len(lines) + 1))  # behind the lines that are as wide as this one
+    for k in range(len(lines) - 2, -1, -1):
+        if width[k + 1] == width[k]:
+            same[k] = same[k + 1]
     while i < len(lines) - 1:
         a, b = lines[i]
         head = decoded64(text[a : a + 12]) or b""
-        end = i + 1
-        while end < len(lines) and lines[end][1] - lines[end][0] == b - a:
-            end += 1
-        full = end
-        if end < len(lines) and lines[end][1] - lines[end][0] < b - a:
-            end += 1
-        ends = [end, full]
-        if head[:1] == b"\x30":
-            ends = [i + -(-(-(-der_size(head) // 3) * 4) // (b - a))]
-        elif head[:3] != b"\0\0\0" and not SSH_MAGIC.startswith(head):
-            ends = []
-        for j in ends:
-            if i + 1 < j <= end and (kind := structure(decoded64("".join(text[x:y] for x, y in lines[i:j])))):
-                out.append((kind, a, lines[j - 1][1]))
-                i = j - 1
-                break
+        if may_begin(head):
+            end = same[i] + (same[i] < len(lines) and width[same[i]] < width[i])
+            most = min(end, i + 1 + base64_size(MAX_KEY) // width[i])
+            key = key_at(leading64("".join(text[x:y] for x, y in lines[i:most])))
+            if key:
+                last = i + -(-base64_size(key[1]) // width[i]) - 1  # lines but the last are full
+                x, y = lines[last]
+                used = base64_size(key[1]) - (last - i) * width[i]
+                # It ends with its line, but for padding.
+                if last > i and text[x + used : y].strip("=") == "":
+                    out.append((key[0], a, y))
+                    i = last
         i += 1
     return out
 
 
+def leading64(run: str) -> bytes:
+    """What the whole groups of a run in base64 decode to."""
+    run = run.rstrip("=")
+    return decoded64(run if len(run) % 4 != 1 else run[:-1]) or b""
+
+
+def run_spans(text: str, pattern: re.Pattern, heads: re.Pattern, digits: int, decode) -> Iterator[tuple[str, int, int]]:
+    """Keys in runs of one line, at any place of a run; digits: characters that MAX_KEY bytes take."""
+    for run in pattern.finditer(text):
+        at, stop = run.span()
+        while head := heads.search(text, at, stop):
+            at = head.start()
+            if may_begin(decode(text[at : min(at + 24, stop)])) and (key := key_at(decode(text[at : min(at + digits, stop)]))):
+                end = at + (key[1] * 2 if heads is _HEAD16 else base64_size(key[1]))
+                pad = text[end : end + 2]
+                yield key[0], at, end + (len(pad) - len(pad.lstrip("=")) if heads is _HEAD64 else 0)
+                at = end
+            else:
+                at += 1
+
+
+def leading16(run: str) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2])
+
+
+def token_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Three parts with a dot between each: header, payload, signature."""
+    held: list[tuple[int, int]] = []
+    for m in _PART.finditer(text):
+        a, b = m.span()
+        if held and not (held[-1][1] == a - 1 and text[a - 1] == "."):
+            held = []
+        held = [*held[-2:], (a, b)]
+        if len(held) == 3 and b - a >= 16 and is_signed_token(text[held[0][0] : b]):
+            yield "signed_token", held[0][0], b
+            held = []
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    out, blocks = [], []
+    """Spans of keys and tokens; a run inside another key's span is no key of its own."""
+    out: list[tuple[str, int, int]] = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            blocks.append(m.span())
-            if kind := structure(decoded64(_ESCAPED.sub("", m[1]))):
-                out.append((kind, *m.span()))
+        for a, b, body in pem_spans(text):
+            data = decoded64(_ESCAPED.sub("", body)) or b""
+            key = key_at(data)
+            if key and key[1] == len(data):
+                out.append((key[0], a, b))
     if _RUN64.search(text):
+        taken = Taken(out)
         for m in _LINES64.finditer(text):
-            if not any(a <= m.start() < b for a, b in blocks):
-                found = wrapped_spans(text, *m.span())
-                out += found
-                blocks += [(a, b) for _, a, b in found]
-    for m in _RUN64.finditer(text):
-        if not any(a <= m.start() < b for a, b in blocks) and (kind := structure(decoded64(m[0]))):
-            out.append((kind, *m.span()))
-    for m in _RUN16.finditer(text):
-        if kind := structure(bytes.fromhex(m[0])):
-            out.append((kind, *m.span()))
+            if m.start() not in taken:
+                out += wrapped_spans(text, *m.span())
+        taken = Taken(out)
+        out += [s for s in run_spans(text, _RUN64, _HEAD64, base64_size(MAX_KEY), leading64) if s[1] not in taken]
+        out += run_spans(text, _RUN16, _HEAD16, 2 * MAX_KEY, leading16)
     if text.count(".") > 1:
-        out += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        out += token_spans(text)
     return out
 
 
+class Taken:
+    """Whether a place lies in one of some spans that don't overlap."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = sorted((a, b) for _, a, b in spans)
+
+    def __contains__(self, place: int) -> bool:
+        k = bisect.bisect_right(self.spans, (place, 1 << 62)) - 1
+        return k >= 0 and place < self.spans[k][1]
+
+
 def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -222,20 +318,19 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of kind, start, end, found text) of each row."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("found", pa.string())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [[(k, a, b, t[a:b]) for k, a, b in ordered(base_spans(t) + confirmed_spans(t))] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = batch.column("text").to_pylist()
+            spans = [[{"kind": k, "start": a, "end": b, "found": t[a:b]} for k, a, b in ordered(base_spans(t) + confirmed_spans(t))] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    kind = "array<struct<kind:string,start:long,end:long,found:string>>"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id long, spans {kind}")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,found:string>>")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, derived from the spans of `scan`."""
-    from pyspark.sql import functions as F
-
     found = scan(documents(spark, sf_dir))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
