@@ -1,14 +1,16 @@
 """Quality rules: repetition counts, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed word n-grams are estimated, one from trusted rows
-and one from all rows (each n-gram of each text counts). Words enter an n-gram by
-their shape (runs of small letters, capitals and digits become one sign each) and
-by whether they repeat the word before, so that clean texts whose words no trusted
-text holds aren't taken for junk. A text's verdict is the
-mean over its n-grams of log(p_trusted / p_raw): length-normalised, and compared
-with a fixed threshold. Weights are rounded to integers, so that sums do not
-depend on the order of rows and reruns give the same verdict for every text.
-The model has `buckets` numbers, whatever the corpus; only these reach the driver.
+Two multinomials over hashed n-grams (each word, and each two neighbours) are
+estimated, one from trusted rows and one from all rows (each n-gram of each text
+counts). A weight is the logarithm of an n-gram's share among the trusted over its
+share in all, shrunk toward 0 by `PRIOR` occurrences that are dealt as all rows
+are: words that the corpus holds seldom say next to nothing, so clean texts whose
+words no trusted text holds aren't taken for junk, while common n-grams that the
+trusted texts avoid weigh heavily. A text's verdict is the mean weight of its
+n-grams: length-normalised, and compared with a fixed threshold. Weights are
+rounded to integers, so that sums do not depend on the order of rows and reruns
+give the same verdict for every text. The model has `buckets` numbers, whatever
+the corpus; only these reach the driver.
 
 Defined results: a null text has no words and fails the base rule; so does an
 empty text. Null ids are scored like others; a null id is never trusted. Without
@@ -19,6 +21,7 @@ stay in `keep` and are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,13 +30,12 @@ from pyspark.sql import functions as F
 from framelake.llm.common import Scratch, checked, documents, let, text_or_empty, words
 
 BUCKETS = 1 << 16
-ORDER = 2
 #: Weights are whole multiples of 1 / SCALE.
 SCALE = 1 << 16
 #: Mean log-likelihood ratio below which a text is rejected.
-MIN_RATIO = -0.35
-#: Smoothing: n-grams dealt as the raw corpus is are added to the trusted ones, this share of their number.
-PSEUDO_SHARE = 0.05
+MIN_RATIO = -0.1
+#: Occurrences by which the weight of an n-gram is shrunk.
+PRIOR = 50
 WINDOW = 5
 
 
@@ -43,45 +45,57 @@ class RatioModel:
 
     weights: list[int]
 
-    def total(self, w: Column, shapes: Column) -> Column:
-        """Sum of the weights of the n-grams of a text, from its words and their shapes."""
+    def total(self, w: Column) -> Column:
+        """Sum of the weights of the n-grams of a text, from its words."""
         # A text literal that the optimizer folds into one constant array.
         table = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<int>")
-        grams = ngrams(w, shapes, len(self.weights))
-        return let(table, lambda t: F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(t, b)))
+        one, two = grams(w, len(self.weights))
+        zero = F.lit(0).cast("long")
 
+        def added(t: Column) -> Column:
+            step = lambda a, i: a + F.get(t, one(i)) + F.when(i > 0, F.get(t, two(i))).otherwise(0)
+            return F.aggregate(places(w), zero, step)
 
-def shape(text: Column) -> Column:
-    """text with its runs of small letters, capitals and digits as one sign each; white space stays."""
-    for run, sign in ((r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
-        text = F.regexp_replace(text, run, sign)
-    return text
+        return let(table, added)
 
 
-def ngrams(w: Column, shapes: Column, buckets: int = BUCKETS, n: int = ORDER) -> Column:
-    """The buckets of a text's n-grams, in order."""
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    again = lambda i: F.get(w, i) == F.get(w, i + 1)
-    return F.transform(at, lambda i: F.pmod(F.xxhash64(*[F.get(shapes, i + k) for k in range(n)], again(i)), F.lit(buckets)).cast("int"))
+def places(w: Column) -> Column:
+    return F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def grams(w: Column, buckets: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """The bucket of the word at a place, and of that word and the one before it."""
+    at = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+    return lambda i: at(F.xxhash64(F.get(w, i))), lambda i: at(F.xxhash64(F.get(w, i - 1), F.get(w, i)))
+
+
+def counted(docs: DataFrame, buckets: int, name: str) -> DataFrame:
+    """(b, name): how often the texts hold each bucket's n-grams. Map-side aggregation leaves at most `buckets` rows a task to shuffle."""
+
+    def both(w: Column) -> Column:
+        one, two = grams(w, buckets)
+        return F.flatten(F.transform(places(w), lambda i: F.when(i > 0, F.array(one(i), two(i))).otherwise(F.array(one(i)))))
+
+    rows = docs.where("text is not null").select(F.explode(let(words(F.col("text")), both)).alias("b"))
+    return rows.groupBy("b").agg(F.count(F.lit(1)).alias(name))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS) -> RatioModel:
     """Weights from all texts of docs against those whose doc_id is in trusted (doc_id).
 
-    Map-side aggregation leaves at most `buckets` rows a task to shuffle.
+    All texts are counted without a join; only the trusted ones are joined to their ids.
     """
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("is_trusted", F.lit(1))
-    text = F.col("text")
-    grams = let(words(text), lambda w: let(words(shape(text)), lambda s: ngrams(w, s, buckets)))
-    rows = docs.where("text is not null").select("doc_id", "text").join(checked(ids, 24), "doc_id", "left")
-    counts = rows.select("is_trusted", F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("good"))
-    counts = Scratch(docs.sparkSession, "ratio").save(counts)
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    scratch = Scratch(docs.sparkSession, "ratio")
+    raw = scratch.save(counted(docs, buckets, "raw"))
+    good = scratch.save(counted(docs.select("doc_id", "text").join(checked(ids, 16), "doc_id", "left_semi"), buckets, "good"))
+    counts = raw.join(good, "b", "left").na.fill(0, ["good"])
     raw_all, good_all = counts.agg(F.sum("raw"), F.sum("good")).first()
     weights = [0] * buckets
     if good_all:
-        p_raw, pseudo = F.col("raw") / raw_all, PSEUDO_SHARE * good_all
-        p_good = (F.col("good") + pseudo * p_raw) / (good_all + pseudo)
-        for b, x in counts.select("b", F.round(F.log(p_good / p_raw) * SCALE).cast("int")).collect():  # at most `buckets` rows
+        share = good_all / raw_all
+        ratio = (F.col("good") + PRIOR * share) / ((F.col("raw") + PRIOR) * share)
+        for b, x in counts.select("b", F.round(F.log(ratio) * SCALE).cast("int")).collect():  # at most `buckets` rows
             weights[b] = x
     return RatioModel(weights)
 
@@ -125,10 +139,9 @@ def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
     """
     zero = F.lit(0).cast("long")
 
-    def counted(w: Column) -> Column:
+    def measured(w: Column) -> Column:
         n = F.size(w).cast("long")
-        ratio = let(words(shape(text)), lambda s: model.total(w, s))
-        named = {"n_words": n} | base_counts(w, text) | {"ratio_sum": ratio, "n_grams": F.greatest(n - (ORDER - 1), zero)}
+        named = {"n_words": n} | base_counts(w, text) | {"ratio_sum": model.total(w), "n_grams": n + F.greatest(n - 1, zero)}
         return F.struct(*[c.alias(k) for k, c in named.items()])
 
     def judge(c: Column) -> Column:
@@ -137,7 +150,7 @@ def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
         fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio_sum", "n_grams")
         return F.struct(*[c[k].alias(k) for k in fields], failed.alias("base_failed"), kept.alias("kept"))
 
-    return let(let(words(text), counted), judge)
+    return let(let(words(text), measured), judge)
 
 
 def judged(docs: DataFrame, model: RatioModel, *, min_ratio: float = MIN_RATIO) -> DataFrame:
