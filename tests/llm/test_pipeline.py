@@ -6,7 +6,6 @@ import math
 import re
 
 import pytest
-import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -27,15 +26,9 @@ def xx(*values):
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
-def shape(t):
-    for run, sign in ((r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
-        t = regex.sub(run, sign, t)
-    return t
-
-
 def grams(t):
-    w, s = WORD.findall(t), WORD.findall(shape(t))
-    return [xx(s[i], s[i + 1], ("i", int(w[i] == w[i + 1]))) % quality_rules.BUCKETS for i in range(len(w) - 1)]
+    w = WORD.findall(t)
+    return [xx(x) % quality_rules.BUCKETS for x in w] + [xx(x, y) % quality_rules.BUCKETS for x, y in zip(w, w[1:])]
 
 
 def rules(docs, good):
@@ -45,9 +38,8 @@ def rules(docs, good):
         raw.update(g)
         if i in good:
             ok.update(g)
-    n_raw, n_ok = sum(raw.values()), sum(ok.values())
-    extra = quality_rules.PSEUDO_SHARE * n_ok
-    weight = {b: round(math.log((ok[b] + extra * (raw[b] / n_raw)) / (n_ok + extra) / (raw[b] / n_raw)) * quality_rules.SCALE) for b in raw}
+    share, prior = sum(ok.values()) / sum(raw.values()), quality_rules.PRIOR
+    weight = {b: round(math.log((ok[b] + prior * share) / ((n + prior) * share)) * quality_rules.SCALE) for b, n in raw.items()}
     out = []
     for i, t, s in docs:
         w = WORD.findall(t)
@@ -102,7 +94,7 @@ def mix(docs):
     by = collections.defaultdict(list)
     chunks = max(1, -(-len(docs) // mixing.CHUNK_ROWS))
     for i, t, s in docs:
-        by[s].append((xx(("l", i), ("i", mixing.SEED)) % chunks, i, t))
+        by[s].append((xx(("l", i), ("l", xx(t)), ("i", mixing.SEED)) % chunks, i, t))
     order = sorted(by)
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
     words = {s: sum(size[i] for _, i, _ in by[s]) for s in order}
@@ -123,7 +115,7 @@ def mix(docs):
         for p in range(passes):
             left, taken = min(want - p * words[s], words[s]), collections.defaultdict(list)
             for k in range(-(-left // size_b)):
-                block = permuted(k, full, ("i", mixing.SEED), ("i", number), ("l", p)) if k < full else k
+                block = permuted(k, full, ("i", mixing.SEED), ("l", number), ("l", p)) if k < full else k
                 for i, at in stream[block * size_b : block * size_b + min(size_b, left - k * size_b)]:
                     taken[i].append(at)
             for i, at in taken.items():
