@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, documents, let, text_or_empty, words
+from framelake.llm.common import BROADCAST_BYTES, Scratch, documents, let, text_or_empty, words
 
 BUCKETS = 1 << 16
 #: Weights are whole multiples of 1 / SCALE.
@@ -45,51 +45,61 @@ class RatioModel:
 
     weights: list[int]
 
-    def total(self, w: Column) -> Column:
-        """Sum of the weights of the n-grams of a text, from its words."""
+    def total(self, h: Column) -> Column:
+        """Sum of the weights of the n-grams of a text, from the hashes of its words."""
         # A text literal that the optimizer folds into one constant array.
         table = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<int>")
-        one, two = grams(w, len(self.weights))
+        one, two = grams(h, len(self.weights))
         zero = F.lit(0).cast("long")
 
         def added(t: Column) -> Column:
             step = lambda a, i: a + F.get(t, one(i)) + F.when(i > 0, F.get(t, two(i))).otherwise(0)
-            return F.aggregate(places(w), zero, step)
+            return F.aggregate(places(h), zero, step)
 
         return let(table, added)
 
 
-def places(w: Column) -> Column:
-    return F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+def hashed(w: Column) -> Column:
+    """64 bits of each word; whatever looks at words again and again looks at these."""
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def grams(w: Column, buckets: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """The bucket of the word at a place, and of that word and the one before it."""
-    at = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    return lambda i: at(F.xxhash64(F.get(w, i))), lambda i: at(F.xxhash64(F.get(w, i - 1), F.get(w, i)))
+def places(h: Column) -> Column:
+    return F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def counted(docs: DataFrame, buckets: int, name: str) -> DataFrame:
-    """(b, name): how often the texts hold each bucket's n-grams. Map-side aggregation leaves at most `buckets` rows a task to shuffle."""
+def grams(h: Column, buckets: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """The bucket of the word at a place, and of that word and the one before it, by the words' hashes."""
+    at = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
+    return lambda i: at(F.get(h, i)), lambda i: at(F.xxhash64(F.get(h, i - 1), F.get(h, i)))
 
-    def both(w: Column) -> Column:
-        one, two = grams(w, buckets)
-        return F.flatten(F.transform(places(w), lambda i: F.when(i > 0, F.array(one(i), two(i))).otherwise(F.array(one(i)))))
 
-    rows = docs.where("text is not null").select(F.explode(let(words(F.col("text")), both)).alias("b"))
-    return rows.groupBy("b").agg(F.count(F.lit(1)).alias(name))
+def counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """(b, raw, good): how often the texts of docs (text, is_trusted) hold each bucket's n-grams. Map-side aggregation leaves at most `buckets` rows a task to shuffle."""
+
+    def both(h: Column) -> Column:
+        one, two = grams(h, buckets)
+        return F.concat(F.transform(places(h), one), F.transform(F.slice(places(h), 2, F.greatest(F.size(h) - 1, F.lit(0))), two))
+
+    rows = docs.where("text is not null").select("is_trusted", F.explode(let(hashed(words(F.col("text"))), both)).alias("b"))
+    return rows.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("good"))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS) -> RatioModel:
     """Weights from all texts of docs against those whose doc_id is in trusted (doc_id).
 
-    All texts are counted without a join; only the trusted ones are joined to their ids.
+    Texts are read once, beside the broadcast ids; ids too many for that are joined
+    to the trusted texts only, and all texts are counted without a join.
     """
+    texts, one = docs.select("doc_id", "text"), F.lit(1).alias("is_trusted")
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    scratch = Scratch(docs.sparkSession, "ratio")
-    raw = scratch.save(counted(docs, buckets, "raw"))
-    good = scratch.save(counted(docs.select("doc_id", "text").join(checked(ids, 16), "doc_id", "left_semi"), buckets, "good"))
-    counts = raw.join(good, "b", "left").na.fill(0, ["good"])
+    if ids.count() * 24 <= BROADCAST_BYTES:
+        counts = counted(texts.join(F.broadcast(ids.select("doc_id", one)), "doc_id", "left"), buckets)
+    else:
+        good = counted(texts.join(ids, "doc_id", "left_semi").select("text", one), buckets).select("b", "good")
+        raw = counted(texts.select("text", F.lit(None).cast("int").alias("is_trusted")), buckets).select("b", "raw")
+        counts = raw.join(good, "b", "left").na.fill(0, ["good"])
+    counts = Scratch(docs.sparkSession, "ratio").save(counts)
     raw_all, good_all = counts.agg(F.sum("raw"), F.sum("good")).first()
     weights = [0] * buckets
     if good_all:
@@ -100,21 +110,21 @@ def fit(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS) -> Ratio
     return RatioModel(weights)
 
 
-def base_counts(w: Column, text: Column) -> dict[str, Column]:
-    """The four counts of the base rules; w: the words of text."""
+def base_counts(h: Column, text: Column) -> dict[str, Column]:
+    """The four counts of the base rules; h: the hashes of the words of text."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     return {
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": repeat_words(w),
+        "n_repeat_words": repeat_words(h),
     }
 
 
-def repeat_words(w: Column, n: int = WINDOW) -> Column:
-    """Words inside n-word windows that the text holds twice or more."""
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+def repeat_words(h: Column, n: int = WINDOW) -> Column:
+    """Words inside n-word windows that the text holds twice or more, from the words' hashes."""
+    at = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h, n)).otherwise(F.lit(0).cast("long")))
 
 
@@ -134,14 +144,14 @@ def covered(hashes: Column, n: int) -> Column:
 def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
     """A struct of n_words, the base counts, base_failed, ratio_sum, n_grams and kept.
 
-    One expression, with the words bound once: a filter on a field of it can be
+    One expression, with the words and their hashes bound once: a filter on a field of it can be
     pushed down without the words being split anew for each of them.
     """
     zero = F.lit(0).cast("long")
 
-    def measured(w: Column) -> Column:
-        n = F.size(w).cast("long")
-        named = {"n_words": n} | base_counts(w, text) | {"ratio_sum": model.total(w), "n_grams": n + F.greatest(n - 1, zero)}
+    def measured(h: Column) -> Column:
+        n = F.size(h).cast("long")
+        named = {"n_words": n} | base_counts(h, text) | {"ratio_sum": model.total(h), "n_grams": n + F.greatest(n - 1, zero)}
         return F.struct(*[c.alias(k) for k, c in named.items()])
 
     def judge(c: Column) -> Column:
@@ -150,7 +160,7 @@ def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
         fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio_sum", "n_grams")
         return F.struct(*[c[k].alias(k) for k in fields], failed.alias("base_failed"), kept.alias("kept"))
 
-    return let(let(words(text), measured), judge)
+    return let(let(hashed(words(text)), measured), judge)
 
 
 def judged(docs: DataFrame, model: RatioModel, *, min_ratio: float = MIN_RATIO) -> DataFrame:

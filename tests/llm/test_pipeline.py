@@ -28,7 +28,7 @@ def xx(*values):
 
 def grams(t):
     w = WORD.findall(t)
-    return [xx(x) % quality_rules.BUCKETS for x in w] + [xx(x, y) % quality_rules.BUCKETS for x, y in zip(w, w[1:])]
+    return [xx(x) % quality_rules.BUCKETS for x in w] + [xx(("l", xx(x)), ("l", xx(y))) % quality_rules.BUCKETS for x, y in zip(w, w[1:])]
 
 
 def rules(docs, good):

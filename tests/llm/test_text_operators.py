@@ -167,17 +167,27 @@ def test_rules(spark, docs, odd, empty):
     assert set(quality_rules.fit(docs, trusted.where("false")).weights) == {0}
 
 
+def test_rules_fit_alike_with_many_trusted_ids(spark, docs, monkeypatch):
+    trusted = spark.createDataFrame([(i,) for i in range(10, 30)], "doc_id long")
+    want = quality_rules.fit(docs, trusted).weights
+    monkeypatch.setattr(quality_rules, "BROADCAST_BYTES", 0)
+    assert quality_rules.fit(docs, trusted).weights == want and any(want)
+
+
 def test_rules_against_a_plain_ratio(spark, tmp_path):
     """All columns of op6, with the same hashes of words."""
     import math
 
     import xxhash
 
-    def h(*ws):
+    def h(w):
+        return xxhash.xxh64_intdigest(w.encode(), 42) % quality_rules.BUCKETS  # a power of two: the sign doesn't matter
+
+    def h2(*ws):
         seed = 42
         for w in ws:
-            seed = xxhash.xxh64_intdigest(w.encode(), seed & (1 << 64) - 1)
-        return seed % quality_rules.BUCKETS  # a power of two: the sign doesn't matter
+            seed = xxhash.xxh64_intdigest(xxhash.xxh64_digest(w.encode(), 42)[::-1], seed)  # a hash as eight bytes, the least first
+        return seed % quality_rules.BUCKETS
 
     texts = {i: t for i, t, _ in rows()} | {500 + i: " ".join(["BUY!!", "now###", "THE!!", str(i)] * 6) for i in range(9)} | {2**53 + 1: "alpha beta gamma delta one two three four five six seven"}
     good = set(range(10, 24)) | {2**53 + 1}
@@ -186,7 +196,7 @@ def test_rules_against_a_plain_ratio(spark, tmp_path):
     grams, raw, trusted = {}, collections.Counter(), collections.Counter()
     for i, t in (texts | {None: "words without an id, more than ten of them, so that they pass here"}).items():
         w = WORD.findall(t or "")
-        grams[i] = [h(x) for x in w] + [h(a, b) for a, b in zip(w, w[1:])]
+        grams[i] = [h(x) for x in w] + [h2(a, b) for a, b in zip(w, w[1:])]
         raw.update(grams[i])
         if i in good:
             trusted.update(grams[i])
