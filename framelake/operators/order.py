@@ -24,10 +24,10 @@ SMALL = 20_000
 def parted(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with PART, the number of their range in the order; written, so that it stays. Up to SMALL rows are one part."""
     scratch = Scratch(rows.sparkSession, "parts")
-    once = scratch.save(rows)  # ranges are sampled before rows are dealt
+    once = scratch.save(rows.withColumn(PART, F.lit(0)))  # ranges are sampled before rows are dealt
     if once.count() <= SMALL:
-        return once.withColumn(PART, F.lit(0))
-    found = scratch.save(once.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+        return once
+    found = scratch.save(once.drop(PART).repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
     scratch.drop(once)
     return found
 
