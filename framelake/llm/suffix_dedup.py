@@ -17,8 +17,13 @@ needed to find them all:
    that the round before has refined (8, 16, 32, 64, then LENGTH bytes). Only
    suffixes in buckets with others are sorted again. In a final bucket all
    suffixes but the first are repeats.
-5. An anchor with over `HOT` different contexts is too large for one task: its
-   windows are grouped by their bytes instead, as many tasks as there are.
+5. A group of contexts answers for the windows whose anchor stands `lo` to `hi`
+   bytes behind their start. Such windows hold the `lo` bytes before the anchor
+   and the REACH - `hi` bytes behind it, so they are parted by those bytes without
+   parting equal windows. All contexts begin as two halves, parted by 66 bytes or
+   more. Groups that still have more than `LARGE` contexts are halved again,
+   until they can be sorted in one task. In an interval of one place the group's
+   bytes are the whole window: its windows are equal, and an aggregate finds the first.
 
 Every step keeps whole results; nothing is capped.
 
@@ -35,16 +40,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, documents, text_or_empty
+from framelake.llm.common import Scratch, checked, documents, sliced, text_or_empty
 
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM  # bytes of context on either side of an anchor
-HOT = 8_000
-#: Contexts that are sorted together, besides the group of an anchor that is begun.
+#: Contexts of a group that are sorted in one task; larger groups are parted.
+LARGE = 16_000
+#: Contexts that are sorted together, besides the group that is begun.
 TOGETHER = 4_000
 _CHUNK = 1 << 20
 _FIRST = -(1 << 63)
@@ -184,13 +191,14 @@ def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pointer, shared
 
 
-def repeated_in(contexts: list[bytes], lead: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start in its document) of the windows of contexts that equal an earlier window of them."""
+def repeated_in(contexts: list[bytes], lead: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start in its document) of the windows of contexts, with lo to hi bytes before the anchor, that equal an earlier one of them."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     data, starts = np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(sizes) - sizes
-    n = np.clip(np.minimum(lead + 1, sizes - LENGTH + 1), 0, None)  # windows that hold the anchor
+    least, most = np.maximum(lead - hi, 0), np.minimum(lead - lo, sizes - LENGTH)  # where in the context windows start
+    n = np.clip(most - least + 1, 0, None)
     row = np.repeat(np.arange(len(contexts)), n)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[row]
     if not len(row):
         return row, inner
     pointer = refined(data, starts[row] + inner)
@@ -206,11 +214,11 @@ def repeated_in(contexts: list[bytes], lead: np.ndarray, doc: np.ndarray, tie: n
 
 
 def sorted_repeats(groups: DataFrame) -> DataFrame:
-    """(doc, tie, start, stop) of removed runs, from rows (anchor, context, lead, doc, tie, place) that are dealt and sorted by anchor."""
+    """(doc, tie, start, stop) of removed runs, from rows (part, context, lead, doc, tie, place, lo, hi) that are dealt and sorted by part."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        doc, tie, place, lead = (part[c].to_numpy() for c in ("doc", "tie", "place", "lead"))
-        row, start = repeated_in(part["context"].tolist(), lead, doc, tie, place)
+        doc, tie, place, lead, lo, hi = (part[c].to_numpy() for c in ("doc", "tie", "place", "lead", "lo", "hi"))
+        row, start = repeated_in(part["context"].tolist(), lead, doc, tie, place, lo, hi)
         out = pd.DataFrame({"doc": doc[row], "tie": tie[row], "start": start}).drop_duplicates().sort_values(["doc", "tie", "start"])
         gap = (out["doc"].diff() != 0) | (out["tie"].diff() != 0) | (out["start"].diff() > LENGTH)
         out["run"] = gap.cumsum()
@@ -221,32 +229,66 @@ def sorted_repeats(groups: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= TOGETHER:
-                whole = pd.concat(held, ignore_index=True)
-                last = whole["anchor"] == whole["anchor"].iloc[-1]  # its group may go on
-                if not last.all():
-                    yield work(whole[~last].reset_index(drop=True))
-                held = [whole[last].reset_index(drop=True)]
-                rows = len(held[0])
+        for whole in batches:
+            for at in range(0, len(whole), TOGETHER):
+                batch = whole.iloc[at : at + TOGETHER]
+                held.append(batch)
+                rows += len(batch)
+                if rows >= TOGETHER:
+                    some = pd.concat(held, ignore_index=True)
+                    last = some["part"] == some["part"].iloc[-1]  # its group may go on
+                    if not last.all():
+                        yield work(some[~last].reset_index(drop=True))
+                    held = [some[last].reset_index(drop=True)]
+                    rows = len(held[0])
         if held and rows:
             yield work(pd.concat(held, ignore_index=True))
 
-    return groups.select("anchor", "context", "lead", "doc", "tie", "place").mapInPandas(run, "doc long, tie long, start int, stop int")
+    return groups.select("part", "context", "lead", "doc", "tie", "place", "lo", "hi").mapInPandas(run, "doc long, tie long, start int, stop int")
+
+
+def parted(contexts: DataFrame) -> DataFrame:
+    """contexts (.., lo, hi) with `part`, a hash of the bytes that all windows of their interval hold."""
+    left = F.substring(F.col("context"), F.col("lead") - F.col("lo") + 1, F.col("lo") + GRAM + REACH - F.col("hi"))
+    return contexts.withColumn("part", F.xxhash64("lo", "hi", left))
+
+
+def halved(contexts: DataFrame) -> DataFrame:
+    """Each row twice, with the lower and the upper half of its interval; halves in which it has no window are left out."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.array(F.struct("lo", mid.alias("hi")), F.struct((mid + 1).alias("lo"), "hi"))
+    rows = contexts.withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+    behind = F.octet_length("context") - F.col("lead") - GRAM
+    return rows.where((F.col("lead") >= F.col("lo")) & (behind >= REACH - F.col("hi")))
 
 
-def grouped_repeats(contexts: DataFrame) -> DataFrame:
-    """The same as `sorted_repeats` for anchors too common for one task: windows are grouped by their bytes."""
-    last = F.least(F.col("lead"), F.octet_length("context") - LENGTH)
-    w = contexts.where(last >= 0).withColumn("i", F.explode(F.sequence(F.lit(0), last)))
-    w = w.select("doc", "tie", (F.col("place") - F.col("lead") + F.col("i")).alias("start"), F.substring(F.col("context"), F.col("i") + 1, F.lit(LENGTH)).alias("bytes"))
-    first = w.groupBy("bytes").agg(F.min(F.struct("doc", "tie", "start")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bytes", "f")
-    again = w.join(first, "bytes").where(F.struct("doc", "tie", "start") > F.col("f"))
+def equal_windows(contexts: DataFrame) -> DataFrame:
+    """The same as `sorted_repeats` for groups of one place: their windows are equal, so all but the first are repeats."""
+    window = F.substring(F.col("context"), F.col("lead") - F.col("lo") + 1, F.lit(LENGTH))
+    w = contexts.select("doc", "tie", (F.col("place") - F.col("lo")).alias("start"), "lo", window.alias("bytes"))
+    first = w.groupBy("lo", "bytes").agg(F.min(F.struct("doc", "tie", "start")).alias("f"))
+    again = w.join(first, ["lo", "bytes"]).where(F.struct("doc", "tie", "start") > F.col("f"))
     return again.select("doc", "tie", F.col("start").cast("int").alias("start"), (F.col("start") + LENGTH).cast("int").alias("stop"))
 
 
+def repeated_runs(scratch: Scratch, contexts: DataFrame) -> DataFrame:
+    """(doc, tie, start, stop) of the removed runs that different contexts (context, lead, doc, tie, place) show."""
+    found, level = None, parted(halved(contexts.withColumns({"lo": F.lit(0), "hi": F.lit(REACH)})))
+    while True:
+        kinds = scratch.save(level.groupBy("part").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1"))
+        small, large = kinds.where(F.col("kinds") <= LARGE).select("part"), kinds.where(F.col("kinds") > LARGE)
+        runs = sorted_repeats(level.join(checked(small, 16), "part", "left_semi").repartition("part").sortWithinPartitions("part"))
+        ends = large.where("lo = hi").select("part")
+        if not ends.isEmpty():
+            runs = runs.unionByName(equal_windows(level.join(ends, "part")))
+        runs = scratch.save(runs)
+        found = runs if found is None else found.unionByName(runs)
+        large = large.where("lo < hi").select("part")
+        if large.isEmpty():
+            return found
+        level = scratch.save(parted(halved(level.join(large, "part").drop("part"))))
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans (flat array of byte starts and stops) of each row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "suffix")
@@ -265,16 +307,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     contexts = context_rows(own.join(places.hint("merge"), ["doc", "tie"]))
     contexts = contexts.groupBy("context", "lead").agg(F.min(F.struct("doc", "tie", "place")).alias("f")).select("context", "lead", "f.*")
-    contexts = contexts.withColumn("anchor", F.xxhash64(F.substring(F.col("context"), F.col("lead") + 1, F.lit(GRAM))))
     contexts = scratch.save(contexts)
-    kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    kinds = scratch.save(kinds)
-    sortable = contexts.join(kinds.where(F.col("kinds") <= HOT).select("anchor"), "anchor").repartition("anchor").sortWithinPartitions("anchor")
-    runs = sorted_repeats(sortable)
-    hot = kinds.where(F.col("kinds") > HOT).select("anchor")
-    if not hot.isEmpty():
-        runs = runs.unionByName(grouped_repeats(contexts.join(hot, "anchor")))
-    runs = scratch.save(runs)
+    runs = repeated_runs(scratch, contexts)
 
     stays = contexts.groupBy("doc", "tie").agg(F.collect_list("place").alias("stay"))
     found = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
@@ -290,7 +324,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return rows.join(marks.hint("merge"), ["doc", "tie"], "left").select("doc_id", "text", "ranges")
 
 
-def merged(ranges: np.ndarray, size: int) -> list[tuple[int, int]]:
+def merged(ranges: list[dict[str, int]], size: int) -> list[tuple[int, int]]:
     """Sorted runs that cover the ranges."""
     out: list[tuple[int, int]] = []
     for a, b in sorted((int(r["start"]), min(int(r["stop"]), size)) for r in ranges):
@@ -304,19 +338,19 @@ def merged(ranges: np.ndarray, size: int) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte runs, start and stop in turn) and kept (remaining bytes) of each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, ranges in zip(batch["text"], batch["ranges"]):
-                data = text.encode("utf-8", "surrogatepass")
-                runs = [] if ranges is None else merged(ranges, len(data))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sizes, spans, kept = [], [], []
+            for data, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
+                runs = merged(ranges, len(data)) if ranges else []
                 edges = [0, *(x for r in runs for x in r), len(data)]
-                rows.append((len(data), edges[1:-1], b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))))
-            out = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"], index=batch.index)
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
+                sizes.append(len(data))
+                spans.append(edges[1:-1])
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return removed_spans(docs).mapInPandas(run, "doc_id long, n_bytes long, spans array<int>, kept binary")
+    rows = removed_spans(docs).select("doc_id", F.col("text").cast("binary").alias("text"), "ranges")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<int>, kept binary")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
