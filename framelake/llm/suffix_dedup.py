@@ -18,11 +18,11 @@ needed to find them all:
    suffixes in buckets with others are sorted again. In a final bucket all
    suffixes but the first are repeats.
 5. A group of contexts answers for the windows whose anchor stands `lo` to `hi`
-   bytes behind their start. Such windows hold the `lo` bytes before the anchor
-   and the REACH - `hi` bytes behind it, so they are parted by those bytes without
-   parting equal windows. All contexts begin as two halves, parted by 66 bytes or
-   more. Groups that still have more than `LARGE` contexts are halved again,
-   until they can be sorted in one task. In an interval of one place the group's
+   bytes behind their start; at first that is all of them. Such windows hold the
+   `lo` bytes before the anchor and the REACH - `hi` bytes behind it, so they can be
+   parted by those bytes without parting equal windows. Groups of more than `LARGE`
+   contexts, which is what one task sorts, become two half intervals each, and so
+   on until they can be sorted in one task. In an interval of one place the group's
    bytes are the whole window: its windows are equal, and an aggregate finds the first.
 
 Every step keeps whole results; nothing is capped.
@@ -273,7 +273,7 @@ def equal_windows(contexts: DataFrame) -> DataFrame:
 
 def repeated_runs(scratch: Scratch, contexts: DataFrame) -> DataFrame:
     """(doc, tie, start, stop) of the removed runs that different contexts (context, lead, doc, tie, place) show."""
-    found, level = None, parted(halved(contexts.withColumns({"lo": F.lit(0), "hi": F.lit(REACH)})))
+    found, level = None, parted(contexts.withColumns({"lo": F.lit(0), "hi": F.lit(REACH)}))
     while True:
         kinds = scratch.save(level.groupBy("part").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("kinds > 1"))
         small, large = kinds.where(F.col("kinds") <= LARGE).select("part"), kinds.where(F.col("kinds") > LARGE)
