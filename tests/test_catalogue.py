@@ -66,6 +66,15 @@ def test_background_share_of_every_user(spark, tmp_path):
     assert found == want and max(runs) > 20 and len(set(want.values())) > 1
 
 
+def test_frame_names_of_long_numbers(spark, tmp_path):
+    """Against Python's own format; numbers of more digits than the padding stay whole, and those beyond 32 bits."""
+    ids = [0, 7, 999_999, 1_000_000, 1_000_009, 1_999_999, 2_000_001, 5_999_999, 2**31 - 1, 2**31, 2**31 + 1, 2**40 + 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    found = catalogue.QUERIES["frame_names"](spark, str(tmp_path)).select("event_id", "frame", "mask", "idx").collect()
+    stems = {i: f"frame_{i:06d}_t{i / 2:08.1f}s" for i in ids}
+    assert sorted(map(tuple, found)) == [(i, stems[i] + ".jpg", stems[i] + "_mask.png", i) for i in ids]
+
+
 @pytest.mark.parametrize("types", [None, ["click"]])  # fewer keys than rows wanted: the rest is backfill
 def test_first_per_key_of_all_days(spark, tmp_path, types):
     from pyspark.sql import functions as F
