@@ -5,13 +5,14 @@ before white space: passages are quoted from the middle of lines, and such
 passages share units though no whole line. A unit begins at its first word and
 goes on to the first word of the next, so that units hold all of a text but the
 white space before its first word. Units are normalised (ASCII letters lowered,
-white space runs to one space, ends trimmed) and hashed to 128 bits. Of equal
-units the first by (doc_id, place in the text) is kept always. The others are
+white space runs to one space, ends trimmed) and equal if the XXH3 hashes (128
+bits) of their bytes are. Of equal units the first by (doc_id, place in the text) is kept always. The others are
 repeats, and a run of neighbouring repeats is removed if it has `min_words` words
 or more: what it holds stands earlier, unit by unit, and short phrases that
 documents share by chance stay where they are. A word counts as such, and eight
 characters count as a word if that is more, for writing without spaces. Spans of
-what is removed are offsets (code points) in the original text. With `ends=""`
+what is removed are offsets (code points) in the original text. All repeats, of any
+length, are reported beside that, in spans of neighbouring ones. With `ends=""`
 units are lines, with `min_words=1` each repeat is removed.
 
 Digests are grouped with map-side aggregation to the rank of their first unit, so
@@ -32,36 +33,35 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import Scratch, documents, packed, sliced, unpacked
-from framelake.llm.shingles import mixed, word_spans
+from framelake.llm.shingles import word_spans
 
 #: Marks after which a unit ends, if white space follows.
 ENDS = ".!?,;:"
 MIN_WORDS = 20
 #: Characters of a unit that count as a word if that makes more words.
 WORD_CHARS = 8
-_U = np.uint64
-_SEEDS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 class Units(NamedTuple):
-    """Units of a batch of texts: `text` (number of the text), `start` and `stop` (bytes in it), `size` (in words), and two hashes."""
+    """Units of a batch of texts: `text` (number of the text), `start` and `stop` (bytes in it), `size` (in words), and if asked for `digests`, two numbers each."""
 
     text: np.ndarray
     start: np.ndarray
     stop: np.ndarray
     size: np.ndarray
-    hashes: tuple[np.ndarray, np.ndarray]
+    digests: np.ndarray | None
 
 
-def units(texts: list[bytes | None], ends: str = ENDS) -> Units:
-    data, starts, stops, hashes, borders = word_spans(texts)
+def units(texts: list[bytes | None], ends: str = ENDS, *, digests: bool = False) -> Units:
+    data, starts, stops, borders = word_spans(texts)
     if not len(starts):
         none = np.empty(0, np.int64)
-        return Units(none, none, none, none, (none, none))
+        return Units(none, none, none, none, none.reshape(0, 2))
     raw = np.frombuffer(data, np.uint8)
     mark = np.zeros(256, bool)
     mark[list(ends.encode())] = True
@@ -82,18 +82,23 @@ def units(texts: list[bytes | None], ends: str = ENDS) -> Units:
     before = np.append(0, word_chars)
     n = last - first
     chars_in = before[last] - before[first] + n - 1
-    return Units(text, start, stop, np.maximum(n, chars_in // WORD_CHARS), tuple(_digest(hashes ^ _U(s), first, last, s) for s in _SEEDS))
+    return Units(text, start, stop, np.maximum(n, chars_in // WORD_CHARS), _digests(raw, starts, stops, first, last) if digests else None)
 
 
-def _digest(words: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
-    """A hash of words[first:last] for each unit, from prefix sums."""
-    powers = np.full(len(words), base, _U)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.append(_U(0), np.cumsum(mixed(words) * powers))
-    back = np.full(len(words), pow(base, -1, 1 << 64), _U)
-    back[0] = 1
-    return mixed((sums[last] - sums[first]) * np.multiply.accumulate(back)[first] + (last - first).astype(_U)).view(np.int64)
+def _digests(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words first..last (exclusive) of each unit, joined by spaces."""
+    size = stops - starts + 1
+    after = np.cumsum(size)  # places in the words of all texts, each with a space behind
+    kept = np.zeros(len(raw) + 1, np.int8)
+    kept[starts] += 1
+    kept[stops] -= 1
+    words = np.full(after[-1], 32, np.uint8)
+    inside = np.ones(len(words), bool)
+    inside[after - 1] = False
+    words[inside] = raw[np.cumsum(kept[:-1], dtype=np.int8).view(bool)]
+    text, digest = words.tobytes(), xxhash.xxh3_128_digest
+    found = b"".join([digest(text[a:b]) for a, b in zip((after - size)[first].tolist(), (after[last - 1] - 1).tolist())])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
 def _tied(docs: DataFrame, *more: str) -> DataFrame:
@@ -105,11 +110,11 @@ def unit_rows(docs: DataFrame, ends: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = units(batch.column("text").to_pylist(), ends)
+            found = units(batch.column("text").to_pylist(), ends, digests=True)
             n = np.bincount(found.text, minlength=batch.num_rows)
             place = np.arange(len(found.text)) - np.repeat(np.cumsum(n) - n, n)
             of = pa.array(found.text)
-            columns = [pa.array(found.hashes[0]), pa.array(found.hashes[1]), batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(place, pa.int32()), pa.array(n[found.text], pa.int32())]
+            columns = [pa.array(found.digests[:, 0]), pa.array(found.digests[:, 1]), batch.column("doc_id").take(of), batch.column("tie").take(of), pa.array(place, pa.int32()), pa.array(n[found.text], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "doc_id", "tie", "place", "n_units"])
 
     return _tied(docs).mapInArrow(run, "d1 long, d2 long, doc_id long, tie long, place int, n_units int")
@@ -133,7 +138,7 @@ def removed_runs(found: Units, goes: np.ndarray, min_words: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, *, ends: str = ENDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text, n_units, n_removed (units), removed (array of start, stop) and kept_text of each row of docs (doc_id, text)."""
+    """doc_id, text, n_units, n_removed (units), removed (array of start, stop), kept_text, n_repeats (units) and repeated (as removed) of each row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "lines")
     marks = scratch.save(first_units(docs, ends).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("n_units").alias("known"), "stay"))
     rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
@@ -154,18 +159,22 @@ def repeats(docs: DataFrame, *, ends: str = ENDS, min_words: int = MIN_WORDS) ->
                     goes[begin[j] + np.array(stay[k])] = False
             gone = removed_runs(found, goes, min_words)
             total, removed, spans, kept = [x or 0 for x in known], [0] * len(texts), [[] for _ in texts], list(texts)
+            again, places = [0] * len(texts), [[] for _ in texts]
             for j, k in enumerate(some):
                 at = slice(begin[j], begin[j] + n_units[j])
                 total[k], removed[k] = int(n_units[j]), int(gone[at].sum())
+                again[k] = int(goes[at].sum())
+                if again[k]:
+                    places[k], _ = cut(texts[k], found.start[at], found.stop[at], goes[at])
                 if removed[k]:
                     spans[k], kept[k] = cut(texts[k], found.start[at], found.stop[at], gone[at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([t if t is None else t.decode() for t in texts], pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array([t if t is None else t.decode() for t in kept], pa.string())],
-                names=["doc_id", "text", "n_units", "n_removed", "removed", "kept_text"],
+                [batch.column("doc_id"), pa.array([t if t is None else t.decode() for t in texts], pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array([t if t is None else t.decode() for t in kept], pa.string()), pa.array(again, pa.int64()), pa.array(places, _SPANS)],
+                names=["doc_id", "text", "n_units", "n_removed", "removed", "kept_text", "n_repeats", "repeated"],
             )
 
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "stay", "known")
-    return rows.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:int,stop:int>>, kept_text string")
+    return rows.mapInArrow(run, "doc_id long, text string, n_units long, n_removed long, removed array<struct<start:int,stop:int>>, kept_text string, n_repeats long, repeated array<struct<start:int,stop:int>>")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -191,9 +200,9 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     done = repeats(documents(spark, sf_dir))
-    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
+    spans = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", r["start"], r["stop"])), ",")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["stop"] - r["start"])
-    return done.select("doc_id", "n_units", "n_removed", chars.alias("n_removed_chars"), spans.alias("spans"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_units", "n_removed", chars.alias("n_removed_chars"), spans("removed").alias("spans"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"), "n_repeats", spans("repeated").alias("repeat_spans"))
 
 
 OP1_SQL = rf"""
@@ -207,7 +216,9 @@ n AS (SELECT doc_id, size, norm, start, greatest(length(norm) - length(replace(n
              coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY place), size) AS stop FROM a WHERE norm <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS goes FROM n),
 g AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, goes ORDER BY place) AS run FROM r),
-s AS (SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*) AS n FROM g WHERE goes GROUP BY doc_id, run HAVING sum(words) >= {MIN_WORDS}),
+a2 AS (SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*) AS n, sum(words) AS words FROM g WHERE goes GROUP BY doc_id, run),
+q AS (SELECT doc_id, sum(n)::BIGINT AS n_repeats, string_agg(start || ':' || stop, ',' ORDER BY start) AS repeat_spans FROM a2 GROUP BY doc_id),
+s AS (SELECT * FROM a2 WHERE words >= {MIN_WORDS}),
 k AS (SELECT doc_id, start, stop, n, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before,
              lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS after FROM s),
 c AS (SELECT k.doc_id, sum(n)::BIGINT AS n_removed, sum(stop - start)::BIGINT AS chars, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans,
@@ -215,6 +226,6 @@ c AS (SELECT k.doc_id, sum(n)::BIGINT AS n_removed, sum(stop - start)::BIGINT AS
       FROM k JOIN documents USING (doc_id) GROUP BY k.doc_id),
 t AS (SELECT doc_id, count(*) AS n_units FROM n GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars, 0) AS n_removed_chars, coalesce(spans, '') AS spans,
-       sha256(coalesce(kept, d.text, '')) AS kept_sha256
-FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+       sha256(coalesce(kept, d.text, '')) AS kept_sha256, coalesce(n_repeats, 0) AS n_repeats, coalesce(repeat_spans, '') AS repeat_spans
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)
 """

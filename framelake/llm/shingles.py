@@ -1,8 +1,10 @@
 """Word shingles of whole texts as sorted arrays of hashes, and minima of universal hashes over them.
 
-A word's hash is a difference of prefix sums over the bytes of a batch, so that no
-word becomes a Python object. Batches are cut at white space, so a text of any
-length takes memory for a batch and its own hashes only.
+A word of up to 16 bytes is hashed as two numbers of 8 bytes, for all words of a
+batch at once; a longer one by XXH3. Two words of up to 8 bytes and one length never
+share a hash; any others do with a chance of about 2 ** -64. Sets are compared by
+these hashes. Batches are cut at white space, so a text of any length takes memory
+for a batch and its own hashes only.
 """
 
 from __future__ import annotations
@@ -10,29 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 #: Bytes hashed at a time; a longer word is hashed in one piece.
 BATCH = 1 << 20
-_rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
-_BASE = int(_rng.integers(1 << 62, 1 << 63)) * 2 + 1
-_BACK = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, BATCH + 1), base, _U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= BATCH + 1:
-            _powers[base] = have
-    return have[:n]
+#: The lowest k bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Bytes of a word that are hashed together with other words.
+SHORT = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -40,15 +30,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, stops, hashes) of the words of data."""
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the words of data."""
     edge = np.diff(_SPACE[data].view(np.int8), prepend=1, append=1)
-    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return starts, stops, np.empty(0, _U)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * _powers_of(_BASE, len(data)), out=sums[1:])
-    return starts, stops, mixed((sums[stops] - sums[starts]) * _powers_of(_BACK, len(data))[starts] + (stops - starts).astype(_U))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    wide = np.ndarray(len(data) + 8, "<u8", np.append(data, np.zeros(16, np.uint8)).data, strides=(1,))  # the 8 bytes from each place on
+    size = stops - starts
+    ahead, behind = wide[starts] & _LOW[np.minimum(size, 8)], wide[np.minimum(starts + 8, len(data))] & _LOW[np.clip(size - 8, 0, 8)]
+    hashes = mixed(mixed(ahead + size.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    hashes = mixed(mixed(hashes ^ (behind * _U(0xD1342543DE82EF95))))
+    whole = memoryview(data)
+    for k in np.flatnonzero(size > SHORT).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(whole[starts[k] : stops[k]])
+    return hashes
 
 
 def _cuts(data: bytes) -> Iterator[tuple[int, int]]:
@@ -67,21 +64,29 @@ def _cuts(data: bytes) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def word_spans(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(data, starts, stops, hashes, borders): the words of texts in data, which joins them by line ends, A-Z lowered; borders: behind each text's line end."""
+def word_spans(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, stops, borders): the words of texts in data, which joins them by line ends, A-Z lowered; borders: behind each text's line end."""
     texts = [t or b"" for t in texts]
     data = b"\n".join(texts).lower()  # bytes: lowers A-Z only
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U))]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for a, b in _cuts(data):
-        starts, stops, hashes = _word_hashes(np.frombuffer(data, np.uint8, b - a, a))
-        found.append((starts + a, stops + a, hashes))
+        starts, stops = _words(np.frombuffer(data, np.uint8, b - a, a))
+        found.append((starts + a, stops + a))
     return data, *map(np.concatenate, zip(*found)), np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ends): hashes of all words, and for each text the place behind its last."""
-    _, starts, _, hashes, borders = word_spans(texts)
-    return hashes, np.searchsorted(starts, borders)
+    texts = [t or b"" for t in texts]
+    data = b"\n".join(texts).lower()
+    found, hashes = [np.empty(0, np.int64)], [np.empty(0, _U)]
+    for a, b in _cuts(data):
+        part = np.frombuffer(data, np.uint8, b - a, a)
+        starts, stops = _words(part)
+        found.append(starts + a)
+        hashes.append(_word_hashes(part, starts, stops))
+    borders = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(found), borders)
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:

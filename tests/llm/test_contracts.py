@@ -112,3 +112,37 @@ def test_words_are_counted_alike(texts):
 
     _, ends = word_hashes([None if t is None else t.encode() for t in texts.values()])
     assert [b - a for a, b in zip([0, *ends], ends)] == [len(WORD.findall(t or "")) for t in texts.values()]
+
+
+def thue_morse(size, a, b):
+    return [b if i.bit_count() % 2 else a for i in range(size)]
+
+
+@pytest.mark.parametrize("size", [1_024, 4_096])
+def test_words_and_lines_that_polynomials_take_for_equal(spark, tmp_path, size):
+    """A Thue-Morse word and line, and their complements: different texts stay, in op1 as in its SQL, and in op4."""
+    import duckdb
+
+    from framelake.llm import line_dedup
+
+    made = [("a", "b", ""), ("b", "a", ""), ("a", "b", " "), ("b", "a", " ")]
+    texts = [(i, joint.join(thue_morse(size, a, b))) for i, (a, b, joint) in enumerate(made)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = got(line_dedup.op1(spark, str(tmp_path)))
+    assert all(r.n_removed == r.n_repeats == 0 for r in lines.values())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.sql(line_dedup.OP1_SQL)
+    assert sorted(sql.fetchall()) == sorted(tuple(r[c] for c in sql.columns) for r in lines.values())
+    near = got(near_dedup.op4(spark, str(tmp_path)))
+    assert [near[i].component_id for i in range(2)] == [0, 1] and near[0].kept and near[1].kept
+
+
+def test_repeats_of_any_length_are_reported(spark):
+    from framelake.llm import line_dedup
+
+    docs = spark.createDataFrame([(1, "yes\nall rights reserved.\nmore"), (2, "other\nAll  rights reserved.\nyes\nno"), (3, None)], "doc_id long, text string")
+    found = got(line_dedup.repeats(docs))
+    assert (found[1].n_repeats, found[2].n_repeats, found[3].n_repeats) == (0, 2, 0)
+    assert found[2].n_removed == 0 and [tuple(r) for r in found[2].repeated] == [(6, 32)]
+    assert [tuple(r) for r in got(line_dedup.repeats(docs, min_words=1))[2].removed] == [(6, 32)]
