@@ -87,29 +87,34 @@ def farthest(pixels: DataFrame, *, raster: str) -> DataFrame:
     return best.select(raster, (-F.col("b.y")).cast("int").alias("y"), (-F.col("b.x")).cast("int").alias("x"), F.when(F.col("b.d") < float("inf"), F.col("b.d")).alias("d"))
 
 
-def _places(c: str, size: str) -> Column:
-    """The places of a pixel along an axis: its own, and those beyond the border where it is the reflection (without the edge)."""
-    one = F.col(size) == 1
-    return F.filter(F.array(F.col(c), F.when((F.col(c) == 1) | one, -1), F.when((F.col(c) == F.col(size) - 2) | one, F.col(size))), lambda q: q.isNotNull())
+def _places(c: str, size: str, border: int) -> Column:
+    """The places of a pixel along an axis: its own, and those up to `border` beyond the edges where it is the reflection (without the edge)."""
+    at, n = F.col(c), F.col(size)
+    turn = F.greatest(2 * (n - 1), F.lit(1))
+    mirrored = lambda q: F.when(n == 1, 0).otherwise(F.least(F.pmod(q, turn), turn - F.pmod(q, turn)))
+    beyond = F.array(*[F.lit(q) for q in range(-border, 0)], *[n + q for q in range(border)])
+    return F.when((at > border) & (at < n - 1 - border), F.array(at)).otherwise(F.concat(F.array(at), F.filter(beyond, lambda q: mirrored(q) == at)))
 
 
-def _tiles(q: Column, size: Column, tile: int) -> Column:
+def _tiles(q: Column, size: Column, tile: int, border: int) -> Column:
     """The tiles that hold a place, or have it on the border around them."""
-    return F.filter(F.array_distinct(F.transform(F.array(q - 1, q, q + 1), lambda p: F.floor(p / tile))), lambda t: (t >= 0) & (t <= F.floor((size - 1) / tile)))
+    last = F.floor((size - 1) / tile)
+    return F.filter(F.sequence(F.floor((q - border) / tile), F.floor((q + border) / tile)), lambda t: (t >= 0) & (t <= last))
 
 
-def tiled(pixels: DataFrame, *, by: list[str], tile: int = TILE) -> DataFrame:
-    """(by, _ty, _tx, y, h, vals): the rows of tiles with a border of one pixel, of whole rasters (by, y, x, v, h, w).
+def tiled(pixels: DataFrame, *, by: list[str], tile: int = TILE, border: int = 1, value: Column | None = None) -> DataFrame:
+    """(by, _ty, _tx, y, h, w, vals): the rows of tiles with a border of some pixels, of whole rasters (by, y, x, v, h, w).
 
     A pixel goes to its own tile and to those whose border it is, so neighbours
-    exchange a row or column each and no task holds a whole raster.
+    exchange rows and columns and no task holds a whole raster.
     """
-    along = lambda c, size: F.explode(F.flatten(F.transform(_places(c, size), lambda q: F.transform(_tiles(q, F.col(size), tile), lambda t: F.struct(q.alias("q"), t.alias("t"))))))
-    placed = pixels.select(*by, "x", "v", "h", "w", along("y", "h").alias("_y")).select(*by, "v", "h", "w", "_y", along("x", "w").alias("_x"))
+    along = lambda c, size: F.explode(F.flatten(F.transform(_places(c, size, border), lambda q: F.transform(_tiles(q, F.col(size), tile, border), lambda t: F.struct(q.alias("q"), t.alias("t"))))))
+    v = F.col("v").cast("int") if value is None else value
+    placed = pixels.select(*by, "x", v.alias("_v"), "h", "w", along("y", "h").alias("_y")).select(*by, "_v", "h", "w", "_y", along("x", "w").alias("_x"))
     keys = [*by, "_ty", "_tx", "y"]
-    rows = placed.select(*by, F.col("_y.t").alias("_ty"), F.col("_x.t").alias("_tx"), F.col("_y.q").alias("y"), "h", F.struct(F.col("_x.q").alias("x"), F.col("v").cast("int").alias("v")).alias("_p"))
-    listed = rows.groupBy(*keys).agg(F.max("h").alias("h"), F.sort_array(F.collect_list("_p")).alias("_p"))  # a tile's width and its border
-    return listed.select(*keys, "h", F.transform("_p", lambda p: p["v"]).alias("vals"))
+    rows = placed.select(*by, F.col("_y.t").alias("_ty"), F.col("_x.t").alias("_tx"), F.col("_y.q").alias("y"), "h", "w", F.struct(F.col("_x.q").alias("x"), F.col("_v").alias("v")).alias("_p"))
+    listed = rows.groupBy(*keys).agg(F.max("h").alias("h"), F.max("w").alias("w"), F.sort_array(F.collect_list("_p")).alias("_p"))  # a tile's width and its borders
+    return listed.select(*keys, "h", "w", F.transform("_p", lambda p: p["v"]).alias("vals"))
 
 
 def sharpness(pixels: DataFrame, *, by: list[str], tile: int = TILE) -> DataFrame:

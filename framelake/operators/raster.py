@@ -156,12 +156,17 @@ def motion(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs(a.astype(np.int32) - b.astype(np.int32)).mean())
 
 
-def blurred(gray: np.ndarray, size: int = 9) -> np.ndarray:
-    """IMG-04: separable Gaussian blur, sigma by the public rule for a kernel's size."""
+def gaussian(size: int) -> np.ndarray:
+    """A kernel whose sigma follows from its size by the public rule."""
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     x = np.arange(size) - size // 2
     k = np.exp(-(x**2) / (2 * sigma**2))
-    k /= k.sum()
+    return k / k.sum()
+
+
+def blurred(gray: np.ndarray, size: int = 9) -> np.ndarray:
+    """IMG-04: separable Gaussian blur."""
+    k = gaussian(size)
     out = gray.astype(np.float64)
     for axis in (0, 1):
         pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in range(2)]

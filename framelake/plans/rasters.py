@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators import background
 from framelake.operators import frames as frame_ops
 from framelake.operators import pixels as ops
 from framelake.plans.tables import table
@@ -13,6 +14,8 @@ from framelake.plans.tables import table
 WIDE, AREA = 50, 2_500
 FRAME_WIDE, FRAME_AREA, VIDEO_FRAMES = 25, 500, 5
 SMALL_HIGH, SMALL_WIDE = 6, 9
+#: Frames of a video that a background is learnt from.
+LONG_VIDEO = 20
 
 
 def masks(spark, sf_dir: str, on: Column) -> DataFrame:
@@ -57,7 +60,33 @@ def video_scores(spark, sf_dir):
     return m.select("video", *[F.round(c, 5).alias(c) for c in ("sharpness", "brightness", "motion", "score")])
 
 
-QUERIES = {f.__name__: f for f in (component_boxes, pixel_distances, farthest_pixels, frame_scores, video_scores)}
+def mixture_blocks(spark, sf_dir: str) -> DataFrame:
+    """A still picture with some noise, on which errors are bright spots; every tenth frame is dimmer."""
+    i = F.col("event_id")
+    idx, y, x = F.floor(i / FRAME_AREA), F.floor(i % FRAME_AREA / FRAME_WIDE).cast("int"), (i % FRAME_WIDE).cast("int")
+    v = F.when(F.col("event_type") == "error", 230).otherwise(100 + 3 * (x % 7) + F.floor("value") % 5)
+    f = table(spark, sf_dir, "events").select(F.floor(idx / LONG_VIDEO).alias("video"), idx.alias("idx"), y.alias("y"), x.alias("x"), F.when(idx % 10 == 9, F.floor(v * 0.8)).otherwise(v).cast("int").alias("v"))
+    f = f.withColumns({"h": F.lit(FRAME_AREA // FRAME_WIDE), "w": F.lit(FRAME_WIDE)})
+    return background.background_blocks(f, by="video", idx="idx", channels=["v"], rule=background.Rule(history=100), blur=3, tile=10)
+
+
+def mixture_foreground(spark, sf_dir):
+    """STM-01: foreground and shadow of each frame."""
+    return background.shares(mixture_blocks(spark, sf_dir), by="video", idx="idx")
+
+
+def mixture_background(spark, sf_dir):
+    """STM-01, SNK-09: the background of each video."""
+    return background.background_pixels(mixture_blocks(spark, sf_dir), by="video")
+
+
+def moving_boxes(spark, sf_dir):
+    """STM-01, IMG-07: components of the mixture's foreground in each frame."""
+    masks_ = background.mask_pixels(mixture_blocks(spark, sf_dir), by="video", idx="idx")
+    return ops.component_boxes(masks_, raster="idx", min_area=4)
+
+
+QUERIES = {f.__name__: f for f in (mixture_foreground, mixture_background, moving_boxes, component_boxes, pixel_distances, farthest_pixels, frame_scores, video_scores)}
 
 
 def _mask(on: str) -> str:
