@@ -82,23 +82,17 @@ def units(texts: list[bytes | None], ends: str = ENDS, *, digests: bool = False)
     before = np.append(0, word_chars)
     n = last - first
     chars_in = before[last] - before[first] + n - 1
-    return Units(text, start, stop, np.maximum(n, chars_in // WORD_CHARS), _digests(raw, starts, stops, first, last) if digests else None)
+    return Units(text, start, stop, np.maximum(n, chars_in // WORD_CHARS), _digests(data, starts, stops, first, last) if digests else None)
 
 
-def _digests(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _digests(data: bytes, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of the words first..last (exclusive) of each unit, joined by spaces."""
-    size = stops - starts + 1
-    after = np.cumsum(size)  # places in the words of all texts, each with a space behind
-    kept = np.zeros(len(raw) + 1, np.int8)
-    kept[starts] += 1
-    kept[stops] -= 1
-    words = np.full(after[-1], 32, np.uint8)
-    inside = np.ones(len(words), bool)
-    inside[after - 1] = False
-    words[inside] = raw[np.cumsum(kept[:-1], dtype=np.int8).view(bool)]
-    text, digest = words.tobytes(), xxhash.xxh3_128_digest
-    found = b"".join([digest(text[a:b]) for a, b in zip((after - size)[first].tolist(), (after[last - 1] - 1).tolist())])
-    return np.frombuffer(found, np.int64).reshape(-1, 2)
+    digest = xxhash.xxh3_128_digest
+    raw, gaps = np.frombuffer(data, np.uint8), np.zeros(len(starts) + 1, np.int64)
+    gaps[2:] = np.cumsum((starts[1:] - stops[:-1] != 1) | (raw[stops[:-1]] != 32))  # of words that aren't one space behind the word before
+    plain = gaps[last] == gaps[first + 1]
+    found = [digest(data[a:b]) if one else digest(b" ".join(data[a:b].split())) for a, b, one in zip(starts[first].tolist(), stops[last - 1].tolist(), plain.tolist())]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def _tied(docs: DataFrame, *more: str) -> DataFrame:
@@ -165,9 +159,11 @@ def repeats(docs: DataFrame, *, ends: str = ENDS, min_words: int = MIN_WORDS) ->
                 total[k], removed[k] = int(n_units[j]), int(gone[at].sum())
                 again[k] = int(goes[at].sum())
                 if again[k]:
-                    places[k], _ = cut(texts[k], found.start[at], found.stop[at], goes[at])
+                    points = places_of(texts[k])
+                    places[k] = in_points(runs_in(found.start[at], found.stop[at], goes[at]), points)
                 if removed[k]:
-                    spans[k], kept[k] = cut(texts[k], found.start[at], found.stop[at], gone[at])
+                    runs = runs_in(found.start[at], found.stop[at], gone[at])
+                    spans[k], kept[k] = in_points(runs, points), without(texts[k], runs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([t if t is None else t.decode() for t in texts], pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array([t if t is None else t.decode() for t in kept], pa.string()), pa.array(again, pa.int64()), pa.array(places, _SPANS)],
                 names=["doc_id", "text", "n_units", "n_removed", "removed", "kept_text", "n_repeats", "repeated"],
@@ -180,14 +176,24 @@ def repeats(docs: DataFrame, *, ends: str = ENDS, min_words: int = MIN_WORDS) ->
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def cut(text: bytes, start: np.ndarray, stop: np.ndarray, gone: np.ndarray) -> tuple[list[dict[str, int]], bytes]:
-    """(spans in code points, what is left) of a text whose units in `gone` are removed."""
+def runs_in(start: np.ndarray, stop: np.ndarray, gone: np.ndarray) -> list[tuple[int, int]]:
+    """The runs (in bytes) of neighbouring units in `gone`."""
     edge = np.diff(gone.view(np.int8), prepend=0, append=0)
-    runs = [(int(start[a]), int(stop[b - 1])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-    points = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+    return list(zip(start[edge[:-1] == 1].tolist(), stop[edge[1:] == -1].tolist()))
+
+
+def places_of(text: bytes) -> np.ndarray | None:
+    """Code points before each byte; None if they are bytes."""
+    return None if text.isascii() else np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+
+
+def in_points(runs: list[tuple[int, int]], points: np.ndarray | None) -> list[dict[str, int]]:
+    return [{"start": a, "stop": b} if points is None else {"start": int(points[a]), "stop": int(points[b])} for a, b in runs]
+
+
+def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for r in runs for x in r), len(text)]
-    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-    return [{"start": int(points[a]), "stop": int(points[b])} for a, b in runs], kept
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
