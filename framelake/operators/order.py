@@ -1,13 +1,13 @@
-"""Order over all rows without a task that holds them all: ranks, running sums, percentiles, folds.
+"""Order over all rows without a task that holds them all: ranks, running sums, quantiles, folds.
 
-Rows are range partitioned once and written, so that the counts of the parts and
+For ranks and sums rows are range partitioned once and written, so that the counts of the parts and
 the rows themselves come from the same parts; a part is numbered by its own task,
 and what the parts before it hold is added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,26 +58,67 @@ def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return running(parted(rows, *order), {name: F.lit(1).cast("long")}, by=[], order=list(order)).drop(PART)
 
 
-def percentiles(rows: DataFrame, value: str, p: float, *, by: list[str], name: str) -> DataFrame:
-    """AGG-03, AGG-15: the exact percentile (between neighbours linear) of value in each group; nulls don't count.
+#: Cells into which the values that may hold a rank are counted.
+CELLS = 1024
+
 
-    Equal values are counted map-side; the counts are parted by value, so a group
-    of any size is spread over tasks. by may be empty: then there is one row.
+def quantiles(rows: DataFrame, values: dict[str, Column], ps: Sequence[float], *, by: Sequence[str] = ()) -> DataFrame:
+    """AGG-03, AGG-15: (by, a column for each name, or name_0, name_1, ... for several ps): exact quantiles of some values in each group, between neighbours linear.
+
+    Nulls and NaN don't count; groups without values have no row. Ranks are found by
+    histograms: a pass counts the values of each group in `CELLS` cells between their
+    least and greatest, map-side; the cell that holds a rank is counted again between
+    its own least and greatest value, until these are equal. So rows are never sorted,
+    shuffled or written, and two or three passes serve any number of rows. What is
+    saved is a row for each rank; the driver learns only whether some are open.
     """
-    in_range(0, 1, p=p)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col(c) for c in (*by, value)]
-    cells = running(parted(counts, *order), {"_upto": F.col("_n")}, by=by, order=[F.col(value)])
-    total = cells.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*[F.col(b).alias(f"_b_{b}") for b in by], "_all")
+    for p in ps:
+        in_range(0, 1, p=p)
+    scratch, keys = Scratch(rows.sparkSession, "quantiles"), [*by, "_name"]
+    named = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()])))
+    named = named.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ends = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    places = F.array(*[F.struct(F.lit(i).alias("_p"), ((F.col("_all") - 1) * F.lit(float(p))).alias("_at")) for i, p in enumerate(ps)])
+    wanted = ends.select(*keys, "_lo", "_hi", F.inline(places)).withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    now = scratch.save(wanted.withColumn("_k", F.col("_rank")))  # _k: the rank among the values from _lo to _hi
+    while not (unsettled := now.where("_lo < _hi")).isEmpty():
+        ranges = unsettled.select(*[F.col(c).alias(f"_r{c}") for c in (*keys, "_lo", "_hi")]).distinct()
+        found = named.join(ranges, _alike(keys, [f"_r{k}" for k in keys]) & F.col("_v").between(F.col("_r_lo"), F.col("_r_hi")))
+        cells = found.groupBy(*ranges.columns, _cell(F.col("_v"), F.col("_r_lo"), F.col("_r_hi")).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        upto = Window.partitionBy(*ranges.columns).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # CELLS rows at most
+        cells = cells.withColumn("_upto", F.sum("_n").over(upto))
+        hit = unsettled.join(cells, _alike([*keys, "_lo", "_hi"], ranges.columns) & (F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_n") <= F.col("_k")))
+        hit = hit.select(*keys, F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_p", "_at", "_rank", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"))
+        after = scratch.save(now.where("_lo >= _hi").unionByName(hit))
+        scratch.drop(now)
+        now = after
+    share = F.max("_at") - F.min("_rank")
+    ends = now.groupBy(*keys, "_p").agg(F.min("_lo").alias("_lo"), F.max("_lo").alias("_hi"), share.alias("_share"))
+    value = F.when(F.col("_hi") > F.col("_lo"), F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")).otherwise(F.col("_lo"))
+    ends = ends.withColumn("_value", value)
+    pick = lambda n, i: F.max(F.when((F.col("_name") == n) & (F.col("_p") == i), F.col("_value")))
+    return ends.groupBy(*by).agg(*[pick(n, i).alias(n if len(ps) == 1 else f"{n}_{i}") for n in values for i in range(len(ps))])
+
+
+def _alike(left: list[str], right: list[str]) -> Column:
+    """Columns equal each other, nulls too."""
     same = F.lit(True)
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    cells = cells.join(total, same)
-    at = (F.col("_all") - 1) * F.lit(p)
-    reach = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value).cast("double")))
-    out = cells.groupBy(*by).agg(reach(F.floor(at)).alias("_lo"), reach(F.ceil(at)).alias("_hi"), F.first("_all").alias("_all"))
-    share = (F.col("_all") - 1) * F.lit(p) - F.floor((F.col("_all") - 1) * F.lit(p))
-    return out.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias(name))
+    for a, b in zip(left, right, strict=True):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
+def _cell(v: Column, lo: Column, hi: Column) -> Column:
+    """The cell of a value between lo and hi; infinite values have cells of their own, and halves keep differences finite."""
+    big = F.lit(float("inf"))
+    low, high = F.greatest(lo, F.lit(-1.7976931348623157e308)), F.least(hi, F.lit(1.7976931348623157e308))
+    inner = F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * CELLS).cast("int")
+    return F.when(v == -big, -1).when(v == big, CELLS).when(v == lo, 0).when(v == hi, CELLS - 1).otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(CELLS - 1)))
+
+
+def percentiles(rows: DataFrame, value: str, p: float, *, by: list[str], name: str) -> DataFrame:
+    """AGG-03, AGG-15: the exact percentile of one column in each group; nulls and NaN don't count. by may be empty: then there is one row."""
+    return quantiles(rows, {name: F.col(value)}, [p], by=by)
 
 
 def folded(rows: DataFrame, *, by: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], schema: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.numbers import clip_rescale, cosine, dot, min_max
+from framelake.operators.order import quantiles
+from framelake.scratch import Scratch
 
 
 def mean_vectors(rows: DataFrame, *, by: str, vector: str) -> DataFrame:
@@ -89,12 +93,12 @@ def fit_basis(rows: DataFrame, *, vector: str, quantile: float = 0.9, anchors: t
     mean_a, first, _ = axes(rows, vector, 1)
     axis_a = _signed(rows, vector, first)[0]
     projected = rows.withColumn("_p", _project(vector, axis_a))
-    threshold = float(projected.agg(F.percentile("_p", quantile)).first()[0])
+    threshold = float(quantiles(projected, {"gate": F.col("_p")}, [quantile]).first()[0])
     front = projected.where(F.col("_p") >= threshold)
     mean_b, three, _ = axes(front, vector, 3)
     axes_b = _signed(front, vector, three)
-    ends = front.agg(*[F.percentile(_project(vector, a), F.array(F.lit(anchors[0] / 100), F.lit(anchors[1] / 100))) for a in axes_b]).first()
-    return Basis(mean_a, axis_a, threshold, mean_b, axes_b, np.array([e[0] for e in ends]), np.array([e[1] for e in ends]))
+    ends = quantiles(front, {f"p{i}": _project(vector, a) for i, a in enumerate(axes_b)}, [x / 100 for x in anchors]).first()
+    return Basis(mean_a, axis_a, threshold, mean_b, axes_b, *(np.array([ends[f"p{i}_{k}"] for i in range(len(axes_b))]) for k in range(2)))
 
 
 def apply_basis(rows: DataFrame, basis: Basis, *, vector: str) -> DataFrame:
@@ -113,18 +117,83 @@ def explained_variance(rows: DataFrame, *, vector: str, projections: list[Column
     return own.join(F.broadcast(elements), "_k").select(*[(F.col(f"axis_{i}") / F.col("_all")).alias(f"axis_{i}") for i in range(len(projections))])
 
 
+#: Numbers of sums that a task holds before it sends them on.
+HELD = 8_000_000
+
+
+def group_moments(rows: DataFrame, *, by: str, vector: str) -> DataFrame:
+    """(by, n, sums): the count of each group's vectors and its sums of elements and of their products, D and D x D numbers.
+
+    Each task adds up its own rows, so a group of any size is combined before the
+    shuffle, which moves a row for each number, task and group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            of = np.asarray(keys.indices.fill_null(-1))
+            for k in np.unique(of).tolist():
+                own = x[of == k]
+                n, sums = held.get(name := keys.dictionary[k].as_py() if k >= 0 else None, (0, 0))
+                held[name] = n + len(own), sums + np.concatenate([own.sum(0), (own.T @ own).ravel()])
+            if sum(len(s) for _, s in held.values()) > HELD:
+                yield table(held, batch.schema.field(0).type)
+                held = {}
+        if held:
+            yield table(held, batch.schema.field(0).type)
+
+    def table(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tolist() for _, s in held.values()], pa.list_(pa.float64()))], names=[by, "n", "sums"])
+
+    kind = rows.schema[by].dataType.simpleString()
+    given = rows.where(F.col(vector).isNotNull()).select(by, F.col(vector).cast("array<double>"))
+    parts = given.mapInArrow(run, f"`{by}` {kind}, n long, sums array<double>")
+    cells = parts.select(by, "n", F.posexplode("sums").alias("_i", "_x")).groupBy(by, "_i").agg(F.sum("n").alias("n"), F.sum("_x").alias("_x"))
+    return cells.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("sums"))
+
+
+def group_axes(moments: DataFrame, *, by: str, k: int = 3) -> DataFrame:
+    """(by, mean, axes, shares): the k axes of most variance of each group's moments (by, n, sums), and their shares of it.
+
+    An axis points so that its largest element, the first of those, is positive.
+    Fewer than 3 vectors are an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, sums in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist()):
+                if n < 3:
+                    raise ValueError("fewer than 3 patches")
+                d = int((4 * len(sums) + 1) ** 0.5 - 1) // 2
+                s = np.array(sums)
+                mean = s[:d] / n
+                values, vectors = np.linalg.eigh(s[d:].reshape(d, d) / n - np.outer(mean, mean))
+                own = vectors.T[::-1][:k]
+                top = np.abs(own).round(12).argmax(1)
+                own = own * np.where(own[np.arange(len(own)), top] < 0, -1, 1)[:, None]
+                total = np.clip(values, 0, None).sum()
+                out.append((mean.tolist(), own.tolist(), (np.clip(values[::-1][:k], 0, None) / total if total else np.zeros(len(own))).tolist()))
+            kinds = (pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(by), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[by, "mean", "axes", "shares"])
+
+    kind = moments.schema[by].dataType.simpleString()
+    return moments.select(by, "n", "sums").mapInArrow(run, f"`{by}` {kind}, mean array<double>, axes array<array<double>>, shares array<double>")
+
+
 def frame_rgb(rows: DataFrame, *, by: str, key: str, vector: str) -> DataFrame:
-    """ML-08: a PCA of each frame's own patches, channels scaled to 0..1; fewer than 3 patches are an error."""
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(group[vector].tolist(), np.float64)
-        if len(x) < 3:
-            raise ValueError("fewer than 3 patches")
-        x = x - x.mean(0)
-        p = x @ np.linalg.svd(x, full_matrices=False)[2][:3].T
-        p = (p - p.min(0)) / (p.max(0) - p.min(0) + 1e-6)
-        return pd.DataFrame({by: group[by], key: group[key], "r": p[:, 0], "g": p[:, 1], "b": p[:, 2]})
-
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, key)}
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, r double, g double, b double")
+    """ML-08: (by, key, r, g, b): a PCA of each frame's own patches, channels scaled to 0..1; fewer than 3 patches are an error.
+
+    A group of any size: its axes come from its moments, its rows meet them in a join.
+    Rows without a vector are left out, and channels beyond the vector's length are 0.
+    """
+    scratch = Scratch(rows.sparkSession, "frame_rgb")
+    found = scratch.save(group_axes(group_moments(rows, by=by, vector=vector), by=by)).select(F.col(by).alias("_by"), "mean", "axes")
+    joined = rows.where(F.col(vector).isNotNull()).join(found, F.col(by).eqNullSafe(F.col("_by")))
+    at = lambda i: F.coalesce(dot(F.col(vector), F.get("axes", F.lit(i))) - dot(F.col("mean"), F.get("axes", F.lit(i))), F.lit(0.0))
+    placed = scratch.save(joined.select(by, key, *[at(i).alias(c) for i, c in enumerate("rgb")]))
+    ends = placed.groupBy(F.col(by).alias("_by")).agg(*[f(c).alias(f"_{name}_{c}") for c in "rgb" for name, f in (("lo", F.min), ("hi", F.max))])
+    scaled = placed.join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    return scaled.select(by, key, *[((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + 1e-6)).alias(c) for c in "rgb"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.operators import frames as ops
-from framelake.operators.order import percentiles
+from framelake.operators.order import quantiles
 from framelake.plans.tables import FRAMES, frames, table
 
 GAP, DIFF, CAP = 86_400.0, 50.0, 15
@@ -49,8 +49,8 @@ def probe_summary(spark, sf_dir):
     """AGG-03."""
     o, by = table(spark, sf_dir, "orders"), ["o_orderpriority"]
     ends = o.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
-    price, key = percentiles(o, "o_totalprice", 0.5, by=by, name="median_price"), percentiles(o, "o_custkey", 0.5, by=by, name="median_key")
-    return ends.join(price, by).join(key, by).withColumns({"median_price": F.round("median_price", 2), "median_key": F.col("median_key").cast("int")})
+    halves = quantiles(o, {"median_price": F.col("o_totalprice"), "median_key": F.col("o_custkey")}, [0.5], by=by)
+    return ends.join(halves, by).withColumns({"median_price": F.round("median_price", 2), "median_key": F.col("median_key").cast("int")})
 
 
 def value_spread(spark, sf_dir):
