@@ -84,9 +84,23 @@ def safe_stem(text: Column) -> Column:
     return F.translate(text, "/:", "_-")
 
 
+def to_tenths(seconds: Column) -> Column:
+    """The number of one decimal that is nearest to the exact binary value, the even one on ties.
+
+    Whether x lies above m + 0.5 tenths is the sign of 20 x - (2 m + 1), taken as
+    (16 x - (2 m + 1)) + 4 x, of which the first difference is exact: its terms are
+    within a factor of two (or the sign is plain), and a sum has the sign of the exact one.
+    """
+    x = F.abs(seconds.cast("double"))
+    m = F.floor(x * 10).cast("double")
+    above = (16 * x - (2 * m + 1)) + 4 * x
+    tenths = F.when((above > 0) | ((above == 0) & (m % 2 == 1)), m + 1).otherwise(m)
+    return F.when(seconds < 0, -tenths / 10).otherwise(tenths / 10)
+
+
 def frame_name(number: Column, seconds: Column) -> Column:
-    """STR-08; half to even at the first decimal, as binary fractions are written."""
-    return F.format_string("frame_%06d_t%08.1fs.jpg", number.cast("long"), F.bround(seconds, 1))
+    """STR-08: numbers are padded and never cut; seconds are rounded as `to_tenths` does."""
+    return F.format_string("frame_%06d_t%08.1fs.jpg", number.cast("long"), to_tenths(seconds))
 
 
 def mask_name(frame: Column) -> Column:
@@ -118,15 +132,22 @@ def float_list(text: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast("double"))
 
 
+#: What is stripped from the ends of dates and times: white space, as Unicode has it.
+_OUTER = r"(?U)^\s+|\s+$"
+
+
 def parse_date(text: Column) -> Column:
-    """DAT-01: ISO, else month/day/year; null if neither."""
-    return F.coalesce(F.try_to_date(text, "yyyy-M-d"), F.try_to_date(text, "M/d/yyyy"))
+    """DAT-01: year-month-day, else month/day/year, with a year of four digits; null if neither. White space around it doesn't count."""
+    bare = F.regexp_replace(text, _OUTER, "")
+    known = lambda form, read: F.when(bare.rlike(form), F.try_to_date(bare, read))
+    return F.coalesce(known(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), known(r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"))
 
 
 def parse_time(text: Column) -> Column:
-    """DAT-02: HH:mm:ss of a 24-hour time, else of a 12-hour one."""
-    upper = F.upper(F.trim(text))
-    tries = [F.try_to_timestamp(upper, F.lit(f)) for f in ("H:m:s", "H:m:s.SSSSSS", "H:m", "h:m:s a", "h:m a")]
+    """DAT-02: HH:mm:ss of hours, minutes and seconds of a 24-hour time, else of a 12-hour one with AM or PM; null for any other form."""
+    bare = F.upper(F.regexp_replace(text, _OUTER, ""))
+    known = lambda form, read: F.when(bare.rlike(form), F.try_to_timestamp(F.regexp_replace(bare, r"\s+", " "), F.lit(read)))
+    tries = [known(r"^\d{1,2}:\d{1,2}:\d{1,2}$", "H:m:s"), known(r"^\d{1,2}:\d{1,2}:\d{1,2}\s+[AP]M$", "h:m:s a")]
     return F.date_format(F.coalesce(*tries), "HH:mm:ss")
 
 

@@ -20,9 +20,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """MTH-02; a zero vector gives 0, as NaN is replaced."""
+    """MTH-02; zero vectors and what is no number give 0, infinities 1 and -1."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    found = F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    return F.when(F.isnan(found), 0.0).otherwise(F.when(F.abs(found) == float("inf"), F.signum(found)).otherwise(found))
 
 
 def xyxy_to_xywh(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -190,10 +190,11 @@ def frame_rgb(rows: DataFrame, *, by: str, key: str, vector: str) -> DataFrame:
     Rows without a vector are left out, and channels beyond the vector's length are 0.
     """
     scratch = Scratch(rows.sparkSession, "frame_rgb")
-    found = scratch.save(group_axes(group_moments(rows, by=by, vector=vector), by=by)).select(F.col(by).alias("_by"), "mean", "axes")
-    joined = rows.where(F.col(vector).isNotNull()).join(found, F.col(by).eqNullSafe(F.col("_by")))
-    at = lambda i: F.coalesce(dot(F.col(vector), F.get("axes", F.lit(i))) - dot(F.col("mean"), F.get("axes", F.lit(i))), F.lit(0.0))
-    placed = scratch.save(joined.select(by, key, *[at(i).alias(c) for i, c in enumerate("rgb")]))
-    ends = placed.groupBy(F.col(by).alias("_by")).agg(*[f(c).alias(f"_{name}_{c}") for c in "rgb" for name, f in (("lo", F.min), ("hi", F.max))])
-    scaled = placed.join(ends, F.col(by).eqNullSafe(F.col("_by")))
-    return scaled.select(by, key, *[((F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + 1e-6)).alias(c) for c in "rgb"])
+    found = scratch.save(group_axes(group_moments(rows, by=by, vector=vector), by=by)).select(F.col(by).alias("_of"), "mean", "axes")
+    given = rows.where(F.col(vector).isNotNull()).select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(vector).alias("_v"))
+    joined = given.join(found, F.col("_by").eqNullSafe(F.col("_of")))
+    at = lambda i: F.coalesce(dot(F.col("_v"), F.get("axes", F.lit(i))) - dot(F.col("mean"), F.get("axes", F.lit(i))), F.lit(0.0))
+    placed = scratch.save(joined.select("_by", "_key", *[at(i).alias(f"_{c}") for i, c in enumerate("rgb")]))
+    ends = placed.groupBy(F.col("_by").alias("_of")).agg(*[f(f"_{c}").alias(f"_{name}_{c}") for c in "rgb" for name, f in (("lo", F.min), ("hi", F.max))])
+    scaled = placed.join(ends, F.col("_by").eqNullSafe(F.col("_of")))
+    return scaled.select(F.col("_by").alias(by), F.col("_key").alias(key), *[((F.col(f"_{c}") - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + 1e-6)).alias(c) for c in "rgb"])

@@ -74,7 +74,7 @@ SQL = {
 SELECT event_id, 'hive-' || user_id AS hive, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S') AS time,
        'hive-' || user_id || '@' || strftime(ts, '%Y-%m-%d@%H-%M-%S') || '.mp4' AS built, 'hive-' || user_id AS hive_of FROM events""",
     "frame_names": """
-WITH n AS (SELECT event_id, 'frame_' || lpad(event_id::VARCHAR, 6, '0') || '_t' || lpad((event_id // 2) || CASE WHEN event_id % 2 = 1 THEN '.5' ELSE '.0' END, 8, '0') || 's' AS s FROM events)
+WITH n AS (SELECT event_id, printf('frame_%06d_t%08.1fs', event_id, event_id / 2.0::DOUBLE) AS s FROM events)
 SELECT event_id, s || '.jpg' AS frame, s || '_mask.png' AS mask, 'a_b-' || event_id AS stem, event_id AS idx FROM n""",
     "url_rewrite": """
 SELECT page_id, 'base/' || ltrim(substr(url, instr(url, '://') + 3), '/') || '.mp4' AS rewritten, url_encode(url) AS encoded FROM pages""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.names import FRAME_NAME, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, base_name, stem
 
 STATUSES = ("downloaded", "unavailable", "failed")
-MANIFEST = "status string, hive string, day string, time string, path string, reason string, batch bigint, number bigint, _corrupt_record string"
+#: Fields of a record that must be text, those that may be anything, and the numbers that `append_manifest` adds.
+KEYS, OTHERS, NUMBERS = ("status", "hive", "day", "time"), ("path", "reason"), ("batch", "number")
 COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int,license:int,date_captured:string>>,
  annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,segmentation:string,iscrowd:int>>,
  categories array<struct<id:int,name:string,supercategory:string>>"""
@@ -92,16 +93,23 @@ def line_order():
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-09, FIL-14: valid records in order (`seq`); bad lines, unknown statuses and missing keys are skipped.
+    """SRC-09, FIL-14: valid records in order (`seq`); bad lines, unknown statuses and keys that are missing or no text are skipped.
 
     Records are ordered by the batch and number that `append_manifest` writes, and
     those without by the place of their line; files are split over tasks.
     """
     raw = spark.read.text(path).select("value", line_order().alias("place"))
-    rows = raw.select("place", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("place", "r.*")
+    rows = raw.select("place", F.try_parse_json("value").alias("r")).select("place", *_fields(F.col("r")))
     seq = F.struct(F.coalesce("batch", F.lit(-1)).alias("batch"), F.coalesce("number", F.lit(-1)).alias("number"), "place")
-    good = rows.where(F.col("_corrupt_record").isNull() & F.col("status").isin(*STATUSES)).where("hive is not null and day is not null and time is not null")
-    return good.withColumn("seq", seq).drop("_corrupt_record", "batch", "number", "place")
+    good = rows.where(F.col("status").isin(*STATUSES)).where("hive is not null and day is not null and time is not null")
+    return good.withColumn("seq", seq).drop("batch", "number", "place")
+
+
+def _fields(record: Column) -> list[Column]:
+    """The columns of a parsed record: keys only if they are text (a number or a list isn't taken for one), other fields as text."""
+    at = lambda name, kind: F.try_variant_get(record, f"$.{name}", kind)
+    text = [F.when(F.schema_of_variant(at(k, "variant")) == "STRING", at(k, "string")).alias(k) for k in KEYS]
+    return text + [at(k, "string").alias(k) for k in OTHERS] + [at(k, "bigint").alias(k) for k in NUMBERS]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -146,8 +154,9 @@ def frame_groups(index: DataFrame, root: str) -> DataFrame:
     folder = F.regexp_replace("frame_path", "/[^/]*$", "")
     parent = F.regexp_replace(folder, "/[^/]*$", "")
     own = index.withColumn("folder", folder)
-    direct = own.where(F.col("folder").endswith(top))
-    found = direct if not direct.isEmpty() else own.where(parent.endswith(top))
+    is_top = lambda c: (c == top) | c.endswith("/" + top.lstrip("/"))  # noqa: E731  a root without its scheme
+    direct = own.where(is_top(F.col("folder")))
+    found = direct if not direct.isEmpty() else own.where(is_top(parent))
     if found.isEmpty():
         raise ValueError(f"no frames in {root}")
     return found.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("frame_idx", "frame_path")))

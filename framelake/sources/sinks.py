@@ -19,16 +19,21 @@ def append_manifest(records: DataFrame, path: str, batch: int) -> None:
 
 
 def save_state(spark: SparkSession, path: str, signature: str, next_day_index: int) -> None:
-    """SNK-04: the scheduler's position as one small file, written beside and renamed."""
-    jvm = spark.sparkContext._jvm
-    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
-    out.write(bytearray((json.dumps({"next_day_index": next_day_index, "signature": signature}) + "\n").encode()))
+    """SNK-04: the scheduler's position as one small file."""
+    replace_file(spark, path, (json.dumps({"next_day_index": next_day_index, "signature": signature}) + "\n").encode())
+
+
+def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, written beside and renamed over the one that is there, in one step: a reader sees the old one or the new one, whenever the writer breaks off."""
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs
+    at, part = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(part, True)
+    out.write(bytearray(data))
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"{path} can't be replaced")
+    how = sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()), sc._jsc.hadoopConfiguration()).rename(part, at, how)
 
 
 def fetched(wanted: DataFrame, fetch: Callable[[str], bytes], *, key: str = "path") -> DataFrame:
