@@ -230,24 +230,6 @@ def test_reports(spark, tmp_path):
     assert [(r.variant, bytes(r.pixels)) for r in sinks.video_variants(shown, {"one": F.col("p"), "two": F.col("q")}).collect()] == [("one", b"x"), ("two", b"y")]
 
 
-def test_schedule_is_taken_up(spark, tmp_path):
-    from framelake.streaming import walk_schedule
-
-    state, days, seen = str(tmp_path / "s.json"), [("h", f"d{i}") for i in range(4)], []
-
-    def fetch(hive, day, room):
-        seen.append((day, room))
-        if day == "d1":
-            raise OSError("no list")
-        return min(room, 2)
-
-    run = lambda target, had: walk_schedule(spark, state, "x", days, fetch, target=target, per_day=3, had=had)
-    assert run(3, {}) == 3 and seen == [("d0", 3), ("d1", 1), ("d2", 1)] and sources.next_day_index(spark, state, "x") == 3
-    assert run(9, {days[0]: 2, days[2]: 1}) == 5 and seen[3:] == [("d3", 3)] and sources.next_day_index(spark, state, "x") == 4
-    # At its end with videos missing it begins anew; full days are left out.
-    assert run(9, {days[0]: 3, days[2]: 2, days[3]: 2}) == 9 and seen[4:] == [("d1", 2), ("d2", 1), ("d3", 1)]
-
-
 def test_picks_of_other_groups(spark):
     import hashlib
 
