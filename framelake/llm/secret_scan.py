@@ -5,12 +5,16 @@ has been decoded and its structure parsed to the last byte: a private key in DER
 (nested lengths that add up, with the version number and parts of such a key), a
 private key of OpenSSH (fields with their lengths, public and private parts that
 fill the blob), or a signed token (a JSON header that names its algorithm, a JSON
-payload and a signature). Public keys are no secrets and are not reported. Keys
-have at most `MAX_KEY` bytes. A key is found where its first bytes stand, behind
-other characters of the same run too; it may be wrapped over lines, with a PEM
+payload and a signature). Public keys are no secrets and are not reported. A key
+of any size is found where its first bytes stand, behind other characters of the
+same run too; it may be in the URL-safe alphabet, or wrapped over lines, with a PEM
 header or without, and the line ends may be written as \\n. What looks random but
-parses as nothing is not reported. A text is read a constant number of times,
-whatever it holds.
+parses as nothing is not reported, nor a key that is encoded twice.
+
+A run is decoded once for each place of a first character in a group, and what
+begins like a key is parsed there by its lengths alone, at most ten elements of it
+(of OpenSSH, as many as it has keys); nothing is decoded or copied for each
+candidate, so time is in proportion to a text, whatever it holds.
 
 Defined results: a null text is empty and has no spans. Null ids and repeated
 rows are answered as they come; an empty table gives an empty result; other
@@ -41,8 +45,8 @@ BASE = (
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 #: Fixed value: what the blob of an OpenSSH private key begins with.
 SSH_MAGIC = b"openssh-key-v1\x00"
-#: Bytes that a key has at most; an RSA key of 16,384 bits has about 9,500.
-MAX_KEY = 1 << 16
+#: Elements of a key, more than any layout has; characters of a name in an OpenSSH key.
+MOST_ITEMS, MOST_NAME = 10, 64
 
 _ASSIGN_HINT = re.compile(r"(?ai)passw|secret|token|api_?key")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
@@ -54,6 +58,8 @@ _ESCAPED = re.compile(r"\\+[nr]")
 _LINES64 = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\n))[A-Za-z0-9+/]{40,}(?:(?:[ \t]*\r?\n[ \t]*|(?:\\+r)?\\+n)[A-Za-z0-9+/]+={0,2})+")
 _LINE64 = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/\\]))[A-Za-z0-9+/]+={0,2}")
 _RUN64 = re.compile(r"[A-Za-z0-9+/]{40,}")
+#: The URL-safe alphabet; a run counts if it has one of its own characters.
+_RUN_URL = re.compile(r"[A-Za-z0-9_-]{40,}")
 _RUN16 = re.compile(r"[0-9a-fA-F]{64,}")
 #: Where a key's first bytes can stand: a SEQUENCE, or the magic of OpenSSH.
 _HEAD64 = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXkt")
@@ -61,11 +67,11 @@ _HEAD16 = re.compile(r"30(?=[0-8])|6f70656e7373682d6b65792d")
 _PART = re.compile(r"[A-Za-z0-9_-]{8,}")
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of DER elements that fill data; None if lengths don't add up."""
+def der_items(data: memoryview) -> list[tuple[int, memoryview]] | None:
+    """(tag, content) of DER elements that fill data; None if lengths don't add up, or there are more than MOST_ITEMS."""
     items, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        if at + 2 > len(data) or len(items) == MOST_ITEMS:
             return None
         tag, n = data[at], data[at + 1]
         at += 2
@@ -81,9 +87,9 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: memoryview) -> bool:
     """One SEQUENCE that is laid out as a private key: PKCS#1, PKCS#8 (also encrypted), DSA or SEC1."""
-    outer = der_items(data) if len(data) <= MAX_KEY else None
+    outer = der_items(data)
     if outer is None or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     parts = der_items(outer[0][1])
@@ -105,13 +111,13 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def ssh_size(data: bytes) -> int:
+def ssh_size(data: memoryview) -> int:
     """Bytes of the OpenSSH private key that data begins with, by its lengths; 0 if they don't fit in data or in its layout."""
     at = len(SSH_MAGIC)
-    if not data.startswith(SSH_MAGIC):
+    if data[:at] != SSH_MAGIC:
         return 0
 
-    def field() -> bytes | None:
+    def field() -> memoryview | None:
         nonlocal at
         n = int.from_bytes(data[at : at + 4])
         if at + 4 + n > len(data):
@@ -119,15 +125,18 @@ def ssh_size(data: bytes) -> int:
         at += 4 + n
         return data[at - n : at]
 
+    def is_name(x: memoryview) -> bool:
+        return len(x) <= MOST_NAME and x.tobytes().isascii()
+
     cipher, derivation, options = field(), field(), field()
-    if not cipher or not derivation or options is None or not cipher.isascii() or not derivation.isascii():
+    if not cipher or not derivation or options is None or not is_name(cipher) or not is_name(derivation):
         return 0
     keys, at = int.from_bytes(data[at : at + 4]), at + 4
-    if not 1 <= keys <= 16:
+    if keys < 1:
         return 0
     for _ in range(keys):
         public = field()
-        if public is None or len(public) < 8 or not public[4 : 4 + int.from_bytes(public[:4])].isascii():
+        if public is None or len(public) < 8 or not is_name(public[4 : 4 + int.from_bytes(public[:4])]):
             return 0
     private = field()
     if private is None or len(private) < 16 or len(private) % 8:
@@ -135,7 +144,7 @@ def ssh_size(data: bytes) -> int:
     return 0 if cipher == b"none" and private[:4] != private[4:8] else at  # its check numbers agree
 
 
-def der_size(data: bytes) -> int:
+def der_size(data: memoryview) -> int:
     """Bytes of the element that data begins with, by its header; 0 if it has none."""
     if len(data) < 2 or data[1] & 0x80 and not 1 <= data[1] & 0x7F <= 4:
         return 0
@@ -143,22 +152,29 @@ def der_size(data: bytes) -> int:
     return 2 + k + (int.from_bytes(data[2 : 2 + k]) if k else data[1])
 
 
-def key_at(data: bytes) -> tuple[str, int] | None:
+def key_at(data: memoryview) -> tuple[str, int] | None:
     """(kind, bytes) of the private key that data begins with."""
-    if data[:1] == b"\x30":
-        size = der_size(data)
-        return ("der_key", size) if size <= len(data) and is_der_key(data[:size]) else None
-    size = ssh_size(data)
-    return ("ssh_key", size) if size else None
+    if data[:1] != b"\x30":
+        size = ssh_size(data)
+        return ("ssh_key", size) if size else None
+    size = der_size(data)
+    at = 2 + (data[1] & 0x7F if data[1:2] and data[1] & 0x80 else 0)
+    plausible = 16 <= size <= len(data) and (data[at : at + 2] == b"\x02\x01" or data[at : at + 1] == b"\x30")
+    return ("der_key", size) if plausible and is_der_key(data[:size]) else None
+
 
+class Decoded:
+    """A run of base64 or hexadecimal digits, decoded from any of its characters on; once for each place of a group."""
 
-def may_begin(head: bytes) -> bool:
-    """Whether a key can begin with these 9 bytes or more."""
-    if head[:1] != b"\x30" or len(head) < 9:
-        return len(head) >= 9 and head[:9] == SSH_MAGIC[:9]
-    size = der_size(head)
-    at = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
-    return 16 <= size <= MAX_KEY and (head[at : at + 2] == b"\x02\x01" or head[at : at + 1] == b"\x30")
+    def __init__(self, run: str, digits: int, size: int):
+        self.run, self.digits, self.size, self.whole = run, digits, size, {}
+
+    def since(self, k: int) -> memoryview:
+        first = k % self.digits
+        if first not in self.whole:
+            run = self.run[first:]
+            self.whole[first] = memoryview(leading64(run) if self.digits == 4 else leading16(run))
+        return self.whole[first][(k - first) // self.digits * self.size :]
 
 
 def decoded64(run: str) -> bytes | None:
@@ -214,45 +230,48 @@ def wrapped_spans(text: str, at: int, stop: int) -> list[tuple[str, int, int]]:
     """Keys over two lines or more of a block: lines of one width, the last of them shorter or not."""
     lines, out, i = [m.span() for m in _LINE64.finditer(text, at, stop)], [], 0
     width = [b - a for a, b in lines]
-    same = list(range(1, len(lines) + 1))  # behind the lines that are as wide as this one
-    for k in range(len(lines) - 2, -1, -1):
-        if width[k + 1] == width[k]:
-            same[k] = same[k + 1]
-    while i < len(lines) - 1:
-        a, b = lines[i]
-        head = decoded64(text[a : a + 12]) or b""
-        if may_begin(head):
-            end = same[i] + (same[i] < len(lines) and width[same[i]] < width[i])
-            most = min(end, i + 1 + base64_size(MAX_KEY) // width[i])
-            key = key_at(leading64("".join(text[x:y] for x, y in lines[i:most])))
-            if key:
-                last = i + -(-base64_size(key[1]) // width[i]) - 1  # lines but the last are full
+    first = 0
+    while first < len(lines) - 1:
+        after = first + 1
+        while after < len(lines) and width[after] == width[first]:
+            after += 1
+        end = after + (after < len(lines) and width[after] < width[first])
+        block, wide = Decoded("".join(text[x:y] for x, y in lines[first:end]), 4, 3), width[first]
+        i = max(i, first)
+        while i < after and i < end - 1:
+            if key := key_at(block.since((i - first) * wide)):
+                last = i + -(-base64_size(key[1]) // wide) - 1  # lines but the last are full
                 x, y = lines[last]
-                used = base64_size(key[1]) - (last - i) * width[i]
+                used = base64_size(key[1]) - (last - i) * wide
                 # It ends with its line, but for padding.
                 if last > i and text[x + used : y].strip("=") == "":
-                    out.append((key[0], a, y))
+                    out.append((key[0], lines[i][0], y))
                     i = last
-        i += 1
+            i += 1
+        first = after
     return out
 
 
 def leading64(run: str) -> bytes:
     """What the whole groups of a run in base64 decode to."""
-    run = run.rstrip("=")
+    run = run.split("=", 1)[0]
     return decoded64(run if len(run) % 4 != 1 else run[:-1]) or b""
 
 
-def run_spans(text: str, pattern: re.Pattern, heads: re.Pattern, digits: int, decode) -> Iterator[tuple[str, int, int]]:
-    """Keys in runs of one line, at any place of a run; digits: characters that MAX_KEY bytes take."""
+def run_spans(text: str, pattern: re.Pattern, heads: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    """Keys in runs of one line, at any place of a run."""
+    is_hex = heads is _HEAD16
     for run in pattern.finditer(text):
+        if pattern is _RUN_URL and "-" not in run[0] and "_" not in run[0]:
+            continue
         at, stop = run.span()
+        data = Decoded(run[0], 2, 1) if is_hex else Decoded(run[0], 4, 3)
         while head := heads.search(text, at, stop):
             at = head.start()
-            if may_begin(decode(text[at : min(at + 24, stop)])) and (key := key_at(decode(text[at : min(at + digits, stop)]))):
-                end = at + (key[1] * 2 if heads is _HEAD16 else base64_size(key[1]))
+            if key := key_at(data.since(at - run.start())):
+                end = at + (key[1] * 2 if is_hex else base64_size(key[1]))
                 pad = text[end : end + 2]
-                yield key[0], at, end + (len(pad) - len(pad.lstrip("=")) if heads is _HEAD64 else 0)
+                yield key[0], at, end + (0 if is_hex else len(pad) - len(pad.lstrip("=")))
                 at = end
             else:
                 at += 1
@@ -280,7 +299,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     if "-----BEGIN" in text:
         for a, b, body in pem_spans(text):
-            data = decoded64(_ESCAPED.sub("", body)) or b""
+            data = memoryview(decoded64(_ESCAPED.sub("", body)) or b"")
             key = key_at(data)
             if key and key[1] == len(data):
                 out.append((key[0], a, b))
@@ -290,8 +309,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             if m.start() not in taken:
                 out += wrapped_spans(text, *m.span())
         taken = Taken(out)
-        out += [s for s in run_spans(text, _RUN64, _HEAD64, base64_size(MAX_KEY), leading64) if s[1] not in taken]
-        out += run_spans(text, _RUN16, _HEAD16, 2 * MAX_KEY, leading16)
+        out += [s for s in run_spans(text, _RUN64, _HEAD64) if s[1] not in taken]
+        out += run_spans(text, _RUN16, _HEAD16)
+    if "-" in text or "_" in text:
+        taken = Taken(out)
+        out += [s for s in run_spans(text, _RUN_URL, _HEAD64) if s[1] not in taken]
     if text.count(".") > 1:
         out += token_spans(text)
     return out

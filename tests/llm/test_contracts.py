@@ -146,3 +146,39 @@ def test_repeats_of_any_length_are_reported(spark):
     assert (found[1].n_repeats, found[2].n_repeats, found[3].n_repeats) == (0, 2, 0)
     assert found[2].n_removed == 0 and [tuple(r) for r in found[2].repeated] == [(6, 32)]
     assert [tuple(r) for r in got(line_dedup.repeats(docs, min_words=1))[2].removed] == [(6, 32)]
+
+
+def der(tag, content):
+    n = len(content)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8)) + content
+
+
+def test_keys_of_any_size_and_in_the_url_safe_alphabet():
+    import base64
+
+    from framelake.llm import secret_scan
+
+    rng = random.Random(4)
+    for size in (40, 8_000):  # of a number; the whole key has 72,000 bytes
+        key = der(0x30, der(2, b"\0") + b"".join(der(2, b"\1" + rng.randbytes(size)) for _ in range(8)))
+        plain, safe = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode()
+        pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END RSA PRIVATE KEY-----"
+        assert set("-_") & set(safe)
+        for text in (plain, safe, safe.rstrip("="), key.hex(), key.hex().upper(), pem, base64.encodebytes(key).decode().rstrip("\n")):
+            assert secret_scan.confirmed_spans(f"see {text} end") == [("der_key", 4, 4 + len(text))]
+        assert secret_scan.confirmed_spans(f"see {safe[:-8]} end") == [] and secret_scan.confirmed_spans(f"x-{plain}\n") == [("der_key", 2, 2 + len(plain))]
+
+
+def test_time_is_in_proportion_to_texts_that_look_like_keys():
+    import time
+
+    from framelake.llm import secret_scan
+
+    def took(text):
+        began = time.process_time()
+        assert secret_scan.confirmed_spans(text) == []
+        return time.process_time() - began
+
+    for unit in ("MIIEvQIBADAN", "MIIEvQIBADAN" * 5 + "\n", "b3BlbnNzaC1rZXktdjEA", "MIIEvQIBADAN-_", "MIKEvQIBADCB"):
+        small, large = (min(took(unit * (size // len(unit))) for _ in range(2)) for size in (100_000, 800_000))
+        assert large < 16 * small + 0.1, unit
