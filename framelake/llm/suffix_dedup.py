@@ -122,35 +122,49 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(h, doc, tie, place) of all anchors of rows (doc, tie, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            doc, tie = batch["doc"].to_numpy(), batch["tie"].to_numpy()
-            for data, starts, number, offset in _chunks([t.encode("utf-8", "surrogatepass") for t in batch["text"]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            doc, tie = (batch.column(c).to_numpy() for c in ("doc", "tie"))
+            for data, starts, number, offset in _chunks(batch.column("text").to_pylist()):
                 places, h = anchors(data, starts)
                 part = np.searchsorted(starts, places, "right") - 1
-                yield pd.DataFrame({"h": h, "doc": doc[number[part]], "tie": tie[number[part]], "place": (places - starts[part] + offset[part]).astype(np.int32)})
+                found = (h, doc[number[part]], tie[number[part]], (places - starts[part] + offset[part]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["h", "doc", "tie", "place"])
+
+    return docs.select("doc", "tie", F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long, doc long, tie long, place int")
+
 
-    return docs.select("doc", "tie", "text").mapInPandas(run, "h long, doc long, tie long, place int")
+#: Contexts that are handed on together.
+_CONTEXTS = 10_000
 
 
 def context_rows(docs: DataFrame) -> DataFrame:
     """(context, lead, doc, tie, place) for each of the places of rows (doc, tie, text, places); lead: bytes before the anchor."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, size = [], 0
-            for doc, tie, text, places in zip(batch["doc"], batch["tie"], batch["text"], batch["places"]):
-                data = text.encode("utf-8", "surrogatepass")
-                for p in set(places.tolist()):
-                    lead = min(p, REACH)
-                    rows.append((data[p - lead : p + LENGTH], lead, doc, tie, p))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["context", "lead", "doc", "tie", "place"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["context", "lead", "doc", "tie", "place"])
-
-    return docs.select("doc", "tie", "text", "places").mapInPandas(run, "context binary, lead int, doc long, tie long, place int")
+    def table(held: list[tuple[int, int, np.ndarray, list[bytes]]]) -> pa.RecordBatch:
+        n = [len(places) for _, _, places, _ in held]
+        place = np.concatenate([places for _, _, places, _ in held])
+        columns = [pa.array([c for *_, own in held for c in own], pa.binary()), pa.array(np.minimum(place, REACH).astype(np.int32))]
+        columns += [pa.array(np.repeat(np.array([row[i] for row in held], np.int64), n)) for i in range(2)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32))], names=["context", "lead", "doc", "tie", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in sliced(batches):
+            for k in range(batch.num_rows):
+                data, doc, tie = (batch.column(c)[k].as_py() for c in ("text", "doc", "tie"))
+                places = np.unique(batch.column("places")[k].values.to_numpy())
+                for at in range(0, len(places), _CONTEXTS):
+                    some = places[at : at + _CONTEXTS]
+                    held.append((doc, tie, some, [data[max(p - REACH, 0) : p + LENGTH] for p in some.tolist()]))
+                    rows += len(some)
+                    if rows >= _CONTEXTS:
+                        yield table(held)
+                        held, rows = [], 0
+        if held:
+            yield table(held)
+
+    return docs.select("doc", "tie", F.col("text").cast("binary").alias("text"), "places").mapInArrow(run, "context binary, lead int, doc long, tie long, place int")
 
 
 def refined(data: np.ndarray, wanted: np.ndarray, length: int = LENGTH, gram: int = 8) -> np.ndarray:
