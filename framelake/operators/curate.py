@@ -60,9 +60,15 @@ def last_n(rows: DataFrame, *, by: str, order: str, n: int) -> DataFrame:
 
 
 def first_then_backfill(rows: DataFrame, *, keys: list[str], order: Column, n: int) -> DataFrame:
-    """WIN-06: the first row of each key, then the others, both in order, up to n."""
-    firsts = Window.partitionBy(*keys).orderBy(order)
-    marked = rows.withColumn("is_first", F.row_number().over(firsts) == 1)
+    """WIN-06: the first row of each key, then the others, both in order (which no two rows share), up to n.
+
+    First places are an aggregate, combined map-side, and the n rows a TakeOrdered: no group is gathered or sorted.
+    """
+    firsts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    marked = rows.join(firsts, same).withColumn("is_first", order.eqNullSafe(F.col("_first"))).select(*rows.columns, "is_first")
     return marked.orderBy(F.col("is_first").desc(), order).limit(n)
 
 

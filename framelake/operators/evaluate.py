@@ -116,6 +116,20 @@ def average_precision(matches: DataFrame) -> DataFrame:
     return positives.join(total, keys, "left").withColumn("ap", F.when(F.col("positives") > 0, F.coalesce("ap", F.lit(0.0))))
 
 
+def per_class(ap: DataFrame, recall: DataFrame) -> DataFrame:
+    """ML-11, ML-12: (category_id, ap, ap50, ap75, ar): means over thresholds for each class; null for classes without positives."""
+    at = lambda t: F.avg(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap")))
+    cells = ap.groupBy("category_id").agg(F.avg("ap").alias("ap"), at(0.5).alias("ap50"), at(0.75).alias("ap75"))
+    return cells.join(recall.groupBy("category_id").agg(F.avg("recall").alias("ar")), "category_id")
+
+
+def average_recall(matches: DataFrame) -> DataFrame:
+    """ML-12: recall by (category_id, threshold): the share of positives that some detection hits, with the number of detections that `matched` was given; null without positives."""
+    hits = F.count_if((F.col("rank") >= 0) & F.col("tp") & ~F.col("ignored"))
+    found = matches.groupBy("category_id", "threshold").agg(hits.alias("hits"), F.sum("positives").alias("positives"))
+    return found.select("category_id", "threshold", F.when(F.col("positives") > 0, F.col("hits") / F.col("positives")).alias("recall"))
+
+
 def summary(ap: DataFrame) -> DataFrame:
     """AGG-12: mean over defined cells; NaN where there is none."""
     at = lambda t: F.avg(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap")))

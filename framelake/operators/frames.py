@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -157,6 +157,18 @@ def totals(summaries: DataFrame) -> DataFrame:
     return t.where("video_count > 0")
 
 
+def observed(frames: DataFrame, kept: Column, usable: Column) -> tuple[DataFrame, Observation]:
+    """AGG-20: the frames that are kept and usable, and their counters (sampled, saved, skipped_no_object), which the pass that writes them fills: nothing is read twice.
+
+    A frame counts as skipped if it would be kept but isn't usable. The counters are
+    there once an action on the frames has ended, and hold for the first one.
+    """
+    seen = Observation("counters")
+    good, fits = F.coalesce(kept, F.lit(False)), F.coalesce(usable, F.lit(False))
+    rows = frames.withColumns({"_kept": good, "_usable": fits}).observe(seen, F.count(F.lit(1)).alias("sampled"), F.count_if(F.col("_kept") & F.col("_usable")).alias("saved"), F.count_if(F.col("_kept") & ~F.col("_usable")).alias("skipped_no_object"))
+    return rows.where("_kept and _usable").drop("_kept", "_usable"), seen
+
+
 def counters(frames: DataFrame, kept: Column, usable: Column) -> DataFrame:
     """AGG-20."""
     return frames.agg(F.count(F.lit(1)).alias("sampled"), F.count_if(kept).alias("saved"), F.count_if(~usable).alias("skipped_no_object"))

@@ -97,6 +97,7 @@ def foreign_keys_missing(child: DataFrame, parent: DataFrame, keys: list[str]) -
 
 
 def same_names(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-    """SET-06: one row: whether two tables hold the same names."""
-    names = lambda d: d.agg(F.array_sort(F.collect_set(name)).alias("n")).withColumn("_k", F.lit(0))
-    return names(a).join(F.broadcast(names(b).withColumnRenamed("n", "m")), "_k").select((F.col("n") == F.col("m")).alias("same"))
+    """SET-06: one row: whether two tables hold the same names, of any number; nulls don't count."""
+    rows = a.select(F.col(name).alias("_n"), F.lit(1).alias("_a")).unionByName(b.select(F.col(name).alias("_n"), F.lit(2).alias("_a")))
+    sides = rows.where(F.col("_n").isNotNull()).groupBy("_n").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    return sides.agg(F.coalesce(F.bool_and(F.col("_lo") < F.col("_hi")), F.lit(True)).alias("same"))

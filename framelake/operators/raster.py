@@ -252,6 +252,16 @@ def overlay(frames: DataFrame, mask: DataFrame, *, alpha: float = 0.5, color: tu
     return joined.select("frame", "y", "x", *blend)
 
 
+def checked_grid(tokens: DataFrame, *, by: str, place: str, rows: int, columns: int) -> DataFrame:
+    """JOIN-13: tokens with the row and column of their grid; a group that doesn't fill it, each place once, is an error as the query runs."""
+    n = rows * columns
+    full = tokens.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(F.when(F.col(place).between(0, n - 1), F.col(place))).alias("_places"))
+    wrong = F.raise_error(F.concat(F.lit(f"tokens don't fill a grid of {rows} x {columns}: "), F.coalesce(F.col("_by").cast("string"), F.lit("null"))))
+    full = full.where(F.when((F.col("_n") != n) | (F.col("_places") != n), wrong.isNull()).otherwise(True))
+    placed = tokens.withColumns({"row": F.floor(F.col(place) / columns).cast("int"), "col": (F.col(place) % columns).cast("int")})
+    return placed.join(full, F.col(by).eqNullSafe(F.col("_by"))).select(*placed.columns)
+
+
 def grid_cells(items: DataFrame, *, order: str, columns: int, width: int, height: int) -> DataFrame:
     """SNK-11, JOIN-13: the row, column and pixel place of numbered items in a contact sheet; order counts from 0."""
     i = F.col(order)

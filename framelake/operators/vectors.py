@@ -32,6 +32,14 @@ def normalised_by(rows: DataFrame, *, by: str, value: str) -> DataFrame:
     return rows.join(ends, by).withColumn("normalised", min_max(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
+def kept_by(rows: DataFrame, *, by: str, value: str, threshold: float, least: int = 3) -> DataFrame:
+    """FIL-10: rows whose value reaches the threshold; a group that keeps fewer than `least` is an error as the query runs."""
+    kept = rows.groupBy(F.col(by).alias("_by")).agg(F.count_if(F.col(value) >= threshold).alias("_n"))
+    few = F.raise_error(F.concat(F.lit(f"fewer than {least} rows reach {threshold} in "), F.coalesce(F.col("_by").cast("string"), F.lit("null"))))
+    kept = kept.where(F.when(F.col("_n") < least, few.isNull()).otherwise(True))
+    return rows.where(F.col(value) >= threshold).join(kept, F.col(by).eqNullSafe(F.col("_by"))).select(*rows.columns)
+
+
 @dataclass
 class Basis:
     """SRC-17: a frozen two-stage basis."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.names import FRAME_NAME, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, base_name, stem
+from framelake.operators.order import ranked
 
 STATUSES = ("downloaded", "unavailable", "failed")
 #: Fields of a record that must be text, those that may be anything, and the numbers that `append_manifest` adds.
@@ -163,12 +164,12 @@ def frame_groups(index: DataFrame, root: str) -> DataFrame:
 
 
 def item(rows: DataFrame, idx: int, order: str) -> DataFrame:
-    """UDF-02: the row at a place in the order, from the end for negative ones."""
+    """UDF-02: the row at a place in the order, from the end for negative ones; rows are numbered in parts, not sorted in one task."""
     n = rows.count()
     at = idx + n if idx < 0 else idx
     if not 0 <= at < n:
         raise IndexError(idx)
-    return rows.orderBy(order).offset(at).limit(1)
+    return ranked(rows, F.col(order), name="_rank").where(F.col("_rank") == at + 1).select(*rows.columns)
 
 
 def complete(files: DataFrame, splits: tuple[str, ...] = ("train", "valid", "test"), name: str = "_annotations.coco.json") -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,12 +24,23 @@ def save_state(spark: SparkSession, path: str, signature: str, next_day_index: i
 
 
 def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """A small file, written beside and renamed over the one that is there, in one step: a reader sees the old one or the new one, whenever the writer breaks off."""
+    """A small file in place of the one that is there."""
+    replaced(spark, path, [data])
+
+
+def replaced(spark: SparkSession, path: str, pieces: list) -> None:
+    """A file of bytes and of files (Hadoop paths, which are streamed), written beside and renamed over the one that is there, in one step: a reader sees the old one or the new one, whenever the writer breaks off."""
     sc = spark.sparkContext
     fs = sc._jvm.org.apache.hadoop.fs
     at, part = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(part, True)
-    out.write(bytearray(data))
+    for piece in pieces:
+        if isinstance(piece, bytes):
+            out.write(bytearray(piece))
+        else:
+            source = piece.getFileSystem(sc._jsc.hadoopConfiguration()).open(piece)
+            sc._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
     out.close()
     how = sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
     how[0] = getattr(fs, "Options$Rename").OVERWRITE
@@ -109,6 +120,38 @@ def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFr
     return joined.select("split", F.to_json(F.struct("categories", "images", "annotations")).alias("value"))
 
 
+def write_document(parts: dict[str, DataFrame], path: str, *, order: dict[str, list[str]]) -> None:
+    """SNK-06 for documents of any size: one JSON object at path, with a list of the rows of each table, in its order.
+
+    Tasks write the lines of a list in ordered parts, each line but a list's first with
+    its comma; a commit step then streams head, parts and tail into one file beside
+    path and renames it, so no row, task or process holds a document. Nulls are written.
+    """
+    from framelake.operators.order import PART, parted
+    from framelake.scratch import Scratch
+
+    spark = next(iter(parts.values())).sparkSession
+    sc, scratch = spark.sparkContext, Scratch(spark, "document")
+    hadoop, conf = sc._jvm.org.apache.hadoop, sc._jsc.hadoopConfiguration()
+    pieces: list[bytes | object] = []
+    for i, (name, rows) in enumerate(parts.items()):
+        pieces.append(("{" if i == 0 else "], ").encode() + json.dumps(name).encode() + b": [")
+        columns = [F.col(c) for c in order[name]]
+        numbered = parted(rows, *columns)
+        first = numbered.agg(F.min(PART)).first()[0]
+        line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        head = F.row_number().over(Window.partitionBy(PART).orderBy(*columns)) == 1
+        lines = numbered.withColumn("_comma", ~(head & (F.col(PART) == F.lit(first)))).select(PART, *[c.alias(f"_o{k}") for k, c in enumerate(columns)], F.concat(F.when(F.col("_comma"), ", ").otherwise(""), line).alias("value"))
+        at = f"{scratch.root}/{name}"
+        sorted_lines = lines.repartition(PART).sortWithinPartitions(PART, *[f"_o{k}" for k in range(len(columns))])
+        sorted_lines.select(PART, "value").write.partitionBy(PART).option("lineSep", "\n").text(at)
+        fs = hadoop.fs.Path(at).getFileSystem(conf)
+        folders = sorted((f.getPath() for f in fs.listStatus(hadoop.fs.Path(at)) if f.isDirectory()), key=lambda p: int(p.getName().split("=")[1]))
+        pieces += [f.getPath() for d in folders for f in sorted(fs.listStatus(d), key=lambda f: f.getPath().getName()) if f.getPath().getName().startswith("part-")]
+    pieces.append(b"]}\n")
+    replaced(spark, path, pieces)
+
+
 def write_by_split(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").partitionBy("split").text(path)
 
