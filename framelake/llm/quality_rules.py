@@ -141,6 +141,10 @@ def covered(hashes: Column, n: int) -> Column:
     )
 
 
+#: What a verdict has.
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio_sum", "n_grams", "base_failed", "kept")
+
+
 def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
     """A struct of n_words, the base counts, base_failed, ratio_sum, n_grams and kept.
 
@@ -157,15 +161,17 @@ def verdict(text: Column, model: RatioModel, min_ratio: float) -> Column:
     def judge(c: Column) -> Column:
         failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
         kept = ~failed & (c["ratio_sum"] >= c["n_grams"] * F.lit(round(min_ratio * SCALE)))
-        fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio_sum", "n_grams")
-        return F.struct(*[c[k].alias(k) for k in fields], failed.alias("base_failed"), kept.alias("kept"))
+        return F.struct(*[c[k].alias(k) for k in FIELDS[:-2]], failed.alias("base_failed"), kept.alias("kept"))
 
     return let(let(hashed(words(text)), measured), judge)
 
 
 def judged(docs: DataFrame, model: RatioModel, *, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """docs (doc_id, text) and the fields of its verdict."""
-    return docs.withColumn("_verdict", verdict(text_or_empty(), model, min_ratio)).select(*docs.columns, "_verdict.*")
+    """docs (doc_id, text) and the fields of its verdict, which take the place of columns with their names."""
+    own, name = [c for c in docs.columns if c not in FIELDS], "_verdict"
+    while name in own:
+        name += "_"
+    return docs.withColumn(name, verdict(text_or_empty(), model, min_ratio)).select(*[F.col(f"`{c}`") for c in own], f"{name}.*")
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:

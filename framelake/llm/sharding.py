@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import Scratch, checked, documents
+from framelake.llm.common import Scratch, checked, documents, packed
 
 LIMIT_BYTES = 1 << 20
 BITS = 60
@@ -81,9 +81,17 @@ def assign(docs: DataFrame, *, key: str = "doc_id", limit: int = LIMIT_BYTES) ->
 
 
 def write(docs: DataFrame, path: str, *, key: str = "doc_id", limit: int = LIMIT_BYTES) -> None:
-    """docs as Parquet, a folder a shard; rows of a shard are written by one task (or few, if split as skewed)."""
-    shards = assign(docs, key=key, limit=limit).select(F.col(key).alias("_key"), "shard").distinct()
-    docs.join(shards, docs[key].eqNullSafe(F.col("_key"))).drop("_key").hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+    """docs as Parquet, a folder a shard; rows of a shard are written by one task (or few, if split as skewed).
+
+    The folders' column is `shard`; a column of docs with that name is written with underscores behind it.
+    """
+    shards = assign(docs, key=key, limit=limit).select(F.col(key).alias("_key"), F.col("shard").alias("_shard")).distinct()
+    rows = packed(docs, F.col(key).alias("_own")).join(shards, F.col("_own").eqNullSafe(F.col("_key")))
+    free = "shard_"
+    while free in docs.columns:
+        free += "_"
+    rows = rows.select(*[F.col("_row").getField(c).alias(free if c == "shard" else c) for c in docs.columns], F.col("_shard").alias("shard"))
+    rows.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

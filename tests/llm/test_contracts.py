@@ -182,3 +182,78 @@ def test_time_is_in_proportion_to_texts_that_look_like_keys():
     for unit in ("MIIEvQIBADAN", "MIIEvQIBADAN" * 5 + "\n", "b3BlbnNzaC1rZXktdjEA", "MIIEvQIBADAN-_", "MIKEvQIBADCB"):
         small, large = (min(took(unit * (size // len(unit))) for _ in range(2)) for size in (100_000, 800_000))
         assert large < 16 * small + 0.1, unit
+
+
+def test_op2_against_a_plain_fit(spark):
+    """The ranker's weights are where plain gradient descent on the same preference pairs ends, and held-out labels are met."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    texts_of = {r.doc_id: r.text for r in docs.where(docs.doc_id.isin(list(labels))).collect()}
+    ids = sorted(i for i in texts_of if zlib.crc32(str(i).encode()) % 5)
+    x, y = ranking.features([texts_of[i] for i in ids]).astype(np.float64), np.array([labels[i] for i in ids])
+    own = ranking.fit_pairs(x, y)
+
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0) > 1e-9, x.std(0), 1), -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng = np.random.default_rng(5)
+    few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
+    left, right = np.repeat(few, ranking.PAIRS_EACH), rng.choice(many, len(few) * ranking.PAIRS_EACH)
+    d = z[right] - z[left] if few is bad else z[left] - z[right]  # better minus worse, a row a pair
+    w, rate = np.zeros(d.shape[1]), 1 / (ranking.RIDGE + 0.25 * np.linalg.norm(d, 2) ** 2 / len(d))
+    momentum = w.copy()
+    for k in range(5_000):
+        slope = ranking.RIDGE * momentum - (d / (1 + np.exp(np.clip(d @ momentum, -35, 35)))[:, None]).mean(0)
+        after = momentum - rate * slope
+        momentum, w = after + k / (k + 3) * (after - w), after
+    assert np.corrcoef(z @ own.weights, z @ w)[0, 1] > 0.999 and np.abs(own.weights - w).max() < 0.02 * np.abs(w).max()
+
+    found = {r.doc_id: r.predicted for r in ranking.op2(spark, "/root/testdata/sf0.01").collect()}
+    held = [i for i in texts_of if not zlib.crc32(str(i).encode()) % 5]
+    assert len(held) > 50 and np.mean([found[i] == labels[i] for i in held]) >= 0.95
+
+
+def test_op7_as_a_query(spark, tmp_path):
+    rng = random.Random(8)
+    rows_ = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 50, 400, 3_000]))), rng.choice(["a", "a", "a", "b", "c", "é", None])) for i in range(150)] + [(900, None, "z")]
+    spark.createDataFrame(rows_, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    from framelake.llm import mixing
+
+    found = got(mixing.op7(spark, str(tmp_path)))
+    again = got(mixing.op7(spark, str(tmp_path)))
+    assert found == again and found.keys() == {r[0] for r in rows_}
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows_}
+    by = collections.Counter()
+    for i, _, s in rows_:
+        by[s] += size[i]
+    # Plain targets: shares by weight, and what is above a cap goes to the others until none is.
+    order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    capped, left, target = set(), 1.5 * sum(by.values()), {}
+    while True:
+        free = [s for s in order if s not in capped]
+        rest = left - sum(2 * by[s] for s in capped)
+        target = {s: 2.0 * by[s] for s in capped} | {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if target[s] > 2 * by[s]}
+        if not over:
+            break
+        capped |= over
+    taken = collections.Counter()
+    for i, _, s in rows_:
+        r = found[i]
+        taken[s] += r.taken
+        assert (r.size, r.source_size) == (size[i], by[s]) and 0 <= r.taken <= 2 * r.size and abs(r.target - target[s]) < 1e-6
+    assert all(abs(taken[s] - target[s]) < 1 for s in order)
+
+
+def test_columns_that_clash(spark, tmp_path):
+    from framelake.llm import quality_rules, sharding
+
+    docs = spark.createDataFrame([(i, f"some words of text number {i} that go on and on", "old", "x", "y", True) for i in range(20)], "doc_id long, text string, shard string, shard_ string, _verdict string, kept boolean")
+    sharding.write(docs, str(tmp_path / "s"), limit=100)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 20 and {r.shard__ for r in back.collect()} == {"old"} and {r.shard_ for r in back.collect()} == {"x"} and back.select("shard").distinct().count() > 1
+    model = quality_rules.fit(docs, spark.createDataFrame([(1,)], "doc_id long"))
+    judged = quality_rules.judged(docs, model)
+    assert len(judged.columns) == len(set(judged.columns)) and {r._verdict for r in judged.collect()} == {"y"} and judged.where("n_words = 11").count() == 20
