@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.names import map_class
-from framelake.operators.order import ranked
+from framelake.operators.frames import frames_at
+from framelake.operators.order import parted, ranked, running
 
 
 def bucketed(annotations: DataFrame, name: str, rules=None) -> DataFrame:
@@ -120,27 +121,30 @@ def class_label(class_id: Column, names: Column) -> Column:
     return F.coalesce(at, F.concat(F.lit("class_"), class_id.cast("string")))
 
 
+#: Places of others that are searched together.
+BUCKET = 1_000
+
+
 def other_group_pick(items: DataFrame, pool: DataFrame, *, group: str, item: str, choice: str, seed: str) -> DataFrame:
     """JOIN-08: for each item a pool entry of another group, by hash order; one of any group if no other is there, null without a pool.
 
     The pool is ranked by hash. The k-th entry that is not of a group has a rank that
-    grows by one behind each entry of the group, so an item finds it by the group's
-    own entries, and then by rank: nothing is gathered, crossed or broadcast but a count.
+    grows by one behind each entry of the group, so an item finds it by the last of the
+    group's own entries that k lies behind (an as-of join in buckets of k, so that a hot
+    group is spread), and then by rank: nothing is gathered, crossed or broadcast but a count.
     """
     text = lambda c: F.md5(F.concat_ws("|", F.lit(seed), F.col(c).cast("string")).cast("binary"))
     entries = ranked(pool.select(F.col(group).alias("_g"), F.col(choice).alias("background"), text(choice).alias("_h")), F.col("_h"), F.col("background"), F.col("_g"), name="_rank")
     total = entries.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(0))
-    own = Window.partitionBy("_g").orderBy("_rank")
     sizes = entries.groupBy("_g").agg(F.count(F.lit(1)).alias("_m"))
-    # Behind j entries of its own, a group sees the places lo to hi - 1 of the others.
-    behind = entries.select("_g", F.row_number().over(own).alias("_j"), "_rank", F.lead("_rank").over(own).alias("_next"))
-    steps = behind.select("_g", "_j", (F.col("_rank") - F.col("_j")).alias("_lo"), (F.col("_next") - 1 - F.col("_j")).alias("_hi"))
-    first = behind.where("_j = 1").select("_g", F.lit(0).alias("_j"), F.lit(0).cast("long").alias("_lo"), (F.col("_rank") - 1).alias("_hi"))
-    steps = steps.unionByName(first)
+    # Behind j entries of its own, a group sees the places from rank - j on of the others.
+    numbered = running(parted(entries.select("_g", "_rank"), F.col("_g"), F.col("_rank")), {"_j": F.lit(1).cast("long")}, by=["_g"], order=[F.col("_rank")])
+    steps = numbered.where(F.col("_g").isNotNull()).select(F.col("_g").alias("_of"), (F.col("_rank") - F.col("_j")).cast("double").alias("_lo"), "_j")
     rows = items.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one").join(sizes.withColumnRenamed("_g", "_s"), F.col(group) == F.col("_s"), "left")
     others = F.col("_n") - F.coalesce("_m", F.lit(0))
     at = F.conv(F.substring(text(item), 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_others", others).withColumn("_k", F.when(F.col("_n") > 0, F.pmod(at, F.when(F.col("_others") > 0, F.col("_others")).otherwise(F.greatest("_n", F.lit(1))))))
-    here = (F.col(group) == F.col("_g")) & (F.col("_others") > 0) & (F.col("_k") >= F.col("_lo")) & (F.col("_k") < F.coalesce("_hi", F.col("_others")))
-    rows = rows.join(steps, here, "left").withColumn("_at", F.col("_k") + F.coalesce("_j", F.lit(0)) + 1)
+    asked = rows.where("_others > 0").select(F.col(group).alias("_of"), F.col("_k").cast("double").alias("_place")).where("_of is not null").distinct()
+    behind = frames_at(steps, asked, by="_of", seconds="_lo", at="_place", bucket=float(BUCKET)).select("_of", "_place", "_j")
+    rows = rows.join(behind, (F.col(group) == F.col("_of")) & (F.col("_k").cast("double") == F.col("_place")) & (F.col("_others") > 0), "left").withColumn("_at", F.col("_k") + F.coalesce("_j", F.lit(0)) + 1)
     return rows.select(*items.columns, "_at").join(entries.select("_rank", "background"), F.col("_at") == F.col("_rank"), "left").select(*items.columns, "background")

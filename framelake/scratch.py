@@ -23,12 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one operator run in the shared folder; they outlive executors."""
+    """Parquet tables of one operator run in the shared folder; they outlive executors, and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
     def save(self, df: DataFrame, **options: str) -> DataFrame:
         self.made += 1
