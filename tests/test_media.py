@@ -144,7 +144,7 @@ def test_decoder_probe_and_model(spark):
 
 
 def test_catalogue(spark):
-    answers = {"u/hives": ["h 1", "h2"], "u/hives/h 1/days": ["6/1/2025"], "u/hives/h2/days": {"no": "list"}, "u/hives/h 1/days/2025-06-01/times": ["3:04 pm", "10:00:00"]}
+    answers = {"u/hives": ["h 1", "h2"], "u/hives/h 1/days": ["6/1/2025"], "u/hives/h2/days": {"no": "list"}, "u/hives/h 1/days/2025-06-01/times": ["3:04:00 pm", "10:00:00"]}
     with media.Catalogue(spark, answers.__getitem__, "u") as c:
         days = c.days(c.hives()).cache()
         assert [(r.hive, r.day, r.error is None) for r in days.orderBy("hive").collect()] == [("h 1", "2025-06-01", True), ("h2", None, False)]
