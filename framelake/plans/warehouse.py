@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelake import sources
 from framelake.functions import names, numbers
 from framelake.operators import annotations as ops
 from framelake.operators import evaluate, quality
 from framelake.plans.tables import table
+from framelake.sources import sinks
 
 #: A rule table for part names, in the form of the class rules.
 PART_RULES = (("large", "drone"), ("small", "enemy"), ("gear", "worker"), ("red", "worker"), ("gizmo", "worker"))
@@ -173,9 +175,31 @@ def box_forms(spark, sf_dir):
     return out.select("key", "image_id", *"xywh", "c.x1", "c.x2", F.col("c.left").alias("pad_left"), F.col("c.right").alias("pad_right"), F.get("b", F.lit(2)).alias("bx2"), F.get("b", F.lit(3)).alias("by2"), "center")
 
 
+def audit_report(spark, sf_dir):
+    """SNK-15: orders as images, their lines as annotations."""
+    source = lambda c: F.concat(F.lit("source_"), F.pmod(c, F.lit(7)).cast("string")).alias("source")
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("split"), source("o_custkey"))
+    labels = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("split"), source("l_suppkey"), F.col("l_returnflag").alias("label"))
+    return sinks.audit_report(images, labels, ["A", "N", "R"])
+
+
+def fetch_plan(spark, sf_dir):
+    """SRC-21: orders as projects that ask for a version, their lines as versions, and as files that are there."""
+    key = F.col("o_orderkey")
+    asked = F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, F.lit("latest")).when(key % 4 == 2, (key % 9).cast("string")).otherwise(F.col("o_orderstatus"))
+    ws, pr = lambda c: F.concat(F.lit("w"), (F.col(c) % 7).cast("string")).alias("workspace"), lambda c: F.col(c).cast("string").alias("project")
+    registry = table(spark, sf_dir, "orders").select(ws("o_orderkey"), pr("o_orderkey"), asked.alias("version"))
+    lines = table(spark, sf_dir, "lineitem").select(ws("l_orderkey"), pr("l_orderkey"), "l_linenumber", "l_linestatus", "l_partkey", "l_quantity")
+    versions = lines.select("workspace", "project", F.col("l_linenumber").alias("place"), (F.lit(8) - F.col("l_linenumber")).alias("number"), F.col("l_linestatus").alias("name"))
+    split = F.element_at(F.array(*map(F.lit, ("train", "valid", "test"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    name = F.when(F.col("l_quantity") > 15, "_annotations.coco.json").otherwise("a.jpg")
+    files = lines.where("l_partkey % 2 = 0").select(F.concat_ws("/", F.lit("/raw"), F.concat_ws("__", "workspace", "project"), split, name).alias("path"), name.alias("name"))
+    return sources.fetch_plan(sources.chosen_versions(registry, versions), files)
+
+
 QUERIES = {f.__name__: f for f in (
     class_map_rules, class_counts, dropped_classes, merge_annotations, merge_reassign_ids, project_records, audit_grouping_sets, audit_pivot_percent, collect_per_image, detection_labels,
-    background_other_group, iou_join, coco_ap, prf1_by_class, quality_rules_long, quality_failures, preflight, foreign_keys, overlay_left_join, set_ops, union_sources, box_forms,
+    background_other_group, iou_join, coco_ap, prf1_by_class, quality_rules_long, quality_failures, preflight, foreign_keys, overlay_left_join, set_ops, union_sources, box_forms, audit_report, fetch_plan,
 )}
 _CASE = "CASE " + " ".join(f"WHEN contains(lower(p_name), '{n}') THEN '{b}'" for n, b in PART_RULES) + " END"
 _A = f"a AS (SELECT l_orderkey AS image_id, p_name, {_CASE} AS bucket FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -200,6 +224,24 @@ GROUP BY GROUPING SETS ((l_linestatus), (l_returnflag), (l_linestatus, l_returnf
     "audit_pivot_percent": """
 SELECT l_linestatus, count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'N') AS n_n, count(*) FILTER (l_returnflag = 'R') AS n_r, count(*) AS total,
        round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM lineitem GROUP BY 1""",
+    "audit_report": """
+WITH i AS (SELECT o_orderstatus AS split, 'source_' || o_custkey % 7 AS source, 1 AS im, 0 AS an, NULL AS label FROM orders
+           UNION ALL SELECT l_linestatus, 'source_' || l_suppkey % 7, 0, 1, l_returnflag FROM lineitem),
+s AS (SELECT split, source, sum(im)::BIGINT AS im, sum(an)::BIGINT AS an, count(*) FILTER (label = 'A') AS a, count(*) FILTER (label = 'N') AS n, count(*) FILTER (label = 'R') AS r FROM i GROUP BY GROUPING SETS ((split), (source))),
+c AS (SELECT label, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percent FROM i WHERE label IN ('A', 'N', 'R') GROUP BY label)
+SELECT '1 images' AS section, split AS name, printf('  %-5s: %d', split, im) AS line FROM s WHERE split IS NOT NULL
+UNION ALL SELECT '2 annotations', split, printf('  %-5s: %d', split, an) FROM s WHERE split IS NOT NULL
+UNION ALL SELECT '3 classes', label, printf('  %-6s %6d  %5.1f%%', label, n, percent) FROM c
+UNION ALL SELECT '4 splits', split, printf('  %-5s: A=%d, N=%d, R=%d', split, a, n, r) FROM s WHERE split IS NOT NULL
+UNION ALL SELECT '5 sources', source, printf('  %-48s %7d %7d  %7d  %7d  %7d', source, im, an, a, n, r) FROM s WHERE source IS NOT NULL""",
+    "fetch_plan": """
+WITH q AS (SELECT 'w' || o_orderkey % 7 AS workspace, o_orderkey::VARCHAR AS project, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'latest' WHEN 2 THEN (o_orderkey % 9)::VARCHAR ELSE o_orderstatus END AS version, o_orderkey AS k FROM orders),
+v AS (SELECT q.k, min((l_linenumber, 8 - l_linenumber, l_linestatus)) AS b FROM q JOIN lineitem ON l_orderkey = q.k
+      WHERE version IS NULL OR version = 'latest' OR version = (8 - l_linenumber)::VARCHAR OR version = l_linestatus GROUP BY q.k),
+p AS (SELECT l_orderkey AS k, l_partkey % 3 AS part, bool_or(l_quantity > 15) AS has FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY ALL),
+d AS (SELECT k, bool_and(has) AND bool_or(has AND part = 0) AS whole FROM p GROUP BY k)
+SELECT workspace, project, version, workspace || '__' || project AS slug, b[2]::BIGINT AS number, b[3] AS name, CASE WHEN whole THEN 'skip' WHEN b IS NULL THEN 'fail' ELSE 'get' END AS action,
+       d.k IS NOT NULL AND NOT whole AND b IS NULL AS clean FROM q LEFT JOIN v USING (k) LEFT JOIN d USING (k)""",
     "collect_per_image": """
 WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, string_agg(l_returnflag || ':' || n, ',' ORDER BY l_returnflag) AS counts, sum(n)::BIGINT AS total FROM c GROUP BY 1""",

@@ -173,10 +173,47 @@ def item(rows: DataFrame, idx: int, order: str) -> DataFrame:
 
 
 def complete(files: DataFrame, splits: tuple[str, ...] = ("train", "valid", "test"), name: str = "_annotations.coco.json") -> DataFrame:
-    """SRC-21: the folders (slug) of which a split's annotation document is there; others have to be fetched."""
+    """SRC-21: the folders (slug) that are whole: each split's folder that is there has its annotation document, and the first split's is there.
+
+    files: path and name; folders without files aren't seen. Others have to be fetched.
+    """
     parts = F.split("path", "/")
-    here = files.where((F.col("name") == name) & F.element_at(parts, -2).isin(*splits))
-    return here.select(F.element_at(parts, -3).alias("slug")).distinct()
+    here = files.select(F.try_element_at(parts, F.lit(-3)).alias("slug"), F.try_element_at(parts, F.lit(-2)).alias("_split"), (F.col("name") == name).alias("_doc"))
+    each = here.where(F.col("slug").isNotNull() & F.col("_split").isin(*splits)).groupBy("slug", "_split").agg(F.bool_or(F.coalesce("_doc", F.lit(False))).alias("_has"))
+    whole = each.groupBy("slug").agg(F.bool_and("_has").alias("_all"), F.bool_or(F.col("_has") & (F.col("_split") == splits[0])).alias("_first"))
+    return whole.where("_all and _first").select("slug")
+
+
+def chosen_versions(registry: DataFrame, versions: DataFrame) -> DataFrame:
+    """SRC-21: each row of the registry (workspace, project, version) with the version that it names: slug, number, name; both null if there is none.
+
+    versions: workspace, project, place (0 is the one that the hub lists first), number,
+    name. A null version, or `latest`, is the first listed; digits are a number;
+    anything else is a name. Of equal numbers or names the first listed counts.
+    """
+    asked = registry.select("workspace", "project", "version").distinct()
+    named = versions.select(F.col("workspace").alias("_ws"), F.col("project").alias("_pr"), F.struct("place", F.col("number").cast("long").alias("number"), "name").alias("_v"))
+    v = F.col("version")
+    latest, digits = v.isNull() | (v == "latest"), v.rlike("^[0-9]+$")
+    hit = F.when(latest, True).when(digits, F.col("_v.number") == F.expr("try_cast(version AS bigint)")).otherwise(F.col("_v.name") == v)
+    found = asked.join(named, (F.col("workspace") == F.col("_ws")) & (F.col("project") == F.col("_pr")), "left").groupBy("workspace", "project", "version").agg(F.min(F.when(hit, F.col("_v"))).alias("_v"))
+    return found.select("workspace", "project", "version", F.concat_ws("__", "workspace", "project").alias("slug"), F.col("_v.number").alias("number"), F.col("_v.name").alias("name"))
+
+
+def fetch_plan(chosen: DataFrame, files: DataFrame, *, overwrite: bool = False) -> DataFrame:
+    """SRC-21: what a download does with each chosen version: `action` and whether the folder is removed before (`clean`).
+
+    `skip` if the folder is whole and not to be overwritten, else `get`, or `fail` if
+    the hub has no such version; `clean` if the folder is there and is to be
+    overwritten, or belongs to one that fails. files are those below the folders.
+    """
+    slug = F.try_element_at(F.split("path", "/"), F.lit(-3))
+    there = files.select(slug.alias("slug")).distinct().withColumn("_there", F.lit(True))
+    joined = chosen.join(there, "slug", "left").join(complete(files).withColumn("_whole", F.lit(True)), "slug", "left")
+    skip = F.col("_whole").isNotNull() & F.lit(not overwrite)
+    action = F.when(skip, "skip").when(F.col("number").isNull() & F.col("name").isNull(), "fail").otherwise("get")
+    clean = F.col("_there").isNotNull() & ~skip & (F.lit(overwrite) | (action == "fail"))
+    return joined.select(*chosen.columns, action.alias("action"), clean.alias("clean"))
 
 
 def checkpoint(files: DataFrame, named: str | None = None) -> DataFrame:

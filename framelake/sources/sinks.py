@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.names import to_tenths
 
 def append_manifest(records: DataFrame, path: str, batch: int) -> None:
     """SNK-01: null fields are left out; batch, which grows from call to call, and the record's number in it order the records."""
@@ -96,6 +97,37 @@ def ranked_report(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", line.alias("line"))
 
 
+def audit_report(images: DataFrame, annotations: DataFrame, classes: list[str]) -> DataFrame:
+    """SNK-15: the audit of a merged dataset as lines (section, name, line), to be read by section and name.
+
+    images: split, source; annotations: split, source, label. Sections: `1 images` and
+    `2 annotations` by split, `3 classes` with their share in percent (0.0 without
+    annotations), `4 splits` and `5 sources` with counts by class, 0 by default.
+    Labels beyond `classes` count in totals only. Both tables are read once and
+    counted map-side; everything after is as small as the report.
+    """
+    n_images = images.groupBy("split", "source").agg(F.count(F.lit(1)).alias("_i"))
+    each = [F.count_if(F.col("label") == c).alias(f"_c{k}") for k, c in enumerate(classes)]
+    n_labels = annotations.groupBy("split", "source").agg(F.count(F.lit(1)).alias("_a"), *each)
+    counts = [f"_c{k}" for k in range(len(classes))]
+    zero = [F.lit(0).cast("long").alias(c) for c in ("_a", *counts)]
+    both = n_images.select("split", "source", "_i", *zero).unionByName(n_labels.withColumn("_i", F.lit(0).cast("long")))
+    added = [F.sum(c).alias(c) for c in ("_i", "_a", *counts)]
+    splits, sources, whole = both.groupBy("split").agg(*added), both.groupBy("source").agg(*added), both.agg(*added).na.fill(0)
+    row = lambda section, name, line: F.struct(F.lit(section).alias("section"), name.alias("name"), line.alias("line"))
+    listed = F.concat_ws(", ", *[F.format_string(f"{c.replace('%', '%%')}=%d", n) for c, n in zip(classes, counts)])
+    by_split = F.array(
+        row("1 images", F.col("split"), F.format_string("  %-5s: %d", "split", "_i")), row("2 annotations", F.col("split"), F.format_string("  %-5s: %d", "split", "_a")),
+        row("4 splits", F.col("split"), F.concat(F.format_string("  %-5s: ", "split"), listed)),
+    )
+    wide = F.format_string("  %-48s %7d %7d  " + "  ".join(["%7d"] * len(classes)), "source", "_i", "_a", *counts)
+    labelled = sum((F.col(c) for c in counts), F.lit(0))
+    share = lambda n: to_tenths(F.coalesce(100.0 * F.col(n) / F.nullif(labelled, F.lit(0)), F.lit(0.0)))
+    by_class = F.array(*[row("3 classes", F.lit(c), F.format_string("  %-6s %6d  %5.1f%%", F.lit(c), n, share(n))) for c, n in zip(classes, counts)])
+    parts = [whole.select(F.inline(by_class)), splits.select(F.inline(by_split)), sources.select(F.inline(F.array(row("5 sources", F.col("source"), wide))))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def probe_report(rows: DataFrame, path: str) -> None:
     """SNK-14: probe rows as lines, those that failed with their `errors`."""
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -121,6 +121,35 @@ def test_groups_items_and_complete(spark):
     assert [r.slug for r in sources.complete(files).collect()] == ["a"]
 
 
+def test_hub_versions_and_plan(spark):
+    doc = "_annotations.coco.json"
+    paths = [f"/raw/w__whole/train/{doc}", f"/raw/w__whole/test/{doc}", "/raw/w__whole/other/x", f"/raw/w__half/train/{doc}", "/raw/w__half/valid/1.jpg", f"/raw/w__late/test/{doc}", "/raw/w__gone/train/1.jpg", "x"]
+    files = spark.createDataFrame([(p, p.rpartition("/")[2]) for p in paths], "path string, name string")
+    assert [r.slug for r in sources.complete(files).collect()] == ["w__whole"]
+    versions = spark.createDataFrame([("w", p, i, n, name) for p in ("whole", "half", "late") for i, (n, name) in enumerate([(3, "best"), (2, "b"), (10, "b")])], "workspace string, project string, place int, number int, name string")
+    registry = spark.createDataFrame([("w", "whole", None), ("w", "half", "10"), ("w", "late", "b"), ("w", "late", "latest"), ("w", "gone", "1"), ("w", "half", "99999999999999999999"), ("w", "half", "10")], "workspace string, project string, version string")
+    chosen = sources.chosen_versions(registry, versions)
+    plan = lambda **options: {(r.project, r.version): (r.number, r.name, r.action, r.clean) for r in sources.fetch_plan(chosen, files, **options).collect()}
+    missing = (None, None, "fail", True)
+    rest = {("gone", "1"): missing, ("half", "99999999999999999999"): missing}
+    assert plan() == rest | {("whole", None): (3, "best", "skip", False), ("half", "10"): (10, "b", "get", False), ("late", "b"): (2, "b", "get", False), ("late", "latest"): (3, "best", "get", False)}
+    assert plan(overwrite=True) == rest | {("whole", None): (3, "best", "get", True), ("half", "10"): (10, "b", "get", True), ("late", "b"): (2, "b", "get", True), ("late", "latest"): (3, "best", "get", True)}
+    assert chosen.count() == 6 and sources.fetch_plan(chosen.where("false"), files).count() == sources.complete(files.where("false")).count() == 0
+
+
+def test_audit_report(spark):
+    images = spark.createDataFrame([("train", "a"), ("train", "b"), ("val", None)], "split string, source string")
+    labels = spark.createDataFrame([("train", "a", "x%")] * 7 + [("train", "b", "y"), ("test", "b", "z")], "split string, source string, label string")
+    rows = sinks.audit_report(images, labels, ["x%", "y", "none"])
+    lines = {(r.section, r.name): r.line for r in rows.collect()}
+    assert lines["1 images", "train"] == "  train: 2" and lines["1 images", "test"] == "  test : 0" and lines["2 annotations", "test"] == "  test : 1"
+    assert [lines["3 classes", c] for c in ("x%", "y", "none")] == [f"  {c:<6} {n:>6}  {100.0 * n / 8:5.1f}%" for c, n in (("x%", 7), ("y", 1), ("none", 0))]
+    assert lines["4 splits", "train"] == "  train: x%=7, y=1, none=0"
+    assert lines["5 sources", "b"] == f"  {'b':<48} {1:>7} {2:>7}  {0:>7}  {1:>7}  {0:>7}" and ("5 sources", None) in lines
+    empty = sinks.audit_report(images.where("false"), labels.where("false"), ["x%"]).collect()
+    assert [tuple(r) for r in empty] == [("3 classes", "x%", f"  {'x%':<6} {0:>6}  {0.0:5.1f}%")]
+
+
 def test_decoder_probe_and_model(spark):
     def decode(path):
         for k in range(3):
