@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from framelake.functions.checks import positive
 from framelake.operators import pixels as rows_of
 from framelake.operators.raster import FOREGROUND, SHADOW, gaussian
+from framelake.scratch import Scratch
 
 #: Weights of a blur are whole numbers of 1 / BLUR_UNIT.
 BLUR_UNIT = 1 << 16
@@ -139,7 +140,9 @@ def crop_measures(crops: DataFrame, *, crop: str, channels: list[str]) -> DataFr
     Background is where the mask is neither shadow nor foreground; without any, its
     measures are null. The center is the foreground's pixel farthest from what is
     none, null without foreground. Means and the deviation come from whole sums.
+    Crops are written once, as both the sums and the centers read them.
     """
+    crops = Scratch(crops.sparkSession, "crops").save(crops.select(crop, "y", "x", *channels, *[f"{c}_own" for c in channels], "mask"))
     back, n = ~F.col("mask").isin(SHADOW, FOREGROUND), len(channels)
     on = lambda v: F.sum(F.when(back, v)).cast("decimal(20,0)")
     own = [F.col(c).cast("long") for c in channels]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framelake.plans import analytics, crops, curation, keyframes, media, rasters, text, warehouse
+from framelake.plans import analytics, archive, crops, curation, keyframes, media, rasters, text, warehouse
 
-MODULES = (curation, keyframes, warehouse, text, analytics, media, rasters, crops)
+MODULES = (curation, keyframes, warehouse, text, analytics, media, rasters, crops, archive)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -84,7 +84,7 @@ def backgrounds(files: DataFrame) -> DataFrame:
 
 def frame_index(files: DataFrame) -> DataFrame:
     """SRC-15, FIL-04, SRT-04: frames by name pattern, with their number."""
-    return files.where(F.col("name").rlike(FRAME_NAME)).select(base_name(F.col("folder")).alias("video"), F.col("path").alias("frame_path"), F.regexp_extract("name", FRAME_NAME, 1).cast("long").alias("frame_idx"), "size_bytes", F.col("mtime").cast("double").alias("mtime"))
+    return files.where(F.col("name").rlike(FRAME_NAME)).select(base_name(F.col("folder")).alias("video"), F.col("path").alias("frame_path"), F.regexp_extract("name", FRAME_NAME, 1).try_cast("long").alias("frame_idx"), "size_bytes", F.col("mtime").cast("double").alias("mtime"))
 
 
 def line_order():
