@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.checks import positive
 from framelake.operators import pixels as rows_of
-from framelake.operators.raster import FOREGROUND, SHADOW, gaussian
+from framelake.operators.raster import FOREGROUND, SHADOW, checked_grid, gaussian
 from framelake.scratch import Scratch
 
 #: Weights of a blur are whole numbers of 1 / BLUR_UNIT.
@@ -72,6 +72,14 @@ def resized_nearest(pixels: DataFrame, *, by: list[str], channels: list[str], he
     return full.select(*by, F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), *channels)
 
 
+def enlarged(patches: DataFrame, *, by: str, place: str, rows: int, columns: int, channels: list[str], height: int, width: int) -> DataFrame:
+    """IMG-16, JOIN-13: (by, y, x, channels): the patches of each grid as a raster, each as large as its share; a grid that isn't full is an error as the query runs."""
+    positive(rows=rows, columns=columns, height=height, width=width)
+    placed = checked_grid(patches.select(by, place, *channels), by=by, place=place, rows=rows, columns=columns)
+    grid = placed.select(by, F.col("row").alias("y"), F.col("col").alias("x"), *channels, F.lit(rows).alias("h"), F.lit(columns).alias("w"))
+    return resized_nearest(grid, by=[by], channels=channels, height=height, width=width)
+
+
 def resized_area(pixels: DataFrame, *, by: list[str], channels: list[str], height: Column | int, width: Column | int) -> DataFrame:
     """IMG-01: (by, y, x, channels) in another size (numbers, or columns of pixels): means over what a new pixel covers, rounded half to even.
 

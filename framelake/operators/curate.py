@@ -119,8 +119,9 @@ def sampled(rows: DataFrame, *, seed: str, keys: list[str], n: int) -> DataFrame
 
 
 def pick_one(items: Column, seed: Column) -> Column:
-    """SRT-08: one element of an array, by hash."""
-    return F.when(F.size(items) > 0, F.element_at(items, (F.pmod(F.xxhash64(seed), F.size(items)) + 1).cast("int")))
+    """SRT-08: one element of an array, by the MD5 of the seed as text (null: empty), so that engines agree; null if there is none."""
+    at = F.conv(F.substring(F.md5(F.coalesce(seed.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.when(F.size(items) > 0, F.element_at(items, (at % F.size(items) + 1).cast("int")))
 
 
 def allowed(rows: DataFrame, column: str, names: str | None) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from framelake import sources
 from framelake.functions import names
-from framelake.operators import curate, frames, quality, raster
-from framelake.plans import crops
+from framelake.operators import crop_rows, curate, frames, pixels, quality, raster
+from framelake.plans import crops, rasters
 from framelake.plans.rasters import FRAME_AREA, FRAME_WIDE
 from framelake.plans.tables import table
 from framelake.scratch import Scratch
@@ -129,8 +129,59 @@ def hub_pairs(spark, sf_dir):
     return sources.pairs(lines)
 
 
+def rewritten_videos(spark, sf_dir):
+    """SNK-08/17: recordings of which some are written again, which replaces those and leaves the others."""
+    path = f"{Scratch(spark, 'videos').root}/frames"
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_idx"), "value", F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string")).alias("video"))
+    sinks.replace_videos(ev.where("frame_idx % 2 = 0"), path)
+    sinks.replace_videos(ev.where("frame_idx % 2 = 1 and video in ('h1', 'h2', 'h3')"), path)
+    return spark.read.parquet(path)
+
+
+def new_videos(spark, sf_dir):
+    """SNK-07: frames of recordings that aren't there yet."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("video"))
+    return sinks.skip_existing(ev, table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("video")))
+
+
+def probe_lines(spark, sf_dir):
+    """SNK-02/13/14: probe rows written as lines, with nulls, and read again."""
+    path = f"{Scratch(spark, 'probe').root}/lines"
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("duration"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('no "video"\n'), "event_type")).alias("errors"))
+    sinks.probe_report(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def picked_components(spark, sf_dir):
+    """FIL-05/06, SRT-08: one component of each raster that has any, by the raster's number."""
+    boxes = pixels.component_boxes(rasters.masks(spark, sf_dir, F.col("value") < 20), raster="raster", min_area=2)
+    listed = boxes.groupBy("raster").agg(F.sort_array(F.collect_list(F.struct("first_y", "first_x", "x", "y", "w", "h", "area"))).alias("boxes"))
+    return listed.select("raster", curate.pick_one(F.col("boxes"), F.col("raster")).alias("b")).select("raster", "b.x", "b.y", "b.w", "b.h", "b.area")
+
+
+def enlarged_patches(spark, sf_dir):
+    """IMG-16, JOIN-13: full grids of 5 x 4 patches as rasters of 11 x 14."""
+    i = F.col("event_id")
+    p = table(spark, sf_dir, "events").select(F.floor(i / 20).alias("frame"), (i % 20).alias("place"), (F.floor("value") % 256).cast("int").alias("r"), (F.col("user_id") % 256).cast("int").alias("g"))
+    full = p.groupBy("frame").count().where("count = 20").select("frame")
+    return crop_rows.enlarged(p.join(full, "frame", "left_semi"), by="frame", place="place", rows=5, columns=4, channels=["r", "g"], height=11, width=14)
+
+
+def frame_variants(spark, sf_dir):
+    """SNK-12, IMG-11: two forms of each frame, as it is and with its channels reversed."""
+    f = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("frame_idx"), F.array(F.floor("value"), F.col("event_id") % 7, F.lit(3).cast("long")).alias("pixel"))
+    forms = sinks.video_variants(f, {"rgb": F.col("pixel"), "bgr": raster.channels_reversed(F.col("pixel"))})
+    return forms.select("video", "frame_idx", "variant", F.concat_ws(",", F.transform("pixels", lambda v: v.cast("string"))).alias("pixels"))
+
+
+def last_backgrounds(spark, sf_dir):
+    """SNK-09: the model after the last frame of each recording."""
+    return sinks.background_rows(table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("idx"), F.col("value").alias("background")))
+
+
 QUERIES = {f.__name__: f for f in (
     archive_samples, archive_backgrounds, frame_index_summary, archive_totals, frame_places, listed_but_missing, manifest_state, overlay_pixels, swap_ratio, same_names, items_at, threshold_names, retry_after, hub_pairs,
+    rewritten_videos, new_videos, probe_lines, picked_components, enlarged_patches, frame_variants, last_backgrounds,
 )}
 _STEM = "printf('frame_%06d_t%08.1fs', event_id, event_id / 2.0::DOUBLE)"
 _FILES = f"""ev AS (SELECT event_id, value, user_id, '{ROOT}/v' || user_id AS folder, {_STEM} AS stem, 1000 + event_id % 77 AS size, event_id * 0.25::DOUBLE AS mtime FROM events),
@@ -168,4 +219,18 @@ SELECT event_id, printf('%s_t%03d', {_STEM}, round_even(event_id % 101 / 100.0::
     "retry_after": f"""
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 100 / 4.0::DOUBLE WHEN 1 THEN greatest(0.0::DOUBLE, epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '{NOW}')) ELSE 0.0::DOUBLE END AS seconds FROM events""",
     "hub_pairs": "SELECT 'w' || p_partkey % 9 AS workspace, split_part(p_name, '/', 1) AS project FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT split_part(p_name, '/', 1), split_part(p_name, '/', 2) FROM part WHERE p_partkey % 4 = 0 AND contains(p_name, '/')",
+    "rewritten_videos": "SELECT event_id AS frame_idx, value, 'h' || user_id % 20 AS video FROM events WHERE event_id % 2 = CASE WHEN user_id % 20 IN (1, 2, 3) THEN 1 ELSE 0 END",
+    "new_videos": "SELECT event_id, user_id AS video FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+    "probe_lines": "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN value END AS duration, CASE WHEN event_id % 4 = 0 THEN 'no \"video\"' || chr(10) || event_type END AS errors FROM events",
+    "picked_components": f"""
+WITH c AS ({rasters.SQL["component_boxes"]}),
+n AS (SELECT *, row_number() OVER (PARTITION BY raster ORDER BY first_y, first_x) - 1 AS place, count(*) OVER (PARTITION BY raster) AS n FROM c)
+SELECT raster, x, y, w, h, area FROM n WHERE place = ('0x' || substr(md5(raster::VARCHAR), 1, 8))::BIGINT % n""",
+    "enlarged_patches": """
+WITH p AS (SELECT event_id // 20 AS frame, event_id % 20 AS place, (floor(value)::INT % 256) AS r, (user_id % 256)::INT AS g, count(*) OVER (PARTITION BY event_id // 20) AS n FROM events)
+SELECT frame, i::INT AS y, j::INT AS x, r, g FROM p, range(11) AS a(i), range(14) AS b(j) WHERE n = 20 AND place = i * 5 // 11 * 4 + j * 4 // 14""",
+    "frame_variants": """
+WITH f AS (SELECT user_id AS video, event_id AS frame_idx, floor(value)::BIGINT AS a, event_id % 7 AS b FROM events)
+SELECT video, frame_idx, 'rgb' AS variant, a || ',' || b || ',3' AS pixels FROM f UNION ALL SELECT video, frame_idx, 'bgr', '3,' || b || ',' || a FROM f""",
+    "last_backgrounds": "SELECT user_id AS video, max_by(value, event_id) AS background FROM events GROUP BY 1",
 }

@@ -125,3 +125,13 @@ def test_empty_tables(spark, grays):
     none = frame_of(spark, grays).where("k < 0")
     assert crop_rows.blurred(none, by=["k"]).count() == crop_rows.padded(none, by=["k"], channels=["v"], high=2, wide=2).count() == 0
     assert crop_rows.resized_area(none, by=["k"], channels=["v"], height=2, width=2).count() == crop_rows.heatmaps(none, by="k", place="x", value="v", height=2, width=2).count() == 0
+
+
+def test_enlarged(spark):
+    rows = [(k, p, p * 10 + k) for k in (1, 2) for p in range(6)]
+    made = spark.createDataFrame(rows, "k long, p int, v int")
+    found = image_of(crop_rows.enlarged(made, by="k", place="p", rows=2, columns=3, channels=["v"], height=4, width=7).collect(), ["v"])
+    for k in (1, 2):
+        assert (found[k] == raster.resized_nearest(np.arange(6).reshape(2, 3) * 10 + k, 4, 7)).all()
+    with pytest.raises(Exception, match="fill a grid"):
+        crop_rows.enlarged(made.where("p < 5"), by="k", place="p", rows=2, columns=3, channels=["v"], height=4, width=7).collect()
