@@ -141,7 +141,7 @@ def rewritten_videos(spark, sf_dir):
 def new_videos(spark, sf_dir):
     """SNK-07: frames of recordings that aren't there yet."""
     ev = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("video"))
-    return sinks.skip_existing(ev, table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("video")))
+    return sinks.skip_existing(ev, table(spark, sf_dir, "events").where("value > 250").select(F.col("user_id").alias("video")))
 
 
 def probe_lines(spark, sf_dir):
@@ -220,7 +220,7 @@ SELECT event_id, printf('%s_t%03d', {_STEM}, round_even(event_id % 101 / 100.0::
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 100 / 4.0::DOUBLE WHEN 1 THEN greatest(0.0::DOUBLE, epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '{NOW}')) ELSE 0.0::DOUBLE END AS seconds FROM events""",
     "hub_pairs": "SELECT 'w' || p_partkey % 9 AS workspace, split_part(p_name, '/', 1) AS project FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT split_part(p_name, '/', 1), split_part(p_name, '/', 2) FROM part WHERE p_partkey % 4 = 0 AND contains(p_name, '/')",
     "rewritten_videos": "SELECT event_id AS frame_idx, value, 'h' || user_id % 20 AS video FROM events WHERE event_id % 2 = CASE WHEN user_id % 20 IN (1, 2, 3) THEN 1 ELSE 0 END",
-    "new_videos": "SELECT event_id, user_id AS video FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+    "new_videos": "SELECT event_id, user_id AS video FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 250)",
     "probe_lines": "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN value END AS duration, CASE WHEN event_id % 4 = 0 THEN 'no \"video\"' || chr(10) || event_type END AS errors FROM events",
     "picked_components": f"""
 WITH c AS ({rasters.SQL["component_boxes"]}),
