@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from framelake.scratch import Scratch
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast.
+
+    Spark plans by the size of the file, and sorted numbers take some hundredths of the
+    memory that they take in a hash table: below the threshold for broadcasts a table would pass
+    through the driver, in each round.
+    """
+    return df.hint("merge")
+
+
 def settled(scratch: Scratch, forest: DataFrame, by: list[str]) -> DataFrame:
     """Each node's root, of a forest (by, node, up, which is the node itself for roots): pointers jump until none moves.
 
@@ -16,7 +26,7 @@ def settled(scratch: Scratch, forest: DataFrame, by: list[str]) -> DataFrame:
     now = scratch.save(forest)
     while True:
         ups = now.select(*by, F.col("node").alias("up"), F.col("up").alias("to"))
-        jumped = scratch.save(now.join(ups, [*by, "up"]).select(*by, "node", F.col("to").alias("up"), (F.col("to") != F.col("up")).alias("moved")))
+        jumped = scratch.save(now.join(by_shuffle(ups), [*by, "up"]).select(*by, "node", F.col("to").alias("up"), (F.col("to") != F.col("up")).alias("moved")))
         scratch.drop(now)
         now = jumped
         if now.where("moved").isEmpty():
@@ -38,13 +48,13 @@ def components(scratch: Scratch, links: DataFrame, by: list[str]) -> DataFrame:
         forest = both.groupBy(*by, "node").agg(F.min("v").alias("_v")).select(*by, "node", F.least("node", "_v").alias("up"))
         ends = settled(scratch, forest, by)
         end = lambda c: ends.select(*by, F.col("node").alias(c), F.col("up").alias(f"_{c}"))
-        after = now.join(end("u"), [*by, "u"]).join(end("v"), [*by, "v"]).where("_u <> _v")
+        after = now.join(by_shuffle(end("u")), [*by, "u"]).join(by_shuffle(end("v")), [*by, "v"]).where("_u <> _v")
         after = scratch.save(after.select(*by, F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
         scratch.drop(now)
         if found is None:
             found = ends
         else:
-            moved = found.withColumnRenamed("up", "_was").join(ends.select(*by, F.col("node").alias("_was"), "up"), [*by, "_was"], "left")
+            moved = found.withColumnRenamed("up", "_was").join(by_shuffle(ends.select(*by, F.col("node").alias("_was"), "up")), [*by, "_was"], "left")
             moved = scratch.save(moved.select(*by, "node", F.coalesce("up", "_was").alias("up")))
             scratch.drop(found, ends)
             found = moved

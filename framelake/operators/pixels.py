@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.checks import positive
-from framelake.operators.graph import components
+from framelake.operators.graph import by_shuffle, components
 from framelake.operators.raster import FOREGROUND
 from framelake.scratch import Scratch
 
@@ -46,9 +46,9 @@ def component_boxes(pixels: DataFrame, *, raster: str, min_area: int = 0) -> Dat
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / CELL), F.floor(b / CELL)))
     above = line.select(raster, (F.col("y") + 1).alias("y"), F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("node").alias("u"), cells(F.col("x1") - 1, F.col("x2") + 1).alias("_cell"))
     below = line.select(raster, "y", "x1", "x2", F.col("node").alias("v"), cells(F.col("x1"), F.col("x2")).alias("_cell"))
-    links = above.join(below, [raster, "y", "_cell"]).where("x1 <= a2 + 1 and a1 <= x2 + 1").select(raster, "u", "v")
+    links = above.join(by_shuffle(below), [raster, "y", "_cell"]).where("x1 <= a2 + 1 and a1 <= x2 + 1").select(raster, "u", "v")
     found = components(scratch, links, [raster])
-    whole = line.join(found, [raster, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    whole = line.join(by_shuffle(found), [raster, "node"], "left").withColumn("root", F.coalesce("root", "node"))
     boxes = whole.groupBy(raster, "root").agg(F.min("x1").alias("x"), F.min("y").alias("y"), F.max("x2").alias("_x2"), F.max("y").alias("_y2"), F.sum(F.col("x2") - F.col("x1") + 1).alias("area"), F.min(F.struct("y", "x1")).alias("_first"))
     size = lambda a, b: (F.col(b) - F.col(a) + 1).cast("int")
     out = boxes.where(F.col("area") >= min_area)

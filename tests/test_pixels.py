@@ -122,3 +122,17 @@ def test_plans_have_no_python_worker(spark, frame):
     for df in (pixels.distances(frame, raster="raster"), pixels.scored_frames(made, by="k", idx="idx"), pixels.runs(frame, raster="raster")):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
+
+
+def test_components_pass_no_table_through_the_driver(spark, tmp_path, monkeypatch):
+    """Files that are small beside what they hold are no side to broadcast, in any round."""
+    plans = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, **kw: plans.append(df) or save(self, df, **kw))
+    made = spark.range(20_000).selectExpr("id div 2500 raster", "int(id % 2500 div 50) y", "int(id % 50) x", "if(hash(id) % 3 = 0, 0, 255) v")
+    out = pixels.component_boxes(made, raster="raster")
+    assert out.count() > 8 and len(plans) > 5
+    text = [df._jdf.queryExecution().toString() for df in plans[:2]] + [out._jdf.queryExecution().toString()]
+    joins = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*plans, out]]
+    assert sum(j.count("Join ") for j in joins) > 5 and all("strategy=merge" in line for j in joins for line in j.splitlines() if "Join " in line)
+    assert not any("Broadcast" in x for x in text)
