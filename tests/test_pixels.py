@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from framelake.operators import graph, pixels, raster
+from framelake.plans import catalogue
 from framelake.scratch import Scratch
 
 
@@ -136,3 +137,13 @@ def test_components_pass_no_table_through_the_driver(spark, tmp_path, monkeypatc
     joins = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*plans, out]]
     assert sum(j.count("Join ") for j in joins) > 5 and all("strategy=merge" in line for j in joins for line in j.splitlines() if "Join " in line)
     assert not any("Broadcast" in x for x in text)
+
+
+@pytest.mark.parametrize("query", ["picked_components", "moving_boxes"])
+def test_queries_of_components_pass_no_table_through_the_driver(spark, monkeypatch, query):
+    plans = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, **kw: plans.append(df) or save(self, df, **kw))
+    rounds = catalogue.QUERIES[query](spark, "/root/testdata/sf0.01")
+    found = [line for df in [*plans, rounds] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(found) > 5 and all("strategy=merge" in line for line in found)
